@@ -53,8 +53,18 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def cells_for(df: DataFrame, cell_bytes: int = BLOCK_BYTES) -> int:
-    """How many hash cells keep one cell of documents near ``cell_bytes`` of text."""
-    return max(8, min(1 << 20, -(-2 * plan_bytes(df) // cell_bytes)))
+    """How many hash cells keep one cell of documents near ``cell_bytes`` of text.
+
+    It follows the input (parquet counted as half its text) and is never less
+    than three cells for each shuffle partition, so small inputs spread too.
+    """
+    least = 3 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(least, min(1 << 26, -(-2 * plan_bytes(df) // cell_bytes)))
+
+
+def power_of_two(n: float) -> int:
+    """The exponent of the least power of two that is at least ``n``."""
+    return max(1, int(np.ceil(np.log2(max(n, 2)))))
 
 
 def cell_of(column, cells: int):
@@ -141,7 +151,7 @@ _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint6
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
         m = max(n, BLOCK_BYTES // 2)
         for name, base in (("up", _BASE), ("down", _BACK)):
@@ -166,7 +176,7 @@ def word_hashes(w: Words, data: np.ndarray | None = None) -> np.ndarray:
     data = w.data if data is None else data
     if not len(w.start):
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(data))
+    up, down = powers(len(data))
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
@@ -188,3 +198,19 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 def pack(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
+
+
+def bucket_cuts(sorted_hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets (by the top ``bits``) present in sorted hashes and where each begins; one more end."""
+    top = (sorted_hashes >> np.uint64(64 - bits)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(top, prepend=-1))
+    return top[cuts], np.append(cuts, len(top))
+
+
+def sliding(reduce, a: np.ndarray, width: int) -> np.ndarray:
+    """reduce (np.minimum or np.maximum) over a[i:i + width], by doubling."""
+    span, out = 1, a
+    while 2 * span <= width:
+        out = reduce(out[: len(out) - span], out[span:])
+        span *= 2
+    return reduce(out[: len(a) - width + 1], out[width - span : width - span + len(a) - width + 1])
