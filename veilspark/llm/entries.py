@@ -80,6 +80,12 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Packer(word_tokenizer()).pack(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearcopies import NearCopies
+
+    return NearCopies().join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
