@@ -86,6 +86,16 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearCopies().join(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import QualityClassifier, held_out, training_labels
+
+    docs = table(spark, sf_dir, "documents")
+    classifier = QualityClassifier()
+    model = classifier.train(docs, training_labels(table(spark, sf_dir, "labels")))
+    scored = classifier.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
