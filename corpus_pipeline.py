@@ -1,11 +1,69 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame; run() writes it
+as Parquet in the shared folder and reads it again as the next stage's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilspark.llm.common import materialise
+from veilspark.llm.entries import word_tokenizer
+from veilspark.llm.mixing import SourceMixer
+from veilspark.llm.nearcopies import NearCopies
+from veilspark.llm.packing import Packer
+from veilspark.llm.quality import QualityClassifier, training_labels
+from veilspark.llm.substrings import SubstringDedup
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    classifier = QualityClassifier()
+    labels = training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return classifier.keep(docs, classifier.train(docs, labels))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays: the one with the least doc_id."""
+    return NearCopies().keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has go from the text; a text without any stays as it is."""
+    out = SubstringDedup().run(docs.withColumn("text as it was", F.col("text")), carry=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.`text as it was`"))
+    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": text}
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, once or twice."""
+    return SourceMixer().mix(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences of 2048."""
+    return Packer(word_tokenizer()).pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_copies),
+    ("substring dedup", repeated_passages),
+    ("mixing sources", mixed),
+    ("best-fit packing", packed),
+]
+
+#: Neither the classifier nor the join and dedup can be said in SQL on whole tables.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _name, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialise(docs, f"stage-{i + 1}")
     return docs
