@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 #: Text bytes handled at once inside a Python worker.
 BLOCK_BYTES = 4 << 20
 
+LEAST_CELLS = 64
+
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -55,11 +57,10 @@ def plan_bytes(df: DataFrame) -> int:
 def cells_for(df: DataFrame, cell_bytes: int = BLOCK_BYTES) -> int:
     """How many hash cells keep one cell of documents near ``cell_bytes`` of text.
 
-    It follows the input (parquet counted as half its text) and is never less
-    than three cells for each shuffle partition, so small inputs spread too.
+    It follows the input (parquet counted as half its text); small inputs still
+    get ``LEAST_CELLS`` so that they spread.
     """
-    least = 3 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(least, min(1 << 26, -(-2 * plan_bytes(df) // cell_bytes)))
+    return max(LEAST_CELLS, min(1 << 26, -(-2 * plan_bytes(df) // cell_bytes)))
 
 
 def power_of_two(n: float) -> int:

@@ -41,6 +41,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bucket_cuts, cell_of, cells_for, gram_hashes, joined, mix, pack, power_of_two, powers, sliding, word_hashes, words_of
 
@@ -299,9 +300,11 @@ class SubstringDedup:
         cells = cells_for(docs)
         cell = cell_of(F.coalesce(F.col("doc_id"), F.lit(LEAST)), cells).alias("cell")
         keyed = docs.select(cell, F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *rows)
-        fields = "doc_id long, n_words long, n_removed long, kept string" + (f", row {keyed.schema['row'].dataType.simpleString()}" if carry else "")
+        fields = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string")
+        if carry:
+            fields = fields.add("row", keyed.schema["row"].dataType)
         by_cell = keyed.groupBy("cell")
-        anchors = by_cell.applyInArrow(_count_anchors(self.span, power_of_two(cells / 2)), "bucket long, cell int, keys binary, counts binary")
+        anchors = by_cell.applyInArrow(_count_anchors(self.span, power_of_two(cells / 8)), "bucket long, cell int, keys binary, counts binary")
         answers = anchors.groupBy("bucket").applyInArrow(_find_recurring(self.hot), "cell int, keys binary, flags binary")
         sent = "bucket long, cell int, doc binary, place binary, windows binary, bounds binary, text binary, known binary"
         passages = by_cell.cogroup(answers.groupBy("cell")).applyInArrow(_cut_passages(self.span, power_of_two(2 * cells)), sent)
