@@ -102,6 +102,12 @@ def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(store(table(spark, sf_dir, "documents")))
 
 
+def op10_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import ProjectionSearch
+
+    return ProjectionSearch().search(table(spark, sf_dir, "embeddings"), every=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
