@@ -80,6 +80,22 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Packer(word_tokenizer()).pack(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import WarcWriter
+
+    return WarcWriter().write(table(spark, sf_dir, "pages")).read_all()
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS original FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN original END AS refers_to
+FROM m
+"""
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .nearcopies import NearCopies
 
@@ -115,4 +131,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from . import mixing
 
-    return {"op3_mix_sources": mixing.SQL, "op4_chat_format": OP4_SQL}
+    return {"op3_mix_sources": mixing.SQL, "op4_chat_format": OP4_SQL, "op6_warc_index": OP6_SQL}
