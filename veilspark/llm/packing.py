@@ -20,6 +20,8 @@ rows; other columns are never read.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,31 +40,101 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class WordEncoder:
     """Token ids of texts, as little-endian 32-bit bytes, word by word.
 
-    A tokenizer whose pre-tokenizer never joins across white space gives a
-    text the ids of its words in turn, so words are encoded once and looked
-    up after that.  The table is emptied when it has ``most`` words: memory is
-    bounded and the ids are the same.
+    A tokenizer that lower-cases and whose pre-tokenizer never joins across
+    white space gives a text the ids of its words in turn, so words are
+    encoded once (ASCII capitals made small first) and looked up after that.
+    The table keeps the words of the last two generations of ``most`` words:
+    memory is bounded and the ids are the same.
+
+    New words are encoded many at a time.  Where the model marks word ends,
+    words of letters only (and the marks behind them) need no splitting rules:
+    they go through the same model and normalizer as one string parted by
+    blanks.  All others take the tokenizer as it is.
     """
 
+    MARKS = b".,!?;:*$%&#|"
+
     def __init__(self, path: str, most: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.table: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.most = most
-
-    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [t.split() for t in texts]
+        self.quick = None
+        spec = json.loads(self.tokenizer.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
+        steps = [n for n in (spec["normalizer"] or {}).get("normalizers", []) if n["type"] != "Replace"]
+        if suffix and [n["type"] for n in steps] == ["NFC", "Lowercase"]:
+            blanks = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+            quick = spec | {"normalizer": {"type": "Sequence", "normalizers": steps}, "pre_tokenizer": blanks, "added_tokens": [], "post_processor": None}
+            self.quick = Tokenizer.from_str(json.dumps(quick))
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def _slow(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _ids(self, word: bytes) -> bytes | None:
+        return self.table.get(word) or self.old.get(word)
+
+    def _learn(self, words: set[bytes]) -> None:
+        table, old = self.table, self.old
+        cores: dict[bytes, str] = {}
+        whole: list[tuple[bytes, bytes, bytes]] = []
+        for w in words:
+            ids = old.get(w)
+            if ids:
+                table[w] = ids
+                continue
+            core = w.rstrip(self.MARKS)
+            text = core.decode("utf-8", "replace") if self.quick is not None else ""
+            if text.isalpha() and (text.isascii() or text.lower().isalpha()):
+                mark = w[len(core) :]
+                if mark:
+                    if mark not in table:
+                        table[mark] = old.get(mark) or self._slow(mark)
+                    whole.append((w, core, mark))
+                if not self._ids(core):
+                    cores[core] = text
+            else:
+                table[w] = self._slow(w)
+        todo = list(cores.items())
+        for a in range(0, len(todo), 4096):
+            part = todo[a : a + 4096]
+            ids = np.array(self.quick.encode_batch_fast([" ".join([t for _, t in part])], add_special_tokens=False)[0].ids, "<u4")
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            raw = ids.tobytes()
+            table.update(zip((c for c, _ in part), (raw[p:q] for p, q in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True))
+        for w, core, mark in whole:
+            table[w] = self._ids(core) + table[mark]
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
         if len(self.table) > self.most:
-            self.table.clear()
-        new = list(set().union(*split) - self.table.keys()) if split else []
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.table.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, encoded, strict=True))
-        get = self.table.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
+            self.table, self.old = {}, self.table
+        get = self.table.get
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        found = [list(map(get, words)) for words in split]
+        gaps = [[i for i, x in enumerate(ids) if not x] for ids in found]
+        new: set[bytes] = set()
+        for words, own in zip(split, gaps, strict=True):
+            new.update([words[i] for i in own])
+        self._learn(new)
+        for words, ids, own in zip(split, found, gaps, strict=True):
+            for i in own:
+                ids[i] = get(words[i])
+        return [b"".join(ids) for ids in found]
+
+
+#: One per Python worker and tokenizer, so that tasks of a worker share a table.
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_for(path: str) -> WordEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def _tokenise(path: str, window: int, end: int, with_ids: bool):
@@ -70,10 +142,8 @@ def _tokenise(path: str, window: int, end: int, with_ids: bool):
     step = 4 * window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = WordEncoder(path)
+        encode = encoder_for(path)
         for batch in batches:
             for block in text_blocks(batch):
                 data, offs = joined(block.column("text"))
