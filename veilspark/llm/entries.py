@@ -25,6 +25,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import LanguageModel
+
+    return LanguageModel().score(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import SourceMixer
 

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import gram_hashes, mix, text_blocks, word_hashes, words_of
 
@@ -249,7 +250,7 @@ class QualityClassifier:
         """The rows whose score is at least ``least``, with all their columns."""
         row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
         packed = docs.select(F.col("text"), row)
-        schema = f"row {packed.schema['row'].dataType.simpleString()}, score double"
+        schema = T.StructType().add("row", packed.schema["row"].dataType).add("score", "double")
         return packed.mapInArrow(_score(model), schema).filter(F.col("score") >= least).select("row.*")
 
 
