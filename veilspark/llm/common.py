@@ -17,8 +17,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes handled at once inside a Python worker.
-BLOCK_BYTES = 4 << 20
+#: Text bytes handled at once inside a Python worker, sent to it at once, and in a cell.
+BLOCK_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
+CELL_BYTES = 4 << 20
 
 LEAST_CELLS = 64
 
@@ -49,12 +51,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding this session's Arrow batches by bytes.
+
+    By default a batch is bounded by its number of rows, and ten thousand long
+    texts take more memory than an executor leaves its Python workers.
+    """
+    conf = df.sparkSession.conf
+    for way in ("", "Output"):
+        conf.set(f"spark.sql.execution.arrow.maxBytesPer{way}Batch", str(BATCH_BYTES))
+    return df
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; file sizes for a plain scan."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def cells_for(df: DataFrame, cell_bytes: int = BLOCK_BYTES) -> int:
+def cells_for(df: DataFrame, cell_bytes: int = CELL_BYTES) -> int:
     """How many hash cells keep one cell of documents near ``cell_bytes`` of text.
 
     It follows the input (parquet counted as half its text); small inputs still
@@ -154,7 +168,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        m = max(n, BLOCK_BYTES // 2)
+        m = max(n, BLOCK_BYTES)
         for name, base in (("up", _BASE), ("down", _BACK)):
             p = np.full(m, base, np.uint64)
             p[0] = 1

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, text_blocks
+from .common import bound_batches, joined, text_blocks
 
 #: Largest number of 16-row units in a column of blocks (heights are 16-bit).
 TALL = 4095
@@ -449,7 +449,7 @@ DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each text as a progressive JPEG."""
-    return docs.select("doc_id", "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary")
+    return bound_batches(docs).select("doc_id", "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
 def load(media: DataFrame, tensors: bool = False) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, gram_hashes, materialise, mix, powers, text_blocks, word_hashes, words_of
+from .common import Words, bound_batches, gram_hashes, materialise, mix, powers, text_blocks, word_hashes, words_of
 from .graphs import connected_components
 
 LEAST = -(1 << 63)
@@ -196,7 +196,7 @@ class NearCopies:
         other rows linked to this one.
         """
         depth = depth_for(self.threshold, self.trees, self.most_depth, self.recall)
-        source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc_id"), F.xxhash64("text").alias("print"), F.col("text"))
+        source = bound_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc_id"), F.xxhash64("text").alias("print"), F.col("text"))
         signed = source.mapInArrow(_sign(self.shingle, self.trees, depth), "doc_id long, print long, node long, shingles long, keys array<long>")
         signed = materialise(signed, "signatures")
         row = F.struct("doc_id", "print")

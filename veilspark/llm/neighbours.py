@@ -69,7 +69,7 @@ def kd_leaves(points: np.ndarray, leaf: int) -> list[np.ndarray]:
 class ProjectionSearch:
     k: int = 20
     dims: int = 8
-    sure: float = 0.99
+    sure: float = 0.9
     leaf: int = 64
     shard_rows: int = 25_000
     query_rows: int = 1_000
@@ -98,7 +98,7 @@ class ProjectionSearch:
             order = np.concatenate(leaves)
             x, ids = x[order], ids[order]
             ends = np.cumsum([len(r) for r in leaves])
-            starts = ends - [len(r) for r in leaves]
+            inside = [np.arange(e - len(r), e) for e, r in zip(ends.tolist(), leaves, strict=True)]
             norms = (q * q).sum(1) + largest**2
             out = []
             for i in range(len(q)):
@@ -106,18 +106,21 @@ class ProjectionSearch:
                 far = (gap * gap).sum(1)
                 visit = np.argsort(far, kind="stable")
                 best, names = np.zeros(0), np.zeros(0, np.int64)
-                a, step = 0, 4
+                a, step = 0, 16
                 while a < len(visit):
                     if len(best) == k:
                         nearest = max(norms[i] - 2 * best[-1], 1e-300)
                         if chi_square(far[visit[a]] / nearest, dims) >= sure:
                             break
-                    rows = np.concatenate([np.arange(starts[v], ends[v]) for v in visit[a : a + step]])
+                    rows = np.concatenate([inside[v] for v in visit[a : a + step].tolist()])
                     rows = rows[ids[rows] != qid[i]]
-                    best, names = np.concatenate([best, np.einsum("ij,j->i", x[rows], q[i])]), np.concatenate([names, ids[rows]])
+                    best, names = np.concatenate([best, x[rows] @ q[i]]), np.concatenate([names, ids[rows]])
+                    if len(best) > 4 * k:  # ties at the cut are kept for the sort
+                        near = best >= np.partition(best, len(best) - k)[len(best) - k]
+                        best, names = best[near], names[near]
                     top = np.lexsort((names, -best))[:k]
                     best, names = best[top], names[top]
-                    a, step = a + step, min(2 * step, 64)
+                    a, step = a + step, 2 * step
                 out.append((np.full(len(best), qid[i]), names, best))
             return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 

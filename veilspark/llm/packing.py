@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import joined, materialise, text_blocks
+from .common import bound_batches, joined, materialise, text_blocks
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -263,7 +263,7 @@ class Packer:
 
     def pieces(self, docs: DataFrame, with_ids: bool = False) -> DataFrame:
         schema = PIECES + (", ids array<int>" if with_ids else "")
-        return docs.select("doc_id", "text").mapInArrow(_tokenise(self.tokenizer, self.window, self.end, with_ids), schema)
+        return bound_batches(docs).select("doc_id", "text").mapInArrow(_tokenise(self.tokenizer, self.window, self.end, with_ids), schema)
 
     def pack(self, docs: DataFrame, with_ids: bool = False) -> DataFrame:
         """Pieces with sequence_id and offset; ``with_ids`` adds the token ids."""

@@ -27,15 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import gram_hashes, mix, text_blocks, word_hashes, words_of
+from .common import bound_batches, gram_hashes, mix, text_blocks, word_hashes, words_of
 
 FEATURES = (
     "bytes", "words", "word_bytes", "word_spread", "longest_word", "upper", "digits", "symbols", "exclaims", "commas", "stops",
     "beyond_ascii", "lines", "repeats", "longest_repeat", "distinct", "distinct_triples", "letters_alone", "marked_words", "bars", "bare_words",
 )
-_CLASS = np.zeros((10, 256), np.float64)
+_CLASS = np.zeros((9, 256), np.int8)
 _CLASS[0, 65:91] = 1  # upper
 _CLASS[1, 48:58] = 1  # digits
 for _c in b"#$%&*+/<=>@\\^_`{|}~[]":
@@ -65,7 +64,7 @@ def features_of(texts) -> np.ndarray:
     size, count = np.diff(w.offsets), w.counts
     some = np.maximum(count, 1)
     chars = np.maximum(size, 1)
-    per = {k: _sums(_CLASS[k][w.data].astype(np.int8), w.offsets) for k in range(9)}
+    per = {k: _sums(_CLASS[k][w.data], w.offsets) for k in range(9)}
     length = w.end - w.start
     doc = w.doc()
     total, squares = _sums(length, w.first), _sums(length * length, w.first)
@@ -219,9 +218,20 @@ def _score(model: AdditiveModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in text_blocks(batch):
-                score = model.score(features_of(block.column("text")))
-                cols = [c for k, c in zip(block.schema.names, block.columns, strict=True) if k != "text"]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(score)], [*(k for k in block.schema.names if k != "text"), "score"])
+                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(model.score(features_of(block.column("text"))))], ["doc_id", "score"])
+
+    return run
+
+
+def _keep(model: AdditiveModel, text: int, least: float):
+    """Passes on the rows of blocks whose score is at least ``least``; ``text`` is the number of that column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbered = batch.rename_columns([str(i) for i in range(batch.num_columns)])
+            for block in text_blocks(numbered, str(text)):
+                good = model.score(features_of(block.column(text))) >= least
+                yield block.filter(pa.array(good)).rename_columns(batch.schema.names)
 
     return run
 
@@ -236,7 +246,7 @@ class QualityClassifier:
         """docs: doc_id, text; labels: doc_id, label (1 is good)."""
         known = labels.filter("doc_id is not null and label is not null").groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
         chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(self.max_train)
-        rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_features_with_label, "doc_id long, label int, x array<double>")
+        rows = bound_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_features_with_label, "doc_id long, label int, x array<double>")
         got = sorted(((r["doc_id"], r["label"], r["x"]) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(self.max_train).collect()), key=lambda r: (r[0], r[2]))
         if not got:
             return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
@@ -244,14 +254,11 @@ class QualityClassifier:
 
     def score(self, docs: DataFrame, model: AdditiveModel) -> DataFrame:
         """doc_id, score of every row."""
-        return docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, score double")
+        return bound_batches(docs).select("doc_id", "text").mapInArrow(_score(model), "doc_id long, score double")
 
     def keep(self, docs: DataFrame, model: AdditiveModel, least: float = 0.5) -> DataFrame:
         """The rows whose score is at least ``least``, with all their columns."""
-        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-        packed = docs.select(F.col("text"), row)
-        schema = T.StructType().add("row", packed.schema["row"].dataType).add("score", "double")
-        return packed.mapInArrow(_score(model), schema).filter(F.col("score") >= least).select("row.*")
+        return bound_batches(docs).mapInArrow(_keep(model, docs.columns.index("text"), least), docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket_cuts, cell_of, cells_for, gram_hashes, joined, mix, pack, power_of_two, powers, sliding, word_hashes, words_of
+from .common import bound_batches, bucket_cuts, cell_of, cells_for, gram_hashes, joined, mix, pack, power_of_two, powers, sliding, word_hashes, words_of
 
 PHRASE = 8
 LEAST = -(1 << 63)
@@ -299,7 +299,7 @@ class SubstringDedup:
         rows = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] if carry else []
         cells = cells_for(docs)
         cell = cell_of(F.coalesce(F.col("doc_id"), F.lit(LEAST)), cells).alias("cell")
-        keyed = docs.select(cell, F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *rows)
+        keyed = bound_batches(docs).select(cell, F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *rows)
         fields = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string")
         if carry:
             fields = fields.add("row", keyed.schema["row"].dataType)

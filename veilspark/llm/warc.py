@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_blocks
+from .common import bound_batches, shared_dir, text_blocks
 
 LEAST = -(1 << 63)
 LINE = "key string, url string, page_id long, kind string, digest string, size long, refers_to long, file string, offset long, length long"
@@ -283,7 +283,7 @@ class WarcWriter:
         files, root = _store(base)
         files.create_dir(root, recursive=True)
         payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-        named = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
+        named = bound_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
         rank = F.coalesce(F.col("page_id"), F.lit(LEAST))
         # kinds by (page, digest): no html here
         keys = named.filter(F.length("payload") >= self.least_revisit).select(rank.alias("page"), "digest").groupBy("page", "digest").agg(F.count(F.lit(1)).alias("n"))
