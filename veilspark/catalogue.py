@@ -18,6 +18,7 @@ from .functions import masks
 from .functions.keyed import Key, mac_sql
 from .functions.scrub import PATTERNS, scrub
 from .operators.classify import as_frame, check, propose, sample_rates
+from .operators.corpus import survey
 from .operators.coverage import coverage_diff, snapshot
 from .operators.session import GuardedSession
 from .sources.config import Config
@@ -146,6 +147,26 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "SELECT n.n_name, r.r_name FROM demo.nation n FULL JOIN demo.region r ON n.n_regionkey = r.r_regionkey",
         "SELECT n_name, r_name FROM nation FULL JOIN region ON n_regionkey = r_regionkey",
     ),
+    "right_join_using": (
+        "SELECT c_nationkey AS k, n.n_name FROM demo.customer c RIGHT JOIN demo.nation n ON c.c_nationkey = n.n_nationkey AND c.c_acctbal > 9000",
+        "SELECT c_nationkey AS k, n_name FROM customer RIGHT JOIN nation ON c_nationkey = n_nationkey AND c_acctbal > 9000",
+    ),
+    "join_using": (
+        "SELECT k, a.c_name, b.c_mktsegment FROM (SELECT c_custkey k, c_name FROM demo.customer) a JOIN (SELECT c_custkey k, c_mktsegment FROM demo.customer) b USING (k)",
+        f"SELECT c_custkey AS k, {_PERSON} AS c_name, c_mktsegment FROM customer",
+    ),
+    "natural_join": (
+        "SELECT a.c_name, b.c_mktsegment FROM (SELECT c_custkey k, c_name FROM demo.customer) a NATURAL JOIN (SELECT c_custkey k, c_mktsegment FROM demo.customer) b",
+        f"SELECT {_PERSON} AS c_name, c_mktsegment FROM customer",
+    ),
+    "identity_cast": ("SELECT c_custkey, CAST(c_name AS STRING) AS who FROM demo.customer", f"SELECT c_custkey, {_PERSON} AS who FROM customer"),
+    "column_alias_list": ("SELECT t.b FROM demo.customer AS t(a, b, c, d, e)", f"SELECT {_PERSON} AS b FROM customer"),
+    "pipe_syntax": ("FROM demo.customer |> WHERE c_acctbal > 0 |> SELECT c_custkey, c_name", f"SELECT c_custkey, {_PERSON} AS c_name FROM customer WHERE c_acctbal > 0"),
+    "distribution_windows": (
+        "SELECT s_suppkey, ntile(4) OVER (ORDER BY s_acctbal, s_suppkey) AS quarter, dense_rank() OVER (ORDER BY s_nationkey) AS nation, count(*) OVER (PARTITION BY s_nationkey) AS n FROM demo.supplier",
+        "SELECT s_suppkey, ntile(4) OVER (ORDER BY s_acctbal, s_suppkey)::INT AS quarter, dense_rank() OVER (ORDER BY s_nationkey)::INT AS nation, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier",
+    ),
+    "context_and_literals": ("SELECT r_regionkey, 1 + 2 AS three, current_date() >= DATE '2000-01-01' AS late FROM demo.region", "SELECT r_regionkey, 3 AS three, true AS late FROM region"),
     "semi_join": (
         "SELECT c_custkey, c_name FROM demo.customer c WHERE EXISTS (SELECT 1 FROM demo.orders o WHERE o.o_custkey = c.c_custkey)",
         f"SELECT c_custkey, {_PERSON} AS c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
@@ -256,6 +277,12 @@ VARIANTS: dict[str, tuple[dict, str | None, str, str]] = {
         "(SELECT c_nationkey AS k FROM demo.customer INTERSECT SELECT s_nationkey FROM demo.supplier) EXCEPT SELECT n_nationkey FROM demo.nation WHERE n_nationkey < 5",
         "(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) EXCEPT SELECT n_nationkey FROM nation WHERE n_nationkey < 5",
     ),
+    "lineage_aggregate": (
+        {"lineage": "allow"},
+        None,
+        "SELECT l_returnflag, round(sum(l_quantity) / count(*), 6) AS mean FROM demo.lineitem GROUP BY l_returnflag",
+        "SELECT l_returnflag, round(sum(l_quantity) / count(*), 6) AS mean FROM lineitem GROUP BY 1",
+    ),
     "hostile_projection": (
         {"posture": "hostile"},
         None,
@@ -408,6 +435,13 @@ ROLE_ROWS = [
 ]
 
 
+def corpus_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refusals by cause over all statements of this module."""
+    texts = {k: v[0] for k, v in STATEMENTS.items()} | {n: t for n, t, _ in REFUSALS}
+    report = survey(session(spark, sf_dir), texts)
+    return spark.createDataFrame(sorted(report.causes.items()), "cause string, n long")
+
+
 def field_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     guard = session(spark, sf_dir)
     plans = guard.decisions("SELECT c_custkey, c_name, c_acctbal, 1 AS one, p.p_retailprice FROM demo.customer CROSS JOIN demo.part p")
@@ -545,6 +579,7 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "refusals_hostile": (partial(_verdicts, cases=HOSTILE, posture="hostile"), _values("case_name, verdict", [(n, v) for n, _, v in HOSTILE])),
     "config_errors": (config_errors, _values("case_name, verdict", [(n, "refused") for n, _ in CONFIG_ERRORS])),
     "role_resolution": (role_resolution, _values("principal, column_name, mask", ROLE_ROWS)),
+    "corpus_survey": (corpus_survey, "SELECT verdict AS cause, count(*) AS n FROM (" + _values("case_name, verdict", [(n, v) for n, _, v in REFUSALS]) + ") GROUP BY 1"),
     "field_decisions": (field_decisions, _values("field, mask, why", DECISION_ROWS)),
     "classify_propose": (classify_propose, _values("relation, column_name, data_type, semantic_type, mask, confidence", PROPOSED)),
     "classify_shapes": (classify_shapes, _values("column_name, semantic_type, mask, note", SHAPES)),

@@ -137,7 +137,7 @@ def ip_prefix(c: Column) -> Column:
     return let(bare, cut)
 
 
-def mask(c: Column, spec: MaskSpec, f: T.StructField, key: Key, lenient: bool = False) -> Column:
+def mask(c: Column, spec: MaskSpec, f: T.StructField, key: Key, lenient: bool = False, projection: tuple[str, ...] = ()) -> Column:
     """``c`` under ``spec``.  A mask that does not support the type is an error, never a pass."""
     kind, logical, dt = spec.mask, logical_type(f), f.dataType
     if not supports(kind, dt, logical):
@@ -174,5 +174,5 @@ def mask(c: Column, spec: MaskSpec, f: T.StructField, key: Key, lenient: bool =
         case Mask.SCRUB:
             return scrub(c)
         case Mask.JSON:
-            return mask_documents(c, spec, key, dt)
+            return mask_documents(c, spec, key, dt, projection)
     raise MaskError(kind.value)

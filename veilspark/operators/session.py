@@ -159,7 +159,7 @@ def apply_plans(frame: DataFrame, plans: list[FieldPlan], config: Config) -> Dat
         c = F.col(f"`{place}`")
         bare = T.StructField(f.name, f.dataType, metadata=f.metadata)
         try:
-            cols.append(c.alias(p.name) if p.spec.passes and place != p.name else c if p.spec.passes else mask(c, p.spec, bare, config.key, p.lenient).alias(p.name, metadata={}))
+            cols.append(c.alias(p.name) if p.spec.passes and place != p.name else c if p.spec.passes else mask(c, p.spec, bare, config.key, p.lenient, p.projection).alias(p.name, metadata={}))
         except MaskError as e:
             raise PolicyRejection(Cause.MASK_TYPE_MISMATCH, str(e)) from None
     return named.select(*cols)

@@ -26,6 +26,9 @@ VALUE_RETURNING = frozenset(
     "any_value max_by min_by percentile approx_percentile percentile_approx median histogram_numeric".split()
 )
 
+#: Functions that the grammar turns into expressions by itself.
+VALUE_CLASSES = frozenset("First Last AnyValue NthValue Lag Lead Mode PercentileCont PercentileDisc Percentile ApproximatePercentile CollectList CollectSet".split())
+
 # ----------------------------------------------- class names in analyzed plans
 REDUCING_CLASSES = frozenset(
     "Count Sum Average StddevPop StddevSamp VariancePop VarianceSamp Corr CovPopulation CovSample RegrAvgX RegrAvgY RegrCount RegrIntercept RegrR2 RegrSlope "
