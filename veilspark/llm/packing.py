@@ -32,36 +32,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bound_batches, joined, materialise, text_blocks
+from .common import bound_batches, materialise, text_blocks, word_hashes, words_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordEncoder:
-    """Token ids of texts, as little-endian 32-bit bytes, word by word.
+    """Token ids of texts, word by word, for a block of texts at once.
 
     A tokenizer that lower-cases and whose pre-tokenizer never joins across
-    white space gives a text the ids of its words in turn, so words are
-    encoded once (ASCII capitals made small first) and looked up after that.
-    The table keeps the words of the last two generations of ``most`` words:
-    memory is bounded and the ids are the same.
-
-    New words are encoded many at a time.  Where the model marks word ends,
-    words of letters only (and the marks behind them) need no splitting rules:
-    they go through the same model and normalizer as one string parted by
-    blanks.  All others take the tokenizer as it is.
+    white space gives a text the ids of its words in turn.  So words (ASCII
+    capitals made small, unless a text may hold special tokens) are hashed in
+    numpy, looked up in a sorted table of hashes, and only new ones are
+    encoded; the ids of a block are one gather.  The table is emptied when it
+    has ``most`` words (some 30 bytes each): memory is bounded and the ids are
+    the same.
+
+    Where the model marks word ends, words of letters only (and the marks
+    behind them) need no splitting rules: they go through the same model and
+    normalizer as one string parted by blanks.  All others take the tokenizer
+    as it is.
     """
 
     MARKS = b".,!?;:*$%&#|"
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.table: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
         self.most = most
+        self.marks: dict[bytes, bytes] = {}
         self.quick = None
+        self._empty()
         spec = json.loads(self.tokenizer.to_str())
         suffix = spec["model"].get("end_of_word_suffix")
         steps = [n for n in (spec["normalizer"] or {}).get("normalizers", []) if n["type"] != "Replace"]
@@ -73,84 +75,106 @@ class WordEncoder:
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
+    def _empty(self) -> None:
+        self.keys, self.start, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, "<u4")
+
     def _slow(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _ids(self, word: bytes) -> bytes | None:
-        return self.table.get(word) or self.old.get(word)
-
-    def _learn(self, words: set[bytes]) -> None:
-        table, old = self.table, self.old
-        cores: dict[bytes, str] = {}
-        whole: list[tuple[bytes, bytes, bytes]] = []
-        for w in words:
-            ids = old.get(w)
-            if ids:
-                table[w] = ids
-                continue
-            core = w.rstrip(self.MARKS)
-            text = core.decode("utf-8", "replace") if self.quick is not None else ""
-            if text.isalpha() and (text.isascii() or text.lower().isalpha()):
-                mark = w[len(core) :]
-                if mark:
-                    if mark not in table:
-                        table[mark] = old.get(mark) or self._slow(mark)
-                    whole.append((w, core, mark))
-                if not self._ids(core):
-                    cores[core] = text
-            else:
-                table[w] = self._slow(w)
-        todo = list(cores.items())
-        for a in range(0, len(todo), 4096):
-            part = todo[a : a + 4096]
-            ids = np.array(self.quick.encode_batch_fast([" ".join([t for _, t in part])], add_special_tokens=False)[0].ids, "<u4")
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of different words; whole lists are worked on at once, not word by word."""
+        if self.quick is None or not words:
+            return list(map(self._slow, words))
+        cores = [w.rstrip(self.MARKS) for w in words]
+        texts = b"\n".join(cores).decode("utf-8", "replace").split("\n")
+        lower = "\n".join(texts).lower().split("\n")
+        plain = [a and b for a, b in zip(map(str.isalpha, texts), map(str.isalpha, lower), strict=True)]
+        todo = {c: t for c, t, p in zip(cores, texts, plain, strict=True) if p}
+        keys, strings, known = list(todo), list(todo.values()), {}
+        for a in range(0, len(keys), 4096):
+            ids = np.array(self.quick.encode_batch_fast([" ".join(strings[a : a + 4096])], add_special_tokens=False)[0].ids, "<u4")
             cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             raw = ids.tobytes()
-            table.update(zip((c for c, _ in part), (raw[p:q] for p, q in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True))
-        for w, core, mark in whole:
-            table[w] = self._ids(core) + table[mark]
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.table) > self.most:
-            self.table, self.old = {}, self.table
-        get = self.table.get
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        found = [list(map(get, words)) for words in split]
-        gaps = [[i for i, x in enumerate(ids) if not x] for ids in found]
-        new: set[bytes] = set()
-        for words, own in zip(split, gaps, strict=True):
-            new.update([words[i] for i in own])
-        self._learn(new)
-        for words, ids, own in zip(split, found, gaps, strict=True):
-            for i in own:
-                ids[i] = get(words[i])
-        return [b"".join(ids) for ids in found]
-
+            known.update(zip(keys[a : a + 4096], (raw[p:q] for p, q in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True))
+        if len(self.marks) > 10_000:
+            self.marks.clear()
+        out = []
+        for w, c, p in zip(words, cores, plain, strict=True):
+            if not p:
+                out.append(self._slow(w))
+            elif len(w) > len(c):
+                mark = w[len(c) :]
+                out.append(known[c] + (self.marks.get(mark) or self.marks.setdefault(mark, self._slow(mark))))
+            else:
+                out.append(known[c])
+        return out
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """hashes: sorted, none in the table."""
+        ids = self.encode(words)
+        length = np.array([len(x) for x in ids], np.int64) // 4
+        at = np.searchsorted(self.keys, hashes)
+        self.keys = np.insert(self.keys, at, hashes)
+        self.start = np.insert(self.start, at, len(self.pool) + np.cumsum(length) - length)
+        self.length = np.insert(self.length, at, length)
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+
+    def __call__(self, texts) -> list[bytes]:
+        """Ids of each text of an Arrow array, as little-endian 32-bit bytes."""
+        w = words_of(texts)
+        data = _SMALL[w.data]
+        raw = w.data.tobytes()
+        at = raw.find(b"<|")
+        while at >= 0:  # rare: these texts keep their capitals
+            k = int(np.searchsorted(w.offsets, at, side="right")) - 1
+            a, b = int(w.offsets[k]), int(w.offsets[k + 1])
+            data[a:b] = w.data[a:b]
+            at = raw.find(b"<|", b)
+        h, first, where = np.unique(word_hashes(w, data), return_index=True, return_inverse=True)
+        if len(self.keys) > self.most:
+            self._empty()
+        at = np.searchsorted(self.keys, h)
+        new = np.ones(len(h), bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(at, len(self.keys) - 1)] != h
+        if new.any():
+            raw = data.tobytes()
+            spans = zip(w.start[first[new]].tolist(), w.end[first[new]].tolist(), strict=True)
+            self._learn(h[new], [raw[a:b] for a, b in spans])
+            at = np.searchsorted(self.keys, h)
+        length = self.length[at][where]
+        ends = np.zeros(len(where) + 1, np.int64)
+        np.cumsum(length, out=ends[1:])
+        out = self.pool[np.arange(ends[-1]) + np.repeat(self.start[at][where] - ends[:-1], length)].tobytes()
+        cuts = (ends[w.first] * 4).tolist()
+        return [out[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
 
 #: One per Python worker and tokenizer, so that tasks of a worker share a table.
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder_for(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+def encoder_for(path: str, most: int) -> WordEncoder:
+    if path not in _ENCODERS or _ENCODERS[path].most != most:
+        _ENCODERS[path] = WordEncoder(path, most)
     return _ENCODERS[path]
 
 
-def _tokenise(path: str, window: int, end: int, with_ids: bool):
+def _tokenise(path: str, window: int, end: int, with_ids: bool, most: int):
     tail = np.array([end], "<u4").tobytes()
     step = 4 * window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = encoder_for(path)
+        encode = encoder_for(path, most)
         for batch in batches:
             for block in text_blocks(batch):
-                data, offs = joined(block.column("text"))
-                raw = data.tobytes()
-                texts = [raw[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
                 rows: list[tuple] = []
-                for doc, ids in zip(block.column("doc_id").to_pylist(), encode(texts), strict=True):
+                for doc, ids in zip(block.column("doc_id").to_pylist(), encode(block.column("text")), strict=True):
                     ids += tail
                     for k, a in enumerate(range(0, len(ids), step)):
                         part = ids[a : a + step]
@@ -256,14 +280,17 @@ def _place(table: dict[str, np.ndarray]):
 
 @dataclass(frozen=True)
 class Packer:
+    """``table_words``: words a Python worker remembers (about 30 bytes a word)."""
+
     tokenizer: str
     window: int = 2048
     end: int = 0
-    rows_per_chunk: int = 50_000
+    rows_per_chunk: int = 2_000
+    table_words: int = 2_000_000
 
     def pieces(self, docs: DataFrame, with_ids: bool = False) -> DataFrame:
         schema = PIECES + (", ids array<int>" if with_ids else "")
-        return bound_batches(docs).select("doc_id", "text").mapInArrow(_tokenise(self.tokenizer, self.window, self.end, with_ids), schema)
+        return bound_batches(docs).select("doc_id", "text").mapInArrow(_tokenise(self.tokenizer, self.window, self.end, with_ids, self.table_words), schema)
 
     def pack(self, docs: DataFrame, with_ids: bool = False) -> DataFrame:
         """Pieces with sequence_id and offset; ``with_ids`` adds the token ids."""
