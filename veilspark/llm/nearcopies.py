@@ -187,6 +187,7 @@ class NearCopies:
     recall: float = 0.9999
     block_texts: int = 1024
     block_shingles: int = 1_000_000
+    hot_share: int = 1000
 
     def classes(self, docs: DataFrame) -> DataFrame:
         """Per row: doc_id, print (hash of its text), class_id, class_print, copy_of, n_links.
@@ -203,6 +204,7 @@ class NearCopies:
         nodes = signed.filter("node is not null").groupBy("node").agg(
             F.min(row).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("shingles").alias("shingles")
         )
+        nodes = materialise(nodes, "nodes")
         # one row of each node stands for it in the forest
         lead = signed.join(nodes.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.print").alias("print")), ["node", "doc_id", "print"], "left_semi")
         under = lead.select("node", F.explode("keys").alias("key"))
@@ -236,7 +238,14 @@ class NearCopies:
         known = nodes.join(linked_nodes, "node", "left").select(
             "node", "first", F.coalesce("class", "first").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
         )
-        out = signed.select("doc_id", "print", "node").join(known, "node", "left")
+        # texts that more than a thousandth of the rows share are at most a thousand: these go by broadcast
+        total = nodes.agg(F.sum("copies")).first()[0] or 0
+        often = nodes.filter(F.col("copies") > total / self.hot_share).select("node", F.lit(True).alias("often"))
+        known = known.join(F.broadcast(often), "node", "left")
+        rows = signed.select("doc_id", "print", "node")
+        hot = rows.join(F.broadcast(known.filter("often")), "node")
+        cold = rows.join(F.broadcast(often), "node", "left_anti").join(known.filter("often IS NULL"), "node", "left")
+        out = hot.unionByName(cold)
         of = lambda c, k: F.coalesce(F.col(c)[k], F.col(k))
         return out.select("doc_id", "print", of("class", "doc_id").alias("class_id"), of("class", "print").alias("class_print"), of("first", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
