@@ -43,6 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system, as Hadoop resolves it, for readers outside the JVM."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage."""
     spark = df.sparkSession
@@ -57,9 +64,7 @@ def bound_batches(df: DataFrame) -> DataFrame:
     By default a batch is bounded by its number of rows, and ten thousand long
     texts take more memory than an executor leaves its Python workers.
     """
-    conf = df.sparkSession.conf
-    for way in ("", "Output"):
-        conf.set(f"spark.sql.execution.arrow.maxBytesPer{way}Batch", str(BATCH_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, shared_dir, text_blocks
+from .common import bound_batches, qualified, shared_dir, text_blocks
 
 LEAST = -(1 << 63)
 LINE = "key string, url string, page_id long, kind string, digest string, size long, refers_to long, file string, offset long, length long"
@@ -279,7 +279,7 @@ class WarcWriter:
 
     def write(self, pages: DataFrame) -> Archive:
         spark = pages.sparkSession
-        base = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+        base = qualified(spark, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
         files, root = _store(base)
         files.create_dir(root, recursive=True)
         payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
