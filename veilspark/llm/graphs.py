@@ -3,8 +3,9 @@
 Each round links every node's larger neighbours, then its smaller ones, to the
 least node around it (large star, small star).  Edges never grow in number and
 paths shorten fast, so few rounds are needed; each round is cut by a table in
-the shared folder.  A node with a third of all edges is only ever aggregated
-(min) and joined; no neighbourhood is gathered.
+the shared folder.  No neighbourhood is gathered: a node's edges are aggregated
+(min) and joined, and those of the few nodes with very many edges are joined by
+broadcast, where they stand.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
+#: Nodes with more than this part of all edge ends are at most as many, so their table is broadcast.
+HOT_SHARE = 1000
+
+
 def _both(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
@@ -25,8 +30,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: every neighbour above a node goes to the least of the node and its neighbours
         near = _both(edges)
-        least = near.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = near.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = near.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        often = 2 * edges.count() / HOT_SHARE
+        hubs = F.broadcast(least.filter(F.col("n") > often).select("u", "m"))
+        up = near.filter("v > u")
+        at_hubs = up.join(hubs, "u")
+        elsewhere = up.join(hubs, "u", "left_anti").join(least.filter(F.col("n") <= often).select("u", "m"), "u")
+        large = at_hubs.unionByName(elsewhere).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: a node and its lower neighbours go to the least of these
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
