@@ -293,3 +293,24 @@ def test_neighbours_edges(spark):
     assert got == [(0, 1, 1, 3.0), (0, 2, 60, -1.0), (60, 1, 0, -1.0), (60, 2, 1, -3.0)]
     assert ProjectionSearch().search(df.limit(0)).collect() == []
     assert chi_square(np.array([0.0, 7.344, np.inf]), 8).round(3).tolist() == [0.0, 0.5, 1.0]
+
+
+@pytest.mark.parametrize("longer", [10.0, 1000.0, None])
+def test_neighbours_recall_with_few_long_vectors(spark, longer):
+    rng = np.random.default_rng(11)
+    n, k = 6000, 20
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if longer:
+        x[[1, 1234, 4321]] *= longer
+    else:
+        x *= np.exp(rng.standard_normal(n))[:, None]
+    asked = np.arange(0, n, 100)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ProjectionSearch().search(df, every=100).toPandas()
+    hits = 0
+    for q in asked:
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:k]) & set(got[got.query_id == q].vec_id))
+    assert len(got) == k * len(asked) and hits / (k * len(asked)) >= 0.9

@@ -1,15 +1,21 @@
 """Approximate nearest neighbours: 2-stable projections in kd-trees.
 
-Inner products become distances by one more coordinate: with M the largest
-norm, |q' - x'|^2 = |q|^2 + M^2 - 2 q.x for x' = (x, sqrt(M^2 - |x|^2)) and
-q' = (q, 0).  A Gaussian projection to ``dims`` coordinates keeps a distance d
-as d times a chi variable, so the projected space can be searched instead: a
-kd-tree gives leaves in order of their least projected distance, their vectors
-are verified by exact inner products in double precision, and a query stops
-when the chi-square test says that a vector nearer than its k-th best would
-have been seen with probability ``sure``:
-
-    chi2_dims((next projected distance)^2 / (k-th best distance)^2) >= sure
+Inner products become distances within a range of norms.  The vectors of a
+shard are split into ranges, each of norms above half of its largest, M.  There
+u = q / |q| and y = x / M give |u - y|^2 = 1 + |y|^2 - 2 q.x / (|q| M), and no
+vector far longer than the usual one sets the scale of the others.  A Gaussian
+projection to ``dims`` coordinates keeps the distance |u - y| as itself times a
+chi variable, so the projected space can be searched instead: a kd-tree for each
+range gives leaves in order of their least projected distance, and their vectors
+are verified by exact inner products in double precision.  With s the product of
+a query's k-th best and N the largest |y| of a leaf, a better vector in the leaf
+has |u - y|^2 < 1 + N^2 - 2 s / (|q| M), and the leaf is left out when the
+chi-square test says that the vector would have been seen with probability
+``sure``:
+
+    chi2_dims((projected distance of the leaf)^2 / (1 + N^2 - 2 s / (|q| M))) >= sure
+
+Ranges go from long to short; once |q| M <= s none of the rest can be better.
 
 Scale: vectors are dealt into shards by hash, each with its own tree; every
 shard answers each block of queries with its best k, and a window keeps the
@@ -65,6 +71,25 @@ def kd_leaves(points: np.ndarray, leaf: int) -> list[np.ndarray]:
     return out
 
 
+def norms_of(x: np.ndarray) -> np.ndarray:
+    """Lengths of rows that are not zero, without squares that overflow or vanish."""
+    top = np.abs(x).max(1)
+    return top * np.sqrt(((x / top[:, None]) ** 2).sum(1))
+
+
+def norm_ranges(length: np.ndarray) -> list[np.ndarray]:
+    """Rows by length, long ones first, each range down to half of its longest."""
+    order, out = np.argsort(-length, kind="stable"), []
+    falling = -length[order]
+    a = 0
+    while a < len(order):
+        b = int(np.searchsorted(falling, falling[a] / 2))
+        b = max(b, a + 1)
+        out.append(np.sort(order[a:b]))
+        a = b
+    return out
+
+
 @dataclass(frozen=True)
 class ProjectionSearch:
     k: int = 20
@@ -75,9 +100,9 @@ class ProjectionSearch:
     query_rows: int = 1_000
     seed: int = 5
 
-    def _search(self, largest: float, width: int):
+    def _search(self, width: int):
         k, dims, sure, leaf = self.k, self.dims, self.sure, self.leaf
-        plane = np.random.default_rng(self.seed).standard_normal((width + 1, dims))
+        plane = np.random.default_rng(self.seed).standard_normal((width, dims))
 
         def run(table: pa.Table) -> pa.Table:
             ids = table.column("vec_id").to_numpy()
@@ -90,37 +115,41 @@ class ProjectionSearch:
             nothing = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
             if not len(q) or not len(x):
                 return nothing
-            more = np.sqrt(np.maximum(largest**2 - (x * x).sum(1), 0))
-            low = x @ plane[:-1] + more[:, None] * plane[-1]
-            low_q = q @ plane[:-1]
-            leaves = kd_leaves(low, leaf)
-            boxes = np.stack([np.stack([low[r].min(0), low[r].max(0)]) for r in leaves])
-            order = np.concatenate(leaves)
-            x, ids = x[order], ids[order]
-            ends = np.cumsum([len(r) for r in leaves])
-            inside = [np.arange(e - len(r), e) for e, r in zip(ends.tolist(), leaves, strict=True)]
-            norms = (q * q).sum(1) + largest**2
+            length, length_q = norms_of(x), norms_of(q)
+            ranges = []
+            for part in norm_ranges(length):
+                m = length[part].max()
+                low = (x[part] / m) @ plane
+                leaves = kd_leaves(low, leaf)
+                boxes = np.stack([np.stack([low[r].min(0), low[r].max(0)]) for r in leaves])
+                inside = [part[r] for r in leaves]
+                ranges.append((m, boxes, np.array([(length[r] / m).max() ** 2 for r in inside]), inside))
+            low_q = (q / length_q[:, None]) @ plane
             out = []
             for i in range(len(q)):
-                gap = np.maximum(np.maximum(boxes[:, 0] - low_q[i], low_q[i] - boxes[:, 1]), 0)
-                far = (gap * gap).sum(1)
-                visit = np.argsort(far, kind="stable")
                 best, names = np.zeros(0), np.zeros(0, np.int64)
-                a, step = 0, 16
-                while a < len(visit):
-                    if len(best) == k:
-                        nearest = max(norms[i] - 2 * best[-1], 1e-300)
-                        if chi_square(far[visit[a]] / nearest, dims) >= sure:
-                            break
-                    rows = np.concatenate([inside[v] for v in visit[a : a + step].tolist()])
-                    rows = rows[ids[rows] != qid[i]]
-                    best, names = np.concatenate([best, x[rows] @ q[i]]), np.concatenate([names, ids[rows]])
-                    if len(best) > 4 * k:  # ties at the cut are kept for the sort
-                        near = best >= np.partition(best, len(best) - k)[len(best) - k]
-                        best, names = best[near], names[near]
-                    top = np.lexsort((names, -best))[:k]
-                    best, names = best[top], names[top]
-                    a, step = a + step, 2 * step
+                for m, boxes, longest, inside in ranges:
+                    # a hair above, so that rounding leaves out no tie
+                    if len(best) == k and length_q[i] * m * (1 + 1e-12) < best[-1]:
+                        break
+                    gap = np.maximum(np.maximum(boxes[:, 0] - low_q[i], low_q[i] - boxes[:, 1]), 0)
+                    far = (gap * gap).sum(1)
+                    visit, step = np.argsort(far, kind="stable"), 16
+                    while len(visit):
+                        if len(best) == k:
+                            nearest = np.maximum(1 + longest[visit] - 2 * (best[-1] / length_q[i] / m), 1e-300)
+                            visit = visit[chi_square(far[visit] / nearest, dims) < sure]
+                            if not len(visit):
+                                break
+                        rows = np.concatenate([inside[v] for v in visit[:step].tolist()])
+                        rows = rows[ids[rows] != qid[i]]
+                        best, names = np.concatenate([best, x[rows] @ q[i]]), np.concatenate([names, ids[rows]])
+                        if len(best) > 4 * k:  # ties at the cut are kept for the sort
+                            near = best >= np.partition(best, len(best) - k)[len(best) - k]
+                            best, names = best[near], names[near]
+                        top = np.lexsort((names, -best))[:k]
+                        best, names = best[top], names[top]
+                        visit, step = visit[step:], 2 * step
                 out.append((np.full(len(best), qid[i]), names, best))
             return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
@@ -137,7 +166,7 @@ class ProjectionSearch:
     def search(self, vectors: DataFrame, every: int = 20) -> DataFrame:
         """query_id, rank, vec_id, score for the rows whose vec_id is divisible by ``every``."""
         rows = materialise(self.clean(vectors), "vectors")
-        by_width = rows.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e)).alias("square"))
+        by_width = rows.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n"))
         shape = by_width.orderBy(F.desc("n"), F.desc("width")).first()
         if shape is None:
             return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -149,7 +178,6 @@ class ProjectionSearch:
         stored = rows.select("vec_id", "v", F.lit(False).alias("ask"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), number(blocks).alias("block"))
         asks = rows.filter(asked).select("vec_id", "v", F.lit(True).alias("ask"), number(shards).alias("shard"), F.pmod(F.hash("vec_id"), F.lit(blocks)).cast("int").alias("block"))
         tasks = stored.unionByName(asks).groupBy("shard", "block")
-        # a hair above the root, so that rounding leaves no norm larger
-        found = tasks.applyInArrow(self._search(float(np.sqrt(shape["square"])) * (1 + 1e-12), shape["width"]), FOUND)
+        found = tasks.applyInArrow(self._search(shape["width"]), FOUND)
         rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", rank).filter(F.col("rank") <= self.k).select("query_id", "rank", "vec_id", "score")
