@@ -82,6 +82,13 @@ def test_model_is_normalised_and_learns():
     assert np.mean([table[a].argmax() == (a + 1) % k for a in range(k)]) > 0.8
 
 
+def test_training_passes_over_all_pairs():
+    k = 20_000
+    codes, counts = np.arange(k) * k + (np.arange(k) + 1) % k, np.where(np.arange(k) % 1000, 1, 500)
+    start, got = train(codes[:0], counts[:0], k), train(codes, counts, k, steps=1)
+    assert (got.context != start.context).any(1).all()
+
+
 # --------------------------------------------------------------------- mixing
 def test_mixing_edges(spark):
     rows = [(1, "a b", None), (1, "a b", None), (2, None, "s"), (3, "x " * 50, "s"), (None, "y " * 7, "t"), (4, "z " * 400, "u"), (5, "q", ""), (5, "q r s", "")]
