@@ -82,6 +82,18 @@ def test_model_is_normalised_and_learns():
     assert np.mean([table[a].argmax() == (a + 1) % k for a in range(k)]) > 0.8
 
 
+def test_language_model_classes_grow_with_the_words(spark):
+    word = lambda i: "".join(chr(97 + i // 26**j % 26) for j in range(3)) + "ing"  # noqa: E731  all of one suffix
+    sizes = []
+    for n in (900, 3600):
+        texts = [word(i) + " " + word((i + 1) % n) for i in range(n) for _ in range(1 + n // (i + 1))]
+        v = LanguageModel().vocabulary(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4), 3)
+        assert v.tokens == 3 * len(texts) and v.types == n + 1
+        assert len(v.keys) - 1 + v.bin_types.sum() == n and (v.in_bin >= v.bin_types).all()
+        sizes.append(len(v.keys))
+    assert sizes[0] == 901 and sizes[1] >= 1700
+
+
 def test_training_passes_over_all_pairs():
     k = 20_000
     codes, counts = np.arange(k) * k + (np.arange(k) + 1) % k, np.where(np.arange(k) % 1000, 1, 500)
