@@ -82,6 +82,14 @@ def test_model_is_normalised_and_learns():
     assert np.mean([table[a].argmax() == (a + 1) % k for a in range(k)]) > 0.8
 
 
+def test_language_model_counts_the_end_of_one_long_text(spark):
+    text = " ".join(f"w{i}" for i in range(20_000))
+    df = spark.range(1, 2).selectExpr("id AS doc_id", "array_join(transform(sequence(0, 19999), i -> concat('w', i)), ' ') AS text")  # of known size, so few buckets
+    (got,) = LanguageModel().score(df).collect()
+    (want,) = base_scores([(1, text)])
+    assert tuple(got)[:5] == want[:5] == (1, False, 20_001, 20_001, 20_001) and got.base_score == pytest.approx(want[5], rel=1e-9)
+
+
 def test_language_model_classes_grow_with_the_words(spark):
     word = lambda i: "".join(chr(97 + i // 26**j % 26) for j in range(3)) + "ing"  # noqa: E731  all of one suffix
     sizes = []
