@@ -1,16 +1,18 @@
-"""n-gram Jaccard join through a MinHash LSH forest.
+"""n-gram Jaccard join through MinHash bands.
 
 Documents are sets of five-word shingles (a document of one to four words is
 one shingle).  Two documents are linked when their Jaccard similarity is at
 least ``threshold``.
 
 1. Signatures.  Texts with the same words are one node.  Each document gets
-   ``trees`` tries' worth of MinHash values.  Starting from ``most_depth`` the
-   matched prefix is shortened until a pair right at the threshold shares one
-   in some tree with probability ``recall`` (here 5 values in 24 trees give
-   0.99993; pairs above the threshold do better).
-2. Candidates.  Documents under one trie node are joined to the least node
-   there: a star, never all pairs.  Stars are merged into candidate groups by
+   ``trees`` bands of MinHash values, each hashed to one key.  Their depth is
+   fixed beforehand: the largest, from ``most_depth`` down, at which a pair
+   right at the threshold shares a band with probability ``recall`` (here 5
+   values in 24 bands give 0.99993; pairs above the threshold do better).  This
+   replaces an LSH forest: with one threshold for all pairs, prefixes in tries
+   would be shortened to the same depth and give the same candidates.
+2. Candidates.  Documents with one key are joined to the least node among
+   them: a star, never all pairs.  Stars are merged into candidate groups by
    connected components.
 3. Exact verification.  Every pair of texts in a candidate group is compared
    by its shingle sets.  A group with more texts or shingles than one task
@@ -47,7 +49,7 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
 def depth_for(threshold: float, trees: int, most: int, recall: float) -> int:
-    """Shorten the prefix until pairs at the threshold meet often enough."""
+    """The largest depth at which pairs at the threshold meet often enough."""
     for depth in range(most, 1, -1):
         if 1 - (1 - threshold**depth) ** trees >= recall:
             return depth
@@ -205,7 +207,7 @@ class NearCopies:
             F.min(row).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("shingles").alias("shingles")
         )
         nodes = materialise(nodes, "nodes")
-        # one row of each node stands for it in the forest
+        # one row of each node stands for it in the bands
         lead = signed.join(nodes.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.print").alias("print")), ["node", "doc_id", "print"], "left_semi")
         under = lead.select("node", F.explode("keys").alias("key"))
         stars = under.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("most")).filter("hub <> most").select("key", "hub")
