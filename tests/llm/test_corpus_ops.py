@@ -15,7 +15,7 @@ from veilspark.llm import entries, media
 from veilspark.llm.chat import ChatFormatter, PART, read_loss, read_turns
 from veilspark.llm.language import LanguageModel, train
 from veilspark.llm.mixing import SourceMixer
-from veilspark.llm.neighbours import ProjectionSearch, chi_square
+from veilspark.llm.neighbours import ProjectionSearch, Shard, chi_square, chi_square_at, norms_of, plane_of, range_of
 from veilspark.llm.packing import Packer, fullest, plan_bins
 from veilspark.llm.quality import QualityClassifier, features_of, fit
 from veilspark.llm.warc import WarcWriter, page_of, read_line, record_id, surt
@@ -296,30 +296,100 @@ def test_media_columns(spark):
 
 
 # ----------------------------------------------------------------- neighbours
-def test_neighbours_recall(spark):
-    df = spark.read.parquet(f"{SF}/embeddings.parquet")
-    p = df.toPandas()
-    x, ids = np.array([np.array(v, float) for v in p.embedding]), p.vec_id.to_numpy()
-    got = ProjectionSearch(shard_rows=60).search(df, every=10).toPandas()
+def exact_nearest(x, ids, q, k=20):
+    s = x @ x[q]
+    s[ids == ids[q]] = -np.inf
+    return ids[np.lexsort((ids, -s))[: min(k, int((ids != ids[q]).sum()))]]
+
+
+def recall_of(got, x, ids, asked, k=20):
     hits = total = 0
-    for q in np.flatnonzero(ids % 10 == 0):
-        s = x @ x[q]
-        s[q] = -np.inf
-        want = ids[np.lexsort((ids, -s))[:20]]
+    for q in asked:
+        want = exact_nearest(x, ids, q, k)
         own = got[got.query_id == ids[q]].sort_values("rank")
-        assert list(own["rank"]) == list(range(1, len(own) + 1)) and (np.diff(own.score) <= 0).all()
+        assert list(own["rank"]) == list(range(1, len(want) + 1)) and (np.diff(own.score) <= 0).all()
         hits, total = hits + len(set(want) & set(own.vec_id)), total + len(want)
-    assert hits / total >= 0.9
+    return hits / total
+
+
+@pytest.mark.parametrize("shard", [60, 25_000])
+def test_neighbours_recall(spark, shard):
+    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+    p = df.toPandas()
+    x, ids = np.array([np.array(v, float) for v in p.embedding]), p.vec_id.to_numpy()
+    got = ProjectionSearch(shard_rows=shard, leaf=24, query_rows=7).search(df, every=10).toPandas()
+    assert recall_of(got, x, ids, np.flatnonzero(ids % 10 == 0)) >= 0.9
+
+
+def clustered(n, seed=0):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((200, 64))
+    x = centres[rng.integers(0, 200, n)] + 0.3 * rng.standard_normal((n, 64))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("kind", ["clustered", "outliers", "unclustered"])
+def test_a_shard_stops_early_and_finds_most(kind):
+    n, k = 20_000, 20
+    x = clustered(n) if kind != "unclustered" else np.random.default_rng(1).standard_normal((n, 64))
+    if kind == "unclustered":
+        x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "outliers":
+        x[[5, 77]] *= 1e4
+    ids, asked, hits, verified = np.arange(n) * 3, np.arange(0, n, 250), 0, 0
+    shards = []
+    scale = range_of(norms_of(x))
+    for e in np.unique(scale)[::-1]:
+        shards.append(Shard(ids[scale == e], x[scale == e], int(e), plane_of(64, 24, 5), 0.9, 64))
+    best = {q: [] for q in asked}
+    kth = np.full(len(asked), -np.inf)
+    for shard in shards:
+        i, names, score = shard.search(ids[asked], x[asked], kth, k)
+        for j, q in enumerate(asked):
+            best[q] = sorted(best[q] + list(zip(-score[i == j], names[i == j])))[:k]
+            kth[j] = -best[q][-1][0] if len(best[q]) == k else -np.inf
+        verified += shard.verified
+    for q in asked:
+        hits += len(set(exact_nearest(x, ids, q)) & {m for _, m in best[q]})
+    assert hits / (k * len(asked)) >= 0.9
+    assert verified / (n * len(asked)) < {"clustered": 0.1, "outliers": 0.1, "unclustered": 0.9}[kind]
+
+
+def test_neighbours_over_many_shards(spark):
+    x = clustered(6000, 3)
+    x[::7] *= 3.0
+    x[17] *= 1e4
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    search = ProjectionSearch(shard_rows=500, query_rows=10)
+    placed, directory = search.index(df)
+    assert len(directory.of) >= 12 and directory.of["n"].sum() == len(x) and placed.count() == len(x)
+    got = search.search(df, every=100).toPandas()
+    assert recall_of(got, x, ids, ids[::100]) >= 0.9
+
+
+def test_neighbours_ties_take_the_smaller_id(spark):
+    rows = [(i, [1.0, 0.5, 0.25]) for i in range(60)] + [(100 + i, [0.5, 0.5, float(i) / 7]) for i in range(40)]
+    got = ProjectionSearch().search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    for q in (0, 20, 40):
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == exact_nearest(x, ids, int(np.flatnonzero(ids == q)[0])).tolist()
 
 
 def test_neighbours_edges(spark):
     nan = float("nan")
-    rows = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (40, None), (None, [1.0, 1.0]), (1, [2.0, 0.0]), (2, [nan, 1.0]), (3, [1.0, None]), (4, [1.0, 1.0, 1.0]), (1, [3.0, 0.0]), (60, [-1.0, 0.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS v", "2 AS shard")
+    rows = [
+        (0, [1.0, 0.0]), (20, [0.0, 0.0]), (40, None), (None, [1.0, 1.0]), (1, [2.0, 0.0]), (2, [nan, 1.0]), (3, [1.0, None]), (4, [1.0, 1.0, 1.0]), (1, [3.0, 0.0]), (60, [-1.0, 0.0]),
+        (80, [2.0, 0.0, 0.0]), (5, []), (6, [float("inf"), 0.0]),
+    ]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS v", "2 AS shard", "3 AS `row`")
     got = [tuple(r) for r in ProjectionSearch().search(df).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 3.0), (0, 2, 60, -1.0), (60, 1, 0, -1.0), (60, 2, 1, -3.0)]
+    assert got == [(0, 1, 1, 3.0), (0, 2, 1, 2.0), (0, 3, 60, -1.0), (60, 1, 0, -1.0), (60, 2, 1, -2.0), (60, 3, 1, -3.0), (80, 1, 4, 2.0)]
     assert ProjectionSearch().search(df.limit(0)).collect() == []
+    tiny = spark.createDataFrame([(0, [1e-310, 0.0]), (1, [1e300, 1e300]), (2, [1e-300, 0.0])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in ProjectionSearch().search(tiny).orderBy("rank").collect()] == [1, 2]
     assert chi_square(np.array([0.0, 7.344, np.inf]), 8).round(3).tolist() == [0.0, 0.5, 1.0]
+    assert abs(chi_square_at(0.5, 8) - 7.344) < 1e-3
 
 
 @pytest.mark.parametrize("longer", [10.0, 1000.0, None])
