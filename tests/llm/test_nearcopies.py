@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veilspark.llm.graphs import connected_components
-from veilspark.llm.nearcopies import NearCopies, depth_for, linked
+from veilspark.llm.common import words_of
+from veilspark.llm.nearcopies import HALF, NearCopies, digests, forest, linked, met, recalls
 
 from ..conftest import SF
 
@@ -77,9 +79,89 @@ def test_edges(spark):
     assert kept.columns == df.columns and kept.count() == 8
 
 
-def test_depth_meets_the_recall():
-    d = depth_for(0.8, 24, 8, 0.9999)
-    assert 1 - (1 - 0.8**d) ** 24 >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** 24
+def test_recall_is_told_by_the_pairs_found():
+    none = np.zeros(200)
+    reach = recalls(none, 0.8, 8, 4, 24)
+    assert all(abs(reach[d] - met(0.8, d, 24)) < 1e-9 for d in reach) and reach[5] >= 0.9999 > reach[6]
+    high = none.copy()
+    high[150] = 1e6  # very many pairs far above the threshold need no shorter prefixes
+    assert recalls(high, 0.8, 8, 4, 24)[8] >= 0.9999
+    low = none.copy()
+    low[0] = 1e6
+    assert recalls(low, 0.8, 8, 4, 24)[8] < 0.99
+
+
+def test_prefixes_shorten_until_the_recall(spark):
+    rng = np.random.default_rng(3)
+    rows, words = [], [f"v{i}" for i in range(4000)]
+    for g in range(150):
+        base = rng.choice(words, 100).tolist()
+        for k in range(3):
+            own = list(base)
+            for at in rng.choice(100, 2 if g % 2 else 1, replace=False):
+                own[at] = f"x{g}_{k}_{at}"
+            rows.append((len(rows), " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want, near = brute(rows), NearCopies()
+    assert sorted([(r.doc_id, r.class_id, r.n_links) for r in near.join(df).collect()], key=str) == want
+    assert near.report["recall"] >= 0.9999 and near.report["depth"] < near.most_depth
+    loose = NearCopies(recall=0.5)
+    got = {r.doc_id: r.n_links for r in loose.join(df).collect()}
+    assert loose.report["depth"] == loose.most_depth and sum(got.values()) >= 0.9 * sum(n for _, _, n in want)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_the_forest_links_runs_of_equal_prefixes(spark, parts):
+    rng = np.random.default_rng(5)
+    hi, lo = rng.integers(-2, 2, (300, 3)), rng.integers(0, 3, (300, 3)) << 48 | rng.integers(0, 2, (300, 3)) << 32 | rng.integers(0, 2, (300, 3)) << 16
+    df = spark.createDataFrame([(i, h.tolist(), v.tolist()) for i, (h, v) in enumerate(zip(hi, lo))], "id long, hi array<long>, lo array<long>")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = forest(df, 8).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for depth in range(HALF, 9):
+        root = list(range(300))
+
+        def find(a, root=root):
+            while root[a] != a:
+                a = root[a]
+            return a
+
+        for r in got:
+            if r.prefix >= depth:
+                root[find(r.id)] = find(r.hubs[depth - HALF])
+        theirs = list(range(300))
+        for t in range(3):
+            least = {}
+            for i in range(300):
+                k = (hi[i, t], lo[i, t] >> 16 * (8 - depth))
+                theirs[find(i, theirs)] = find(least.setdefault(k, i), theirs)
+        groups = lambda rs, f: sorted(map(sorted, {f(i): [j for j in range(300) if f(j) == f(i)] for i in range(300)}.values()))
+        assert groups(root, find) == groups(theirs, lambda i, r=theirs: find(i, r))
+
+
+def thue_morse(n, a, b):
+    return [b if bin(i).count("1") % 2 else a for i in range(n)]
+
+
+def test_texts_in_thue_morse_order_are_told_apart(spark):
+    rows = [(1, " ".join(thue_morse(2048, "p", "q"))), (2, " ".join(thue_morse(2048, "q", "p"))), (3, "".join(thue_morse(2048, "p", "q"))), (4, "".join(thue_morse(2048, "q", "p")))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.copy_of for r in NearCopies().join(df).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert {r.doc_id for r in NearCopies().keep_one(df).collect()} >= {3, 4}
+
+
+def test_digests_are_of_the_words_alone():
+    texts = ["a b", " a\tb ", "a  b\n", "ab", "", " ", "b", "a b", "a"]
+    got = digests(words_of(pa.array(texts)))
+    same = [[x == y for x in got] for y in got]
+    words = [t.split() for t in texts]
+    assert same == [[x == y for x in words] for y in words]
 
 
 def test_linked_counts_like_sets():

@@ -7,6 +7,7 @@ Python loop runs per word.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -23,6 +24,7 @@ BATCH_BYTES = 4 << 20
 CELL_BYTES = 4 << 20
 
 LEAST_CELLS = 64
+LONG_WORD = 64
 
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
@@ -34,11 +36,14 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is made and remembered in the session.
+    Where the session names none, a session on one machine (a local master)
+    gets a temporary folder, made once in this process; on a cluster that
+    would be another folder on each machine, so it is an error there.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get("dir")
     if not where:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="veilspark-")
     return where.rstrip("/")
 
@@ -192,7 +197,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(w: Words, data: np.ndarray | None = None) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, from prefix sums over the whole block."""
+    """A 64-bit hash of each word's bytes, from prefix sums over the whole block.
+
+    Polynomials modulo 2^64 collide on long regular words (those in Thue-Morse
+    order, for one), so words above ``LONG_WORD`` bytes are hashed by BLAKE2.
+    """
     data = w.data if data is None else data
     if not len(w.start):
         return np.zeros(0, np.uint64)
@@ -201,7 +210,10 @@ def word_hashes(w: Words, data: np.ndarray | None = None) -> np.ndarray:
     sums[0] = 0
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
     h = (sums[w.end] - sums[w.start]) * down[w.start]
-    return mix(h + (w.end - w.start).astype(np.uint64))
+    h = mix(h + (w.end - w.start).astype(np.uint64))
+    for i in np.flatnonzero(w.end - w.start > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[w.start[i] : w.end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:

@@ -1,82 +1,122 @@
-"""n-gram Jaccard join through MinHash bands.
+"""n-gram Jaccard join through a MinHash LSH forest.
 
 Documents are sets of five-word shingles (a document of one to four words is
 one shingle).  Two documents are linked when their Jaccard similarity is at
 least ``threshold``.
 
-1. Signatures.  Texts with the same words are one node.  Each document gets
-   ``trees`` bands of MinHash values, each hashed to one key.  Their depth is
-   fixed beforehand: the largest, from ``most_depth`` down, at which a pair
-   right at the threshold shares a band with probability ``recall`` (here 5
-   values in 24 bands give 0.99993; pairs above the threshold do better).  This
-   replaces an LSH forest: with one threshold for all pairs, prefixes in tries
-   would be shortened to the same depth and give the same candidates.
-2. Candidates.  Documents with one key are joined to the least node among
-   them: a star, never all pairs.  Stars are merged into candidate groups by
-   connected components.
-3. Exact verification.  Every pair of texts in a candidate group is compared
+1. Signatures.  Texts with the same words are one node, told by a 128-bit BLAKE2
+   digest of the words.  Each node has ``trees`` sequences of ``most_depth``
+   MinHash values of 16 bits.
+2. Forest.  A tree is the prefix trie of its sequences, kept as a sorted
+   array: all sequences are range-sorted by (tree, values), and beside each stands
+   the length of the prefix that it shares with the one before.  The nodes below a
+   trie node of depth d are a run in which these lengths are d or more, and each run
+   links its members to its first: a star, never all pairs.  Runs that go
+   over the end of a partition are joined by its first and last sequences.
+3. Prefixes are shortened until the recall is reached.  Beginning with whole
+   sequences, stars are merged into candidate groups by connected components
+   and verified.  A true pair of similarity s meets at depth d with probability
+   p_d(s) = 1 - (1 - s^d)^trees, so every pair found stands for 1 / p_d(s) pairs, and the
+   similarities of all pairs found tell which part of all pairs has been found (with one
+   more pair right at the threshold counted as missed in part, so that few pairs prove
+   little).  Below ``recall`` the prefixes are cut to the greatest length that the same
+   similarities say is enough, and groups that have grown are verified anew.
+4. Exact verification.  Every pair of texts in a candidate group is compared
    by its shingle sets.  A group with more texts or shingles than one task
    should hold is dealt into blocks, and each pair of blocks is a task of its
-   own, so nothing is capped.  Only link counts and one root a text leave a
-   task, not pairs.
+   own, so nothing is capped.  Only link counts, one root a text and a histogram of
+   similarities leave a task, not pairs.
 
-Scale: rows with keys and node numbers are shuffled; texts are shuffled once
-to fetch those in candidate groups.  A group of copies that holds a third of
-all rows is one node after the first aggregation.
+Scale: rows with sequences and node numbers are shuffled; texts are shuffled once
+to fetch the shingles of those below some trie node.  A group of copies that holds a third of
+all rows is one node after the first aggregation; a run that holds a third of all nodes
+is split by the range sort.  Counting the links in a group of n different near copies
+takes n^2 comparisons, and its texts are sent n / ``block_texts`` times.
 
 Defined results: texts without words (null, empty, blank) link to nothing and
-are their own class; repeated rows link to each other as copies do; a null
+are their own class; very long texts are whole sets of shingles, in blocks of their own; repeated rows
+link to each other as copies do; a class with several least doc_ids keeps any one of the rows
+that are equal in doc_id and text; a null
 doc_id counts as less than all others; an empty table gives no rows; other
-columns are never read.  Shingles and texts are compared by 64-bit hashes.
+columns are never read.  Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, bound_batches, gram_hashes, materialise, mix, powers, text_blocks, word_hashes, words_of
+from .common import Words, bound_batches, gram_hashes, materialise, pack, text_blocks, word_hashes, words_of
 from .graphs import connected_components
 
 LEAST = -(1 << 63)
-_MUL = np.uint64(0x9E3779B97F4A7C15)
+#: Values of 16 bits in each of the two numbers that hold a sequence.
+HALF = 4
+#: Steps from the threshold to 1 in which similarities are counted.
+STEPS = 200
 
 
-def depth_for(threshold: float, trees: int, most: int, recall: float) -> int:
-    """The largest depth at which pairs at the threshold meet often enough."""
-    for depth in range(most, 1, -1):
-        if 1 - (1 - threshold**depth) ** trees >= recall:
-            return depth
-    return 1
+def met(similarity, depth: int, trees: int):
+    """The probability that a pair shares a prefix of ``depth`` values in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
-def shingles_of(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingle hashes of all texts in turn, how many each has, and a hash of each text's words."""
+def recalls(counts: np.ndarray, threshold: float, depth: int, least: int, trees: int) -> dict[int, float]:
+    """The part of all pairs that prefixes of each length down to ``least`` find.
+
+    ``counts``: pairs found at ``depth`` by similarity, in equal steps from the
+    threshold.  One pair at the threshold is added.
+    """
+    s = threshold + (1 - threshold) * np.arange(len(counts)) / len(counts)
+    n = counts.astype(float)
+    n[0] += met(threshold, depth, trees)
+    all_ = n / met(s, depth, trees)
+    return {d: float((all_ * met(s, d, trees)).sum() / all_.sum()) for d in range(least, depth + 1)}
+
+
+def digests(w: Words) -> list[bytes]:
+    """128 bits for each text: a digest of its words, joined by one space."""
+    gap = np.zeros(len(w.data) + 1, bool)
+    gap[w.end] = True
+    last = w.first[1:][w.counts > 0] - 1
+    gap[w.end[last]] = False
+    ink = np.zeros(len(w.data) + 1, np.int8)
+    ink[w.start] += 1
+    ink[w.end] -= 1  # a word never begins where another ends, but a text may
+    ink = np.cumsum(ink)[:-1] > 0 if len(w.start) else np.zeros(len(w.data), bool)
+    take = ink | gap[:-1]
+    data = w.data.copy()
+    data[gap[:-1] & ~ink] = 0x20
+    at = np.zeros(len(w.data) + 1, np.int64)
+    np.cumsum(take, out=at[1:])
+    kept, cuts = data[take], at[w.offsets].tolist()
+    return [hashlib.blake2b(kept[a:b], digest_size=16).digest() for a, b in zip(cuts, cuts[1:])]
+
+
+def shingles_of(w: Words, size: int, of_text: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of all texts in turn and how many each has; ``of_text``: digests."""
     h = word_hashes(w)
     counts = w.counts
-    first, last = w.first[:-1], w.first[1:]
-    up, down = powers(len(h) + 1)
-    sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=sums[1:])
-    whole = mix((sums[last] - sums[first]) * down[np.minimum(first, len(h))] + counts.astype(np.uint64))
     number = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     out = np.empty(number.sum(), np.uint64)
     at = np.cumsum(number) - number
     long = counts >= size
-    left = last[w.doc()] - np.arange(len(h))
+    left = w.first[1:][w.doc()] - np.arange(len(h))
     grams = gram_hashes(h, size)
     mask = np.repeat(long, number)
     if len(grams):
         out[mask] = grams[left[: len(grams)] >= size]
-    short = ~long & (counts > 0)
-    out[at[short]] = whole[short]
-    return out, number, whole
+    short = np.flatnonzero(~long & (counts > 0))
+    out[at[short]] = np.frombuffer(b"".join(of_text[i][:8] for i in short.tolist()), np.uint64)
+    return out, number
 
 
 def _sign(size: int, trees: int, depth: int):
@@ -87,36 +127,140 @@ def _sign(size: int, trees: int, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in text_blocks(batch):
-                shingles, number, whole = shingles_of(words_of(block.column("text")), size)
+                w = words_of(block.column("text"))
+                node = digests(w)
+                shingles, number = shingles_of(w, size, node)
                 some = np.flatnonzero(number)
-                keys = np.zeros((len(some), trees), np.uint64)
+                keys = np.zeros((2, len(some), trees), np.uint64)
                 if len(some):
                     x = (shingles >> np.uint64(32)).astype(np.uint32)
                     starts = (np.cumsum(number) - number)[some]
                     y = np.empty_like(x)
                     for t in range(trees):
-                        key = np.full(len(some), t + 1, np.uint64)
-                        for i in range(t * depth, (t + 1) * depth):
-                            np.multiply(x, times[i], out=y)
-                            np.add(y, plus[i], out=y)
-                            key = (key ^ np.minimum.reduceat(y, starts)) * _MUL
-                        keys[:, t] = mix(key)
+                        for i in range(depth):
+                            np.multiply(x, times[t * depth + i], out=y)
+                            np.add(y, plus[t * depth + i], out=y)
+                            value = (np.minimum.reduceat(y, starts) * np.uint32(0x9E3779B1)) >> np.uint32(16)
+                            keys[i // HALF, :, t] |= value.astype(np.uint64) << np.uint64(16 * (HALF - 1 - i % HALF))
                 at = np.zeros(len(number) + 1, np.int32)
                 np.cumsum(np.where(number > 0, trees, 0), out=at[1:])
                 yield pa.RecordBatch.from_arrays(
                     [
                         block.column("doc_id"),
                         block.column("print"),
-                        pa.array(whole.view(np.int64), mask=number == 0),
+                        pa.array(node, pa.binary(), mask=number == 0),
                         pa.array(number.astype(np.int64)),
-                        pa.ListArray.from_arrays(at, keys.view(np.int64).ravel()),
+                        *(pa.ListArray.from_arrays(at, k.view(np.int64).ravel()) for k in keys),
                     ],
-                    ["doc_id", "print", "node", "shingles", "keys"],
+                    ["doc_id", "print", "node", "shingles", "hi", "lo"],
                 )
 
     return run
 
 
+# -------------------------------------------------------------------- forest
+def shared_prefix(tree: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """How many values each sequence shares with the one before: 0, or ``HALF`` to twice that."""
+    same = np.zeros(len(tree), bool)
+    same[1:] = (tree[1:] == tree[:-1]) & (hi[1:] == hi[:-1])
+    other = np.full(len(tree), (1 << 64) - 1, np.uint64)
+    other[1:] = (lo[1:] ^ lo[:-1]).view(np.uint64)
+    more = sum((other >> np.uint64(16 * i) == 0).astype(np.int64) for i in range(HALF))
+    return np.where(same, HALF + more, 0)
+
+
+def _runs(most: int):
+    """Sorted sequences to links: each to the first of its run, for every prefix length.
+
+    The first and last sequences of a partition come with its number (``part``).
+    """
+    depths = range(HALF, most + 1)
+    names = ["id", "prefix", "hubs", "part", "turn", "tree", "hi", "lo"]
+
+    def ends(part: int, turn: int, tree: int, hi: int, lo: int, own: int) -> pa.RecordBatch:
+        types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((own, None, None, part, turn, tree, hi, lo), types, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        last: tuple | None = None
+        hubs = np.zeros(len(depths), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree, hi, lo, own = (batch.column(c).to_numpy() for c in ("tree", "hi", "lo", "id"))
+            if last is None:
+                yield ends(part, 0, tree[0], hi[0], lo[0], own[0])
+                hubs[:] = own[0]
+                before = (tree[0] - 1, hi[0], lo[0], own[0])
+            else:
+                before = last
+            tree, hi, lo, own = (np.concatenate([[b], a]).astype(a.dtype) for b, a in zip(before, (tree, hi, lo, own), strict=True))
+            prefix = shared_prefix(tree, hi, lo)
+            at, first = np.arange(len(own)), np.empty((len(own), len(depths)), np.int64)
+            for j, d in enumerate(depths):
+                start = np.maximum.accumulate(np.where(prefix < d, at, 0))
+                first[:, j] = np.where(start == 0, hubs[j], own[start])
+            hubs = first[-1].copy()
+            last = (tree[-1], hi[-1], lo[-1], own[-1])
+            linked_ = np.flatnonzero(prefix >= HALF)
+            n = len(linked_)
+            none = lambda t: pa.nulls(n, t)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(own[linked_]),
+                    pa.array(prefix[linked_].astype(np.int32)),
+                    pa.ListArray.from_arrays(np.arange(0, n * len(depths) + 1, len(depths), dtype=np.int32), first[linked_].ravel()),
+                    none(pa.int32()), none(pa.int32()), none(pa.int32()), none(pa.int64()), none(pa.int64()),
+                ],
+                names,
+            )
+        if last is not None:
+            yield ends(part, 1, *last)
+
+    return run
+
+
+RUNS = "id long, prefix int, hubs array<long>, part int, turn int, tree int, hi long, lo long"
+
+
+def forest(sequences: DataFrame, most: int) -> DataFrame:
+    """sequences: id, hi, lo (arrays, a place for each tree).  Gives id, prefix, hubs.
+
+    ``hubs[d - HALF]`` is the node to which ``id`` is linked by prefixes of d values.
+    """
+    rows = sequences.select("id", F.posexplode(F.arrays_zip("hi", "lo")).alias("tree", "key")).select("tree", "key.hi", "key.lo", "id")
+    order = ["tree", "hi", "lo", "id"]
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    runs = materialise(sorted_.mapInArrow(_runs(most), RUNS), "runs")
+    inside = runs.filter("part is null").select("id", "prefix", "hubs")
+    # two rows a partition: the last of one beside the first of the next
+    ends = runs.filter("part is not null")
+    by = W.partitionBy(F.lit(0)).orderBy("part", "turn")
+    before = lambda c: F.lag(c).over(by).alias(f"its_{c}")
+    pairs = ends.select(*order, "turn", *map(before, order)).filter("turn = 0 and its_tree = tree and its_hi = hi")
+    longest = F.greatest(*[F.when(F.shiftrightunsigned(F.expr("lo ^ its_lo"), 16 * i) == 0, HALF * 2 - i).otherwise(HALF) for i in range(HALF)])
+    across = pairs.select("id", F.least(longest, F.lit(most)).cast("int").alias("prefix"), "its_id")
+    hubs = F.array(*[F.when(F.col("prefix") >= d, F.col("its_id")).otherwise(F.col("id")) for d in range(HALF, most + 1)])
+    return inside.unionByName(across.select("id", "prefix", hubs.alias("hubs")))
+
+
+def _sets(size: int):
+    """Distinct shingles of each text, sorted, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in text_blocks(batch):
+                w = words_of(block.column("text"))
+                shingles, number = shingles_of(w, size, digests(w))
+                ends = np.cumsum(number)
+                sets = [np.unique(shingles[e - k : e]) for e, k in zip(ends.tolist(), number.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([block.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([pack(s) for s in sets], pa.binary())], ["id", "shingles", "set"])
+
+    return run
+
+
+# -------------------------------------------------------------- verification
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """How many shingles each pair of sets shares."""
     n = len(sets)
@@ -142,54 +286,119 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return np.maximum(shared, shared.T)
 
 
-def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which pairs of sets reach the threshold, as a symmetric matrix."""
+def jaccard(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sizes of the intersections and of the unions of all pairs of sets."""
     size = np.array([len(s) for s in sets])
     shared = _overlaps(sets)
-    out = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-9
+    return shared, size[:, None] + size[None, :] - shared
+
+
+def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which pairs of sets reach the threshold, as a symmetric matrix."""
+    shared, union = jaccard(sets)
+    out = shared >= threshold * union - 1e-9
     np.fill_diagonal(out, False)
     return out
 
 
-def _verify(size: int, threshold: float):
+def _verify(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy()
-        _, one = np.unique(node, return_index=True)  # a text may come twice where doc_ids repeat
-        table, node = table.take(pa.array(one)), node[one]
-        shingles, number, whole = shingles_of(words_of(table.column("text")), size)
-        ends = np.cumsum(number)
-        sets = [np.unique(shingles[e - k : e]) for e, k in zip(ends.tolist(), number.tolist(), strict=True)]
-        near = linked(sets, threshold)
+        table = table.sort_by("id")
+        node = table.column("id").to_numpy()
+        sets = [np.frombuffer(b, np.uint64) for b in table.column("set").to_pylist()]
+        shared, union = jaccard(sets)
+        near = shared >= threshold * union - 1e-9
+        np.fill_diagonal(near, False)
         block, left, right = (table.column(k).to_numpy() for k in ("block", "left", "right"))
         if left[0] != right[0]:  # pairs inside a block are another task's
             near &= block[:, None] != block[None, :]
-        copies = table.column("copies").to_numpy()
-        links = near.astype(np.int64) @ copies
+        links = near.astype(np.int64) @ table.column("copies").to_numpy()
+        i, j = np.nonzero(np.triu(near, 1))
+        step = np.clip(((shared[i, j] / union[i, j] - threshold) / (1 - threshold) * STEPS).astype(np.int64), 0, STEPS - 1) if threshold < 1 else np.full(len(i), STEPS - 1)
         root, seen = np.arange(len(node)), np.zeros(len(node), bool)
-        for i in range(len(node)):  # nodes are sorted, so each tree is found from its least
-            if seen[i]:
+        for a in range(len(node)):  # nodes are sorted, so each tree is found from its least
+            if seen[a]:
                 continue
-            seen[i], front = True, [i]
+            seen[a], front = True, [a]
             while front:
                 new = near[front].any(axis=0) & ~seen
-                root[new], seen[new] = i, True
+                root[new], seen[new] = a, True
                 front = np.flatnonzero(new).tolist()
-        out = links > 0
-        return pa.table({"node": pa.array(node[out]), "root": pa.array(node[root[out]]), "links": pa.array(links[out]), "dealt": pa.array(table.column("blocks").to_numpy()[out] > 1)})
+        out = np.flatnonzero(links > 0)
+        told = [np.bincount(step, minlength=STEPS).tolist(), *[None] * (len(out) - 1)] if len(out) else []
+        return pa.table({
+            "candidate": table.column("candidate").take(pa.array(out)), "id": pa.array(node[out]), "root": pa.array(node[root[out]]), "links": pa.array(links[out]),
+            "dealt": pa.array(table.column("blocks").to_numpy()[out] > 1), "similar": pa.array(told, pa.list_(pa.int64())),
+        })
 
     return run
 
 
+FOUND = "candidate long, id long, root long, links long, dealt boolean, similar array<long>"
+
+
 @dataclass(frozen=True)
 class NearCopies:
+    """``report`` tells the prefix length and the recall of the last run."""
+
     threshold: float = 0.8
     shingle: int = 5
     trees: int = 24
-    most_depth: int = 8
+    most_depth: int = 2 * HALF
+    least_depth: int = HALF
     recall: float = 0.9999
     block_texts: int = 1024
     block_shingles: int = 1_000_000
+    spread_texts: int = 256
+    spread_blocks: int = 8
     hot_share: int = 1000
+    report: dict = field(default_factory=dict, compare=False)
+
+    def _deal(self, groups: DataFrame, sets: DataFrame) -> DataFrame:
+        """Link counts and roots of the texts of candidate groups (candidate, id, copies, texts, all)."""
+        needed = F.greatest(F.ceil(F.col("texts") / self.block_texts), F.ceil(F.col("all") / self.block_shingles))
+        spread = F.least(F.ceil(F.col("texts") / self.spread_texts), F.lit(self.spread_blocks))  # groups of some size become several tasks
+        member = groups.withColumn("blocks", F.greatest(needed, spread).cast("int")).withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        dealt = member.join(sets.select("id", "set"), "id").select("candidate", "id", "copies", "blocks", "block", "set", other).select(
+            "candidate", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "id", "copies", "blocks", "block", "set"
+        )
+        return dealt.groupBy("candidate", "left", "right").applyInArrow(_verify(self.threshold), FOUND)
+
+    def links(self, nodes: DataFrame, sequences: DataFrame, texts: DataFrame) -> DataFrame:
+        """candidate, id, root, links, dealt of all linked nodes.
+
+        nodes: id, doc_id, print, copies; sequences: id, hi, lo; texts: doc_id, print, text.
+        """
+        runs = materialise(forest(sequences, self.most_depth), "forest")
+        some = runs.select(F.explode(F.array("id", F.col("hubs")[0])).alias("id")).distinct()
+        wanted = nodes.join(some, "id", "left_semi").select("id", "doc_id", "print", "copies")
+        fetched = texts.join(wanted.select("id", "doc_id", "print").hint("shuffle_hash"), ["doc_id", "print"]).select("id", "text")
+        sets = fetched.mapInArrow(_sets(self.shingle), "id long, shingles long, set binary").dropDuplicates(["id"])  # a text comes twice where rows repeat
+        sets = materialise(sets, "sets")
+        weight = sets.select("id", "shingles").join(wanted.select("id", "copies"), "id")
+        depth, before = self.most_depth, None
+        while True:
+            edges = runs.filter(F.col("prefix") >= depth).select(F.col("id").alias("u"), F.col("hubs")[depth - HALF].alias("v"))
+            member = connected_components(edges).select(F.col("node").alias("id"), F.col("root").alias("candidate")).join(weight, "id")
+            sizes = materialise(member.groupBy("candidate").agg(F.count(F.lit(1)).alias("texts"), F.sum("shingles").alias("all")), "sizes")
+            if before is None:
+                found = materialise(self._deal(member.join(sizes, "candidate"), sets), "links")
+            else:  # a group only grows, so one with as many texts as before is the same
+                same = sizes.join(before[0].select("candidate", "texts"), ["candidate", "texts"], "left_semi").select("candidate")
+                grown = sizes.join(same, "candidate", "left_anti")
+                found = before[1].join(same, "candidate", "left_semi").unionByName(self._deal(member.join(grown, "candidate"), sets))
+                found = materialise(found, "links")
+            told = found.filter("similar is not null").select(F.posexplode("similar").alias("step", "n")).groupBy("step").agg(F.sum("n").alias("n")).collect()
+            counts = np.zeros(STEPS)
+            for r in told:
+                counts[r["step"]] = r["n"]
+            reach = recalls(counts, self.threshold, depth, self.least_depth, self.trees)
+            self.report.update(depth=depth, recall=reach[depth], pairs=int(counts.sum()))
+            if reach[depth] >= self.recall or depth <= self.least_depth:
+                return found
+            before = (sizes, found)
+            depth = max((d for d in reach if d < depth and reach[d] >= self.recall), default=self.least_depth)
 
     def classes(self, docs: DataFrame) -> DataFrame:
         """Per row: doc_id, print (hash of its text), class_id, class_print, copy_of, n_links.
@@ -198,52 +407,32 @@ class NearCopies:
         ``copy_of`` the least with the same words, ``n_links`` the number of
         other rows linked to this one.
         """
-        depth = depth_for(self.threshold, self.trees, self.most_depth, self.recall)
         source = bound_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc_id"), F.xxhash64("text").alias("print"), F.col("text"))
-        signed = source.mapInArrow(_sign(self.shingle, self.trees, depth), "doc_id long, print long, node long, shingles long, keys array<long>")
+        signed = source.mapInArrow(_sign(self.shingle, self.trees, self.most_depth), "doc_id long, print long, node binary, shingles long, hi array<long>, lo array<long>")
         signed = materialise(signed, "signatures")
         row = F.struct("doc_id", "print")
-        nodes = signed.filter("node is not null").groupBy("node").agg(
-            F.min(row).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("shingles").alias("shingles")
-        )
-        nodes = materialise(nodes, "nodes")
-        # one row of each node stands for it in the bands
-        lead = signed.join(nodes.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.print").alias("print")), ["node", "doc_id", "print"], "left_semi")
-        under = lead.select("node", F.explode("keys").alias("key"))
-        stars = under.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("most")).filter("hub <> most").select("key", "hub")
-        candidates = connected_components(under.join(stars, "key").filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")))
-        groups = candidates.join(nodes, "node")
-        sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("texts"), F.sum("shingles").alias("all"))
-        blocks = F.ceil(F.greatest(F.col("texts") / self.block_texts, F.col("all") / self.block_shingles)).cast("int")
-        member = materialise(
-            groups.join(sizes.select("root", blocks.alias("blocks")), "root").select(
-                F.col("root").alias("candidate"), "node", "copies", "blocks", F.pmod(F.hash("node"), F.col("blocks")).alias("block"),
-                F.col("first.doc_id").alias("doc_id"), F.col("first.print").alias("print"),
-            ),
-            "members",
-        )
-        fetched = source.join(member.hint("shuffle_hash"), ["doc_id", "print"])
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        dealt = fetched.select("candidate", "node", "copies", "blocks", "block", "text", other).select(
-            "candidate", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "node", "copies", "blocks", "block", "text"
-        )
-        found = dealt.groupBy("candidate", "left", "right").applyInArrow(_verify(self.shingle, self.threshold), "node long, root long, links long, dealt boolean")
-        found = materialise(found, "links")
-        roots = found.filter("not dealt").select("node", "root")
-        if not member.filter("blocks > 1").select(F.lit(1)).limit(1).isEmpty():
-            merged = connected_components(found.filter("dealt").select(F.col("node").alias("u"), F.col("root").alias("v")))
+        nodes = signed.filter("node is not null").groupBy("node").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("copies"))
+        nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+        flat = nodes.select("id", "node", F.col("first.doc_id").alias("doc_id"), F.col("first.print").alias("print"), "copies")
+        # one row of each node stands for it in the forest
+        sequences = signed.join(flat.drop("copies"), ["node", "doc_id", "print"]).select("id", "hi", "lo")
+        sequences = materialise(sequences.dropDuplicates(["id"]), "sequences")
+        found = self.links(flat, sequences, source)
+        roots = found.filter("not dealt").select(F.col("id").alias("node"), "root")
+        if not found.filter("dealt").select(F.lit(1)).limit(1).isEmpty():
+            merged = connected_components(found.filter("dealt").select(F.col("id").alias("u"), F.col("root").alias("v")))
             roots = roots.unionByName(merged)
-        links = found.groupBy("node").agg(F.sum("links").alias("links"))
-        rooted = roots.join(nodes.select("node", "first"), "node")
+        links = found.groupBy("id").agg(F.sum("links").alias("links"))
+        rooted = roots.withColumnRenamed("node", "id").join(nodes.select("id", "first"), "id")
         least = rooted.groupBy("root").agg(F.min("first").alias("class"))
-        linked_nodes = rooted.join(least, "root").join(links, "node").select("node", "class", "links")
-        known = nodes.join(linked_nodes, "node", "left").select(
-            "node", "first", F.coalesce("class", "first").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        linked_nodes = rooted.join(least, "root").join(links, "id").select("id", "class", "links")
+        known = nodes.join(linked_nodes, "id", "left").select(
+            "node", "copies", "first", F.coalesce("class", "first").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
         )
         # texts that more than a thousandth of the rows share are at most a thousand: these go by broadcast
         total = nodes.agg(F.sum("copies")).first()[0] or 0
         often = nodes.filter(F.col("copies") > total / self.hot_share).select("node", F.lit(True).alias("often"))
-        known = known.join(F.broadcast(often), "node", "left")
+        known = known.drop("copies").join(F.broadcast(often), "node", "left")
         rows = signed.select("doc_id", "print", "node")
         hot = rows.join(F.broadcast(known.filter("often")), "node")
         cold = rows.join(F.broadcast(often), "node", "left_anti").join(known.filter("often IS NULL"), "node", "left")
@@ -252,9 +441,10 @@ class NearCopies:
         return out.select("doc_id", "print", of("class", "doc_id").alias("class_id"), of("class", "print").alias("class_print"), of("first", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
     def join(self, docs: DataFrame) -> DataFrame:
-        """One row per document: doc_id, class_id, copy_of, n_links."""
+        """One row per document: doc_id, class_id, copy_of, n_links, and the prefix length and recall of the forest."""
         back = lambda c: F.when(F.col(c) != LEAST, F.col(c)).alias(c)
-        return self.classes(docs).select(back("doc_id"), back("class_id"), back("copy_of"), "n_links")
+        out = self.classes(docs)
+        return out.select(back("doc_id"), back("class_id"), back("copy_of"), "n_links", F.lit(self.report["depth"]).alias("prefix"), F.lit(self.report["recall"]).alias("recall"))
 
     def keep_one(self, docs: DataFrame) -> DataFrame:
         """The documents with one left of each class: the one with the least doc_id."""
