@@ -6,6 +6,8 @@ mask out again in another dialect; keyed digests share only the padded keys.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -13,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import catalogue_more as more
 from .errors import ConfigError, PolicyRejection
 from .functions import masks
 from .functions.keyed import Key, mac_sql
 from .functions.scrub import PATTERNS, scrub
-from .operators.classify import as_frame, check, propose, sample_rates
+from .operators.classify import as_frame, check, propose
 from .operators.corpus import survey
 from .operators.coverage import coverage_diff, snapshot
 from .operators.session import GuardedSession
@@ -143,11 +146,11 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "SELECT c.c_name, o.o_orderkey FROM demo.customer c LEFT JOIN demo.orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 200000",
         f"SELECT {_PERSON} AS c_name, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000",
     ),
-    "full_join_using": (
+    "full_join": (
         "SELECT n.n_name, r.r_name FROM demo.nation n FULL JOIN demo.region r ON n.n_regionkey = r.r_regionkey",
         "SELECT n_name, r_name FROM nation FULL JOIN region ON n_regionkey = r_regionkey",
     ),
-    "right_join_using": (
+    "right_join": (
         "SELECT c_nationkey AS k, n.n_name FROM demo.customer c RIGHT JOIN demo.nation n ON c.c_nationkey = n.n_nationkey AND c.c_acctbal > 9000",
         "SELECT c_nationkey AS k, n_name FROM customer RIGHT JOIN nation ON c_nationkey = n_nationkey AND c_acctbal > 9000",
     ),
@@ -204,10 +207,6 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, count(l_tax) AS taxed, max_of.n FROM demo.lineitem CROSS JOIN (SELECT count(*) AS n FROM demo.region) max_of GROUP BY l_returnflag, l_linestatus, max_of.n",
         "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, count(l_tax) AS taxed, 5::BIGINT AS n FROM lineitem GROUP BY 1, 2",
     ),
-    "summary_moments": (
-        "SELECT l_returnflag, variance(l_quantity) AS v, bool_and(l_quantity > 0) AS pos FROM demo.lineitem GROUP BY l_returnflag",
-        "",
-    ),
     "aggregate_filter": (
         "SELECT c_mktsegment, sum(c_acctbal) FILTER (WHERE c_acctbal > 0) AS s FROM demo.customer GROUP BY c_mktsegment HAVING count(*) > 1",
         "SELECT c_mktsegment, floor(sum(c_acctbal) FILTER (c_acctbal > 0) / 1000) * 1000 AS s FROM customer GROUP BY 1 HAVING count(*) > 1",
@@ -241,14 +240,16 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'high' ELSE 'low' END AS band, 7 AS seven FROM orders",
     ),
 }
-STATEMENTS["summary_moments"] = (
-    "SELECT l_returnflag, round(variance(l_quantity), 6) AS v FROM demo.lineitem GROUP BY l_returnflag",
-    "SELECT l_returnflag, round(var_samp(l_quantity), 6) AS v FROM lineitem GROUP BY 1",
-)
+STATEMENTS |= more.STATEMENTS_MORE
 
 #: Statements under another policy or principal: (overlay, principal, statement, SQL).
 VARIANTS: dict[str, tuple[dict, str | None, str, str]] = {
-    "summary_moments": ({"lineage": "allow"}, None, *STATEMENTS.pop("summary_moments")),
+    "summary_moments": (
+        {"lineage": "allow"},
+        None,
+        "SELECT l_returnflag, round(variance(l_quantity), 6) AS v, bool_and(l_quantity > 0) AS pos FROM demo.lineitem GROUP BY l_returnflag",
+        "SELECT l_returnflag, round(var_samp(l_quantity), 6) AS v, bool_and(l_quantity > 0) AS pos FROM lineitem GROUP BY 1",
+    ),
     "role_support": (
         {},
         "sam",
@@ -296,6 +297,7 @@ VARIANTS: dict[str, tuple[dict, str | None, str, str]] = {
         "SELECT event_id, CAST(NULL AS VARCHAR) AS other FROM events",
     ),
 }
+VARIANTS |= more.VARIANTS_MORE
 
 
 def _statement(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -352,22 +354,34 @@ def mask_null_any_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --------------------------------------------------------- decisions as rows
 REFUSALS = (
+    ("aggregate over a hidden key", "SELECT avg(d) FROM demo.customer AS s(a, b, c, d, e) GROUP BY a + 0", "opaque_aggregate"),
     ("aggregate over a name", "SELECT max(c_name) FROM demo.customer", "untrusted_function"),
     ("alias of a union", "SELECT c_name FROM demo.customer UNION ALL SELECT c_name FROM demo.customer", "opaque_named_like_column"),
+    ("cast that quotes", "SELECT c_custkey FROM demo.customer WHERE CAST(c_name AS INT) = 1", "opaque_function"),
+    ("comparison that quotes", "SELECT c_custkey FROM demo.customer WHERE c_name = 5", "opaque_function"),
     ("copy", "INSERT OVERWRITE DIRECTORY '/tmp/never' USING parquet SELECT * FROM demo.customer", "copy_stream"),
     ("create table as", "CREATE TABLE t AS SELECT * FROM demo.customer", "write_refused"),
     ("cursor", "EXECUTE IMMEDIATE 'SELECT 1'", "sql_prepare_cursor"),
+    ("date behind a list", "SELECT date_trunc('day', e) FROM demo.orders AS s(a, b, c, d, e, f)", "opaque_function"),
+    ("date behind a query", "SELECT date_trunc('day', e) FROM (SELECT * FROM demo.orders) AS s(a, b, c, d, e, f)", "opaque_function"),
+    ("date behind a name", "WITH s(a, b, c, d, e, f) AS (SELECT * FROM demo.orders) SELECT date_trunc('month', e) FROM s", "opaque_function"),
+    ("date compared", "SELECT date_trunc('day', e) = TIMESTAMP '1995-01-01' AS same FROM demo.orders AS s(a, b, c, d, e, f)", "opaque_anonymous"),
     ("explain", "EXPLAIN SELECT * FROM demo.customer", "write_refused"),
     ("expression", "SELECT upper(c_name) FROM demo.customer", "opaque_function"),
     ("file by path", "SELECT * FROM parquet.`/tmp/never`", "leaky_catalog"),
     ("function of rows", "SELECT * FROM range(3)", "untrusted_function"),
     ("group of one", "SELECT c_custkey, avg(c_acctbal) FROM demo.customer GROUP BY c_custkey", "opaque_aggregate"),
+    ("identifier of a column", "SELECT IDENTIFIER('c_name') FROM demo.customer", "leaky_catalog"),
+    ("identifier of a file", "SELECT count(*) FROM IDENTIFIER('text.`/etc/hosts`')", "leaky_catalog"),
+    ("identifier of a function", "SELECT 1 WHERE IDENTIFIER('java_method')('java.lang.System', 'getProperty', 'user.name') = 'root'", "leaky_catalog"),
+    ("identifier of a table", "SELECT c_name FROM IDENTIFIER('demo.customer')", "leaky_catalog"),
     ("insert", "INSERT INTO demo.customer SELECT * FROM demo.customer", "write_refused"),
     ("java", "SELECT reflect('java.lang.System', 'getenv')", "untrusted_function"),
     ("not SQL", "SELEC 1", "malformed"),
     ("scalar subquery", "SELECT (SELECT count(c_name) FROM demo.customer) AS n", "opaque_anonymous"),
     ("statistics", "DESCRIBE EXTENDED demo.customer", "leaky_catalog"),
     ("two statements", "SELECT 1; SELECT 2", "malformed"),
+    ("unpivoted columns", "SELECT v FROM (SELECT c_mktsegment, c_name FROM demo.customer) UNPIVOT (v FOR k IN (c_mktsegment, c_name))", "opaque_anonymous"),
     ("windowed sum", "SELECT sum(c_acctbal) OVER (ORDER BY c_custkey ROWS 0 PRECEDING) FROM demo.customer", "opaque_aggregate"),
 )
 HOSTILE = (
@@ -377,6 +391,8 @@ HOSTILE = (
     ("order by test", "SELECT c_custkey FROM demo.customer ORDER BY c_name = 'x'", "hostile_masked_use"),
     ("plain order", "SELECT c_custkey, c_name FROM demo.customer ORDER BY c_name", "served"),
     ("set operation", "SELECT c_name FROM demo.customer UNION SELECT c_name FROM demo.customer", "hostile_masked_use"),
+    ("unpivot", "SELECT v FROM (SELECT c_mktsegment, c_name FROM demo.customer) UNPIVOT (v FOR k IN (c_mktsegment, c_name))", "hostile_masked_use"),
+    ("identifier of a function", "SELECT 1 WHERE IDENTIFIER('java_method')('java.lang.System', 'getProperty', 'user.name') = 'root'", "leaky_catalog"),
     ("whole row", "SELECT concat(c_name, c_name) FROM demo.customer", "hostile_masked_use"),
 )
 
@@ -508,13 +524,6 @@ CHANGES = [
 ]
 
 
-def detector_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many documents hold text that a detector takes whole; all documents are looked at."""
-    docs = _table(spark, sf_dir, "documents")
-    seen, rates = sample_rates(docs, ["text"], (1 << 31) - 1)["text"]
-    return spark.createDataFrame([(seen, round(sum(rates), 9))], "documents long, share double")
-
-
 # ------------------------------------------------------------------ streams
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = _table(spark, sf_dir, "events").schema
@@ -525,7 +534,7 @@ def stream_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events read as a stream, masked, and gathered in a memory table."""
     guard = session(spark, sf_dir)
     name = f"masked_events_{abs(hash(sf_dir))}"
-    out = masked_stream(guard, "demo.events", _stream(spark, sf_dir).drop("props"))
+    out = masked_stream(guard, "demo.events", _stream(spark, sf_dir))
     query = out.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
@@ -537,20 +546,18 @@ def stream_rebinding(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = {**POLICY["columns"], "demo.events": {**POLICY["columns"]["demo.events"], "user_id": _NONE}}
     guard.reload(Config.build({**POLICY, "columns": columns}))
     name = f"rebound_events_{abs(hash(sf_dir))}"
-    seen: list[DataFrame] = []
+    root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='rebound-')}").rstrip("/")
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
 
-    def sink(batch: DataFrame, number: int) -> None:
-        rows = batch.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-        seen.append(spark.createDataFrame(rows.collect(), rows.schema))  # one row per user
+    def sink(batch: DataFrame, number: int) -> None:  # a batch that is run again replaces its own rows
+        batch.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     frame = _stream(spark, sf_dir).select("event_id", "user_id")
     frame.writeStream.foreachBatch(rebinding(guard, "demo.events", sink)).queryName(name).trigger(availableNow=True).start().awaitTermination()
-    out = seen[0]
-    for more in seen[1:]:
-        out = out.unionByName(more)
-    return out.groupBy("user_id").agg(F.sum("n").alias("n"))
+    return spark.read.parquet(path).groupBy("user_id").agg(F.sum("n").alias("n"))
 
 
+_PROPS = STATEMENTS["json_walk"][1].split("event_id, ", 1)[1].rsplit(" FROM", 1)[0]
 _EVENT_TYPE = STATEMENTS["mask_inner"][1].split("event_id, ", 1)[1].rsplit(" FROM", 1)[0]
 
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
@@ -573,7 +580,7 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         mask_scrub_simple,
         r"SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '<EMAIL>', 'g'), 'https?://[^\s]+', '<URL>', 'g') AS text FROM documents",
     ),
-    "mask_scrub": (mask_scrub, None),
+    "mask_scrub": (mask_scrub, more.scrub_sql("documents", "doc_id", "text")),
     "mask_null_any_type": (mask_null_any_type, "SELECT event_id, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS props FROM events"),
     "refusals": (partial(_verdicts, cases=REFUSALS), _values("case_name, verdict", [(n, v) for n, _, v in REFUSALS])),
     "refusals_hostile": (partial(_verdicts, cases=HOSTILE, posture="hostile"), _values("case_name, verdict", [(n, v) for n, _, v in HOSTILE])),
@@ -584,14 +591,13 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "classify_propose": (classify_propose, _values("relation, column_name, data_type, semantic_type, mask, confidence", PROPOSED)),
     "classify_shapes": (classify_shapes, _values("column_name, semantic_type, mask, note", SHAPES)),
     "classify_check": (classify_check, _values("problem, relation, column_name", CHECKED)),
-    "detector_rates": (detector_rates, None),
     "coverage_diff": (coverage_changes, _values("relation, column_name, change", CHANGES)),
     "stream_masked": (
         stream_masked,
-        f"SELECT event_id, date_trunc('month', ts) AS ts, user_id - ((user_id % 100) + 100) % 100 AS user_id, {_EVENT_TYPE}, value FROM events",
+        f"SELECT event_id, date_trunc('month', ts) AS ts, user_id - ((user_id % 100) + 100) % 100 AS user_id, {_EVENT_TYPE}, value, {_PROPS} FROM events",
     ),
     "stream_rebinding": (stream_rebinding, "SELECT user_id, count(*) AS n FROM events GROUP BY 1"),
-}
+} | more.entries(lambda column: _mac(column, "supplier", 32))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -19,11 +19,13 @@ from ..errors import Cause, ConfigError, MaskError, PolicyRejection
 from ..functions.keyed import redaction_conf
 from ..functions.masks import mask
 from ..plans import gates
+from .results import MaskedFrame
 from ..plans.flow import SET_OPERATIONS
 from ..plans.planner import FieldPlan, Planner
 from ..plans.trees import Node, analyzed, identifiers, join_names, parsed
 from ..sources.config import Config
 from ..sources.tables import GuardedTable, read, register
+from ..spec import Mask
 from .limits import RateLimiter
 from .metrics import Metrics
 
@@ -85,31 +87,33 @@ class GuardedSession:
             if gates.is_metadata(tree):
                 self.metrics.add("metadata")
                 return self._metadata(tree)
-            gates.check(tree, set(self.tables), system_catalogs=policy.config.system_catalogs)
-            try:
-                frame = self.spark.sql(text)
-            except PySparkException:
-                raise PolicyRejection(Cause.MALFORMED, "the statement cannot be analysed; details are withheld") from None
-            out = self._masked(frame, policy, policy.config.roles_of(principal), identifiers(statement))
+            frame = self._analysed(tree, text, policy)
+            out = self._masked(frame, policy, policy.config.roles_of(principal), identifiers(statement), own_rows=True)
         except PolicyRejection as e:
             self.metrics.reject(e.cause)
             raise
         self.metrics.add("served")
         return out
 
+    def _analysed(self, tree: Node, text: str, policy: Policy) -> DataFrame:
+        """The statement's plain result, after the gates; errors tell nothing of tables or values."""
+        gates.check(tree, set(self.tables), system_catalogs=policy.config.system_catalogs)
+        try:
+            return self.spark.sql(text)
+        except PySparkException:
+            raise PolicyRejection(Cause.MALFORMED, "the statement cannot be analysed; details are withheld") from None
+
     def decisions(self, statement: str, principal: str | None = None) -> list[FieldPlan]:
         """What would be done with each field.  Spark's own plans hold key material and are not shown."""
+        policy = self.policy
+        self.limiter.take(principal or "")
         text = join_names(statement, set(self.tables))
-        gates.check(parsed(self.spark, text), set(self.tables))
-        config = self.policy.config
-        return Planner(config, self.tables).plan(self.spark.sql(text), config.roles_of(principal), identifiers(statement))
+        frame = self._analysed(parsed(self.spark, text), text, policy)
+        return Planner(policy.config, self.tables).plan(frame, policy.config.roles_of(principal), identifiers(statement), own_rows=True)
 
     def collect(self, statement: str, principal: str | None = None) -> list[Row]:
         """Rows of a statement; an error while it runs never quotes values."""
-        try:
-            return self.sql(statement, principal).collect()
-        except PySparkException:
-            raise PolicyRejection(Cause.MALFORMED, "the statement failed while it ran; details are withheld") from None
+        return self.sql(statement, principal).collect()
 
     def table(self, name: str, principal: str | None = None) -> DataFrame:
         return self.sql(f"SELECT * FROM `{name.lower()}`", principal)
@@ -127,14 +131,20 @@ class GuardedSession:
         fields = {f.name.lower(): f for f in table.frame.schema}
         if unknown := [c for c in frame.columns if c.lower() not in fields]:
             raise PolicyRejection(Cause.OPAQUE_ANONYMOUS, f"{unknown[0]!r} is no column of the table")
-        plans = [planner.known(f, (table.name, f.name.lower()), roles) for f in frame.schema]
-        return apply_plans(frame, plans, policy.config)
-
-    def _masked(self, frame: DataFrame, policy: Policy, roles: frozenset[str], words: set[str]) -> DataFrame:
-        plans = Planner(policy.config, self.tables).plan(frame, roles, words, self.metrics.add)
+        # the table's columns know their logical types, a stream's do not
+        typed = [T.StructField(f.name, f.dataType, metadata={**fields[f.name.lower()].metadata, **f.metadata}) for f in frame.schema]
+        plans = [planner.known(f, (table.name, f.name.lower()), roles) for f in typed]
+        for p, f in zip(plans, typed, strict=True):
+            if not p.spec.supports(f):
+                raise PolicyRejection(Cause.MASK_TYPE_MISMATCH, f"the mask of {p.name!r} cannot be applied to its type")
+        return apply_plans(frame, plans, policy.config, typed)
+
+    def _masked(self, frame: DataFrame, policy: Policy, roles: frozenset[str], words: set[str], own_rows: bool = False) -> DataFrame:
+        plans = Planner(policy.config, self.tables).plan(frame, roles, words, self.metrics.add, own_rows)
         self.metrics.add("fields", len(plans))
         self.metrics.add("fields_masked", sum(not p.spec.passes for p in plans))
-        return apply_plans(frame, plans, policy.config)
+        self.metrics.add("fields_nulled", sum(p.spec.mask is Mask.NULL for p in plans))
+        return MaskedFrame.over(apply_plans(frame, plans, policy.config))
 
     def _metadata(self, tree: Node) -> DataFrame:
         """SHOW TABLES, SHOW COLUMNS and DESCRIBE tell of guarded tables only."""
@@ -149,13 +159,13 @@ class GuardedSession:
         return self.spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in schema], "column string, type string")
 
 
-def apply_plans(frame: DataFrame, plans: list[FieldPlan], config: Config) -> DataFrame:
-    """One outermost projection; passed columns stay plain attributes."""
+def apply_plans(frame: DataFrame, plans: list[FieldPlan], config: Config, fields: list[T.StructField] | None = None) -> DataFrame:
+    """One outermost projection; passed columns stay plain attributes.  ``fields``: the schema with its logical types."""
     places = [f"_{i}" for i in range(len(plans))]  # names may repeat in a result
     named = frame.toDF(*places) if len(set(frame.columns)) < len(plans) else frame
     names = places if named is not frame else frame.columns
     cols = []
-    for p, f, place in zip(plans, frame.schema.fields, names, strict=True):
+    for p, f, place in zip(plans, fields or frame.schema.fields, names, strict=True):
         c = F.col(f"`{place}`")
         bare = T.StructField(f.name, f.dataType, metadata=f.metadata)
         try:

@@ -49,10 +49,25 @@ CLOSED_CLASSES = (
     | frozenset(
         "Alias AttributeReference Literal Coalesce CaseWhen If CreateArray GetArrayItem GetStructField Length OctetLength Lower Upper InitCap Substring Left Right "
         "StringTrim StringTrimLeft StringTrimRight StringTrimBoth StringReplace StringTranslate Overlay Concat ConcatWs FormatString StringRepeat Reverse Ascii Chr Md5 "
-        "Encode Decode StringEncode StringDecode TruncTimestamp TruncDate Like AggregateExpression".split()
+        "Encode Decode StringEncode StringDecode TruncTimestamp TruncDate Like AggregateExpression Mixed".split()
     )
     | REDUCING_CLASSES
 )
 
+#: Expressions of parsed trees that name nothing and call nothing by themselves.
+PARSED_CLASSES = frozenset(
+    "UnresolvedAttribute UnresolvedStar UnresolvedStarExceptOrReplace UnresolvedFunction UnresolvedAlias UnresolvedExtractValue UnresolvedOrdinal UnresolvedHaving "
+    "MultiAlias OuterReference Exists ListQuery ScalarSubquery LateralSubquery InSubquery SortOrder Ascending Descending NullsFirst NullsLast "
+    "WindowExpression UnresolvedWindowExpression WindowSpecDefinition WindowSpecReference SpecifiedWindowFrame UnspecifiedFrame UnboundedPreceding UnboundedFollowing CurrentRow RowFrame RangeFrame "
+    "Rollup Cube GroupingSets GroupingAnalytics Grouping GroupingID NaturalJoin UsingJoin ILike RLike LikeAll LikeAny NotLikeAll NotLikeAny Between "
+    "CreateNamedStruct CreateStruct CreateMap NamePlaceholder UnresolvedCollation UnresolvedTypedNullLiteral CurrentTime PipeOperator PipeExpression "
+    "MakeInterval MakeYMInterval MakeDTInterval DatetimeAdd TimestampAdd TimestampDiff Year Month DayOfMonth Hour Minute Second Quarter".split()
+)
+#: Functions that look into trees, files or the machine, whatever name they are called by.
+FORBIDDEN_CLASSES = frozenset(
+    "CallMethodViaReflection TryReflect InputFileName InputFileBlockStart InputFileBlockLength PythonUDF PythonUDAF ScalaUDF ScalaUDAF HiveSimpleUDF HiveGenericUDF HiveGenericUDTF "
+    "UserDefinedGenerator PythonUDTF UnresolvedPolymorphicPythonUDTF ApplyFunctionExpression V2Aggregator CurrentCatalogSchema SchemaOfJson RaiseError AssertTrue".split()
+)
+
 YEAR_OR_COARSER = frozenset("year yyyy yy decade century millennium".split())
 DAY_TO_QUARTER = frozenset("day dd week month mon mm quarter".split())

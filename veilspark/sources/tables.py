@@ -6,11 +6,10 @@ import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..errors import ConfigError
 
-READERS = ("parquet", "orc", "csv", "json", "text", "avro")
+READERS = ("parquet", "orc", "csv", "json", "text")
 
 
 @dataclass(frozen=True)
@@ -22,10 +21,6 @@ class GuardedTable:
     opaque: bool = False
     columns: tuple[str, ...] = field(default=())
 
-    @property
-    def view(self) -> str:
-        return self.name
-
 
 def read(spark: SparkSession, path: str, format: str = "parquet", **options: str) -> DataFrame:
     if format not in READERS:
@@ -33,18 +28,9 @@ def read(spark: SparkSession, path: str, format: str = "parquet", **options: str
     return spark.read.format(format).options(**options).load(path)
 
 
-def tag(frame: DataFrame, name: str) -> DataFrame:
-    """Columns with their origin in metadata; it survives projections, joins and aliases."""
-    cols = []
-    for f in frame.schema:
-        cols.append(F.col(f"`{f.name}`").alias(f.name, metadata={**f.metadata, "prov": f"{name}.{f.name}".lower()}))
-    return frame.select(*cols)
-
-
 def register(frame: DataFrame, name: str, opaque: bool = False) -> GuardedTable:
     if not re.fullmatch(r"[A-Za-z_]\w*(\.[A-Za-z_]\w*)?", name):
         raise ConfigError(f"{name!r} is not a table name (table, or schema.table)")
     name = name.lower()
-    tagged = tag(frame, name)
-    tagged.createOrReplaceTempView(f"`{name}`")
-    return GuardedTable(name, tagged, opaque, tuple(c.lower() for c in frame.columns))
+    frame.createOrReplaceTempView(f"`{name}`")
+    return GuardedTable(name, frame, opaque, tuple(c.lower() for c in frame.columns))
