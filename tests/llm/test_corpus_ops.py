@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,8 +106,48 @@ def test_language_model_classes_grow_with_the_words(spark):
 def test_training_passes_over_all_pairs():
     k = 20_000
     codes, counts = np.arange(k) * k + (np.arange(k) + 1) % k, np.where(np.arange(k) % 1000, 1, 500)
-    start, got = train(codes[:0], counts[:0], k), train(codes, counts, k, steps=1)
-    assert (got.context != start.context).any(1).all()
+    begin, got = train(codes[:0], counts[:0], k), train(codes, counts, k, steps=1)
+    assert (got.context != begin.context).any(1).all()
+
+
+def third_after(n):
+    """Texts in which a word tells the one three places on."""
+    rng = np.random.default_rng(4)
+    out = []
+    for _ in range(n):
+        w = rng.integers(0, 30, 3).tolist()
+        for i in range(30):
+            w.append((w[-3] * 7 + 5) % 30)
+        out.append(" ".join(f"w{x}" for x in w))
+    return out
+
+
+@pytest.mark.parametrize("held", [None, 300])
+def test_language_model_is_normalised_and_uses_all_positions(spark, monkeypatch, held):
+    from veilspark.llm import language
+
+    if held:  # several shards a position, whose models are averaged
+        monkeypatch.setattr(language, "HELD_PAIRS", held)
+    df = spark.createDataFrame([(t, True) for t in third_after(150)], "text string, learn boolean").repartition(3)
+    near, far = (LanguageModel(positions=n).fit(df) for n in (1, 3))
+    for mixture, v in (near, far):
+        rng = np.random.default_rng(0)
+        for _ in range(20):
+            before = rng.integers(0, v.classes, len(mixture.models)).tolist()
+            p = mixture.table(before)
+            assert p.sum() == pytest.approx(1, abs=1e-5) and (p > 0).all()
+        # within a class: its words and one more place
+        share = np.append(v.own / np.maximum(v.own, 1), (v.in_bin + 0.1 * v.bin_types + 0.1) / (v.in_bin + 0.1 * (v.bin_types + 1)))
+        assert np.allclose(share[v.own.size :], 1)
+    text = third_after(151)[-1]
+    tokens, starts = language.tokens_of(pa.array([text]))
+
+    def score(model):
+        mixture, v = model
+        cls = v.class_of(tokens)
+        return mixture.log10(v.contexts(cls, starts, len(mixture.models)), cls).sum()
+
+    assert score(far) > score(near) + (0 if held else 5)
 
 
 # --------------------------------------------------------------------- mixing
@@ -235,11 +276,67 @@ def test_additive_model_finds_an_interaction():
     assert ((fit(x, y, rounds=10).score(x) > 0.5) == y).mean() > 0.95
 
 
+def plain_fit(x, y, bins, rounds, rate, ridge):
+    """Boosted tables by loops over rows and cells, one feature after another; no pairs."""
+    n = len(y)
+    base = math.log(sum(y) / (n - sum(y)))
+    cuts = [sorted({sorted(r[k] for r in x)[int((n - 1) * i / bins)] for i in range(1, bins)}) for k in range(len(x[0]))]
+    cell = [[sum(v <= r[k] for v in cuts[k]) for r in x] for k in range(len(x[0]))]
+    tables, z = [[0.0] * (len(c) + 1) for c in cuts], [base] * n
+    for _ in range(rounds):
+        for k, table in enumerate(tables):
+            p = [1 / (1 + math.exp(-v)) for v in z]
+            g, h = [0.0] * len(table), [0.0] * len(table)
+            for i in range(n):
+                g[cell[k][i]] += p[i] - y[i]
+                h[cell[k][i]] += p[i] * (1 - p[i])
+            parts = [(0, len(table))]
+            for _ in range(3):
+                best = (1e-9, None, None)
+                for a, b in parts:
+                    for c in range(a + 1, b):
+                        value = lambda s, e: sum(g[s:e]) ** 2 / (sum(h[s:e]) + ridge)  # noqa: B023, E731
+                        gain = value(a, c) + value(c, b) - value(a, b)
+                        if gain > best[0] * (1 + 1e-12):
+                            best = (gain, (a, b), c)
+                if best[1] is None:
+                    break
+                parts.remove(best[1])
+                parts = sorted([*parts, (best[1][0], best[2]), (best[2], best[1][1])])
+            for a, b in parts:
+                step = -rate * sum(g[a:b]) / (sum(h[a:b]) + ridge)
+                for c in range(a, b):
+                    table[c] += step
+                z = [v + step if a <= cell[k][i] < b else v for i, v in enumerate(z)]
+    return [1 / (1 + math.exp(-v)) for v in z]
+
+
+def test_tables_are_those_of_a_plain_version():
+    rng = np.random.default_rng(2)
+    x = rng.random((90, 3)).round(2)
+    y = (x[:, 0] + 0.3 * rng.random(90) > 0.6).astype(float)
+    model = fit(x, y, bins=6, rounds=5, pairs=0, rate=0.15, ridge=1.0)
+    assert np.allclose(model.score(x), plain_fit(x.tolist(), y.tolist(), 6, 5, 0.15, 1.0), atol=1e-9)
+
+
+def test_pair_tables_are_added_cell_by_cell():
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 3))
+    model = fit(x, ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float), rounds=4, pairs=2, pair_rounds=6)
+    for row, got in zip(x.tolist(), model.score(x), strict=True):
+        z = model.base
+        for k, table in enumerate(model.tables):
+            z += table[sum(c <= row[k] for c in model.cuts[k])]
+        for i, j, table in model.pairs:
+            z += table[sum(c <= row[i] for c in model.coarse[i])][sum(c <= row[j] for c in model.coarse[j])]
+        assert got == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 # ------------------------------------------------------------------- archives
 def test_archive_lookup(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     archive = WarcWriter(block_lines=8).write(pages)
-    for r in pages.collect():
+    for r in pages.orderBy("page_id").limit(20).collect():
         found = [x for x in archive.lookup(r.url) if x["page_id"] == r.page_id]
         assert len(found) == 1 and found[0]["payload"] in (None, r.html.encode())
     assert archive.lookup("http://nowhere.example/x") == []
@@ -248,9 +345,9 @@ def test_archive_lookup(spark):
 def test_archive_edges(spark):
     rows = [(1, "http://a.b/\tc", "x" * 2000), (2, None, "x" * 2000), (None, "http://www.A.b:8080/Q?z=1", "x" * 2000), (3, "", None), (4, "bad[", "y"), (4, "bad[", "y"), (5, "-", "é" * 600), (6, "%", "é" * 600)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS digest", "2 AS page", "3 AS kind")
-    got = sorted([(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in WarcWriter().write(df).read_all().collect()], key=str)
+    got = sorted([(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in WarcWriter(block_lines=2, most_bytes=3000).write(df).read(df).collect()], key=str)
     assert got == [(1, 2000, "revisit", 2), (2, 2000, "response", None), (3, 0, "response", None), (4, 1, "response", None), (4, 1, "response", None), (5, 1200, "revisit", 6), (6, 1200, "response", None), (None, 2000, "revisit", 2)]
-    assert WarcWriter().write(df.limit(0)).read_all().collect() == []
+    assert WarcWriter().write(df.limit(0)).read(df).collect() == []
     assert surt("http://www.Example.com:80/A?b=C") == "com,example)/a?b=C" and surt(None) == ""
     assert [page_of(record_id(p, 0)) for p in (0, -7, None, 1 << 62)] == [0, -7, None, 1 << 62]
     with pytest.raises(ValueError):
@@ -271,6 +368,160 @@ def test_media_round_trip():
     assert media.write_images(np.zeros(0, np.uint8), np.zeros(1, np.int64)) == []
 
 
+class Bits:
+    """An entropy-coded segment, written bit by bit."""
+
+    def __init__(self, codes):
+        self.codes, self.bits = codes, ""
+
+    def symbol(self, s):
+        self.bits += self.codes[s]
+
+    def number(self, v, n):
+        if n:
+            self.bits += format(v if v > 0 else v + (1 << n) - 1, f"0{n}b")
+
+    def raw(self, v, n):
+        if n:
+            self.bits += format(v, f"0{n}b")
+
+    def bytes(self):
+        b = self.bits + "1" * (-len(self.bits) % 8)
+        return bytes(int(b[i : i + 8], 2) for i in range(0, len(b), 8)).replace(b"\xff", b"\xff\x00")
+
+
+def huffman(symbols):
+    """A table of canonical codes of 4, 6, 8 ... bits and its marker segment."""
+    sizes, code, out, counts = [4, 6, 8, 10, 12, 14, 16], 0, {}, [0] * 16
+    todo, last = list(symbols), 0
+    for size in sizes:
+        code <<= size - last
+        last = size
+        room = (1 << size) - 1 - code if size < 16 else len(todo)
+        take = todo[: max(0, min(len(todo), room // 2 if size < 16 else room))]
+        todo = todo[len(take) :]
+        for s in take:
+            out[s] = format(code, f"0{size}b")
+            code += 1
+        counts[size - 1] = len(take)
+    assert not todo
+    return out, bytes(counts) + bytes(out)
+
+
+def grey_stream(blocks, wide, tall):
+    """A greyscale progressive stream of blocks [n, 64] in zigzag order: Huffman tables, EOB runs and refinement."""
+    segment = lambda m, b: bytes([0xFF, m]) + (len(b) + 2).to_bytes(2, "big") + b
+    dc_codes, dc_table = huffman(range(12))
+    ac_codes, ac_table = huffman([r << 4 | s for s in range(11) for r in range(16)])
+    out = b"\xff\xd8" + segment(0xDB, bytes([0, *[1] * 64])) + segment(0xC2, bytes([8]) + (8 * tall).to_bytes(2, "big") + (8 * wide).to_bytes(2, "big") + bytes([1, 1, 0x11, 0]))
+    out += segment(0xC4, b"\x00" + dc_table) + segment(0xC4, b"\x10" + ac_table)
+    scan = lambda a, b, h, low, data: segment(0xDA, bytes([1, 1, 0, a, b, h << 4 | low])) + data
+    toward = lambda v, n: int(abs(v)) >> n if v >= 0 else -(int(abs(v)) >> n)
+    w, before = Bits(dc_codes), 0
+    for v in (int(b[0]) >> 1 for b in blocks):
+        d, before = v - before, v
+        w.symbol(abs(d).bit_length())
+        w.number(d, abs(d).bit_length())
+    out += scan(0, 0, 0, 1, w.bytes())
+    w = Bits(dc_codes)
+    for b in blocks:
+        w.raw(int(b[0]) & 1, 1)
+    out += scan(0, 0, 1, 0, w.bytes())
+    for first, last in ((1, 5), (6, 63)):
+        w, run = Bits(ac_codes), 0
+
+        def end(w=w):
+            nonlocal run
+            if run:
+                n = run.bit_length() - 1
+                w.symbol(n << 4)
+                w.raw(run - (1 << n), n)
+                run = 0
+
+        for b in blocks:
+            values, zeros = [toward(int(v), 1) for v in b[first : last + 1]], 0
+            while values and not values[-1]:
+                values.pop()
+            for v in values:
+                if not v:
+                    zeros += 1
+                    continue
+                end()
+                while zeros > 15:
+                    w.symbol(0xF0)
+                    zeros -= 16
+                w.symbol(zeros << 4 | abs(v).bit_length())
+                w.number(v, abs(v).bit_length())
+                zeros = 0
+            if len(values) < last + 1 - first:
+                run += 1
+        end()
+        out += scan(first, last, 0, 1, w.bytes())
+    w, run, late = Bits(ac_codes), 0, ""  # all AC coefficients get their last bit
+
+    def finish():
+        nonlocal run, late
+        if run:
+            n = run.bit_length() - 1
+            w.symbol(n << 4)
+            w.raw(run - (1 << n), n)
+            w.bits += late
+            run, late = 0, ""
+
+    for b in blocks:
+        values = [int(v) for v in b[1:]]
+        new = [k for k, v in enumerate(values) if abs(v) == 1]
+        stop, zeros, fix = (new[-1] + 1 if new else 0), 0, ""
+        for v in values[:stop]:
+            if abs(v) > 1:
+                fix += str(abs(v) & 1)
+            elif not v:
+                zeros += 1
+                if zeros == 16:
+                    finish()
+                    w.symbol(0xF0)
+                    w.bits += fix
+                    zeros, fix = 0, ""
+            else:
+                finish()
+                w.symbol(zeros << 4 | 1)
+                w.raw(int(v > 0), 1)
+                w.bits += fix
+                zeros, fix = 0, ""
+        rest = fix + "".join(str(abs(v) & 1) for v in values[stop:] if abs(v) > 1)
+        if stop < 63 or rest:
+            run, late = run + 1, late + rest
+            if run == 0x7FFF:
+                finish()
+    finish()
+    return out + scan(1, 63, 1, 0, w.bytes()) + b"\xff\xd9"
+
+
+def test_media_reads_streams_of_others():
+    """Coefficients of a stream with real Huffman tables, EOB runs and correction bits, and its pixels by the definition of the transform."""
+    rng = np.random.default_rng(7)
+    wide, tall = 4, 3
+    blocks = np.zeros((wide * tall, 64), np.int64)
+    for b in blocks:
+        b[0] = rng.integers(-300, 300)
+        at = rng.choice(np.arange(1, 64), rng.integers(0, 14), replace=False)
+        b[at] = rng.integers(-40, 41, len(at))
+    blocks[3:7, 1:] = 0  # a run of blocks without AC
+    frame = media.parse(grey_stream(blocks, wide, tall))
+    (got,) = media._read_any(frame)
+    assert (got.reshape(-1, 64) == blocks).all()
+    k, p = np.arange(8)[:, None], np.arange(8)[None, :]
+    basis = np.cos((2 * p + 1) * k * np.pi / 16) * np.where(k == 0, np.sqrt(1 / 8), 0.5)
+    want = np.empty((8 * tall, 8 * wide))
+    for i, b in enumerate(blocks):
+        square = np.zeros(64)
+        square[media.ZIGZAG] = b
+        y, x = divmod(i, wide)
+        want[8 * y : 8 * y + 8, 8 * x : 8 * x + 8] = basis.T @ square.reshape(8, 8) @ basis + 128
+    tensor = media.tensor_of(frame, [got])
+    assert tensor.shape == (24, 32, 3) and np.abs(tensor[..., 0] - np.clip(want, 0, 255)).max() <= 2
+
+
 def test_media_wide_image():
     big = np.random.default_rng(1).integers(0, 256, 1_600_000, dtype=np.uint8)
     stream = media.write_images(big, np.array([0, len(big)]))
@@ -290,7 +541,7 @@ def test_media_columns(spark):
     by = collections.defaultdict(set)
     for r in out:
         by[r.n_bytes].add((r.payload_sha256, r.media_sha256, r.feature))
-        assert r.payload_bytes == len(r.payload) and len(r.tensor) == np.prod(r["shape"])
+        assert r.payload_bytes == max(1, -(-r.n_bytes // 64)) * 64 and len(r.tensor) == np.prod(r["shape"])
     assert len(out) == 5 and all(len(v) == 1 for v in by.values())
     assert media.load(media.store(df.limit(0))).collect() == []
 

@@ -13,8 +13,11 @@ content.  Escaping puts one backslash after the first character of a control
 string (``</s>`` becomes ``<\\/s>``) and one more where backslashes already
 stand there, so it can be undone and no control string is left in a text.
 
+Scale: one shuffle by conversation; the work is in proportion to the turns of a
+conversation, which is one row.
+
 Defined results: null text, role or ref count as empty; turns are in order of
-turn (nulls first), then role, then content; repeated rows are repeated
+turn (nulls first), ties by role, then content; very long texts are kept whole; repeated rows are repeated
 turns; conversations with a null id are one conversation; an empty table gives
 no rows; other columns are never read.
 """
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 
 OPEN, CLOSE, ROLE, END_ROLE, MEDIA, END_MEDIA = "<s>", "</s>", "[INST]", "[/INST]", "[MEDIA]", "[/MEDIA]"
 PART_MARK = "[PART]"
+#: Turns whose starts are summed in one array.
+BLOCK = 64
 #: First character, any backslashes, rest of a control string.
 _ESCAPE = r"([<\[])(\\*)(/?s>|/?INST\]|/?MEDIA\]|PART\])"
 _UNESCAPE = r"([<\[])\\(\\*)(/?s>|/?INST\]|/?MEDIA\]|PART\])"
@@ -87,24 +92,36 @@ class ChatFormatter:
         )
 
     def format(self, messages: DataFrame) -> DataFrame:
-        """Per conversation: conv_id, formatted, turn_starts, loss (array of start, length), media, media_tokens."""
+        """Per conversation: conv_id, formatted, turn_starts, loss (array of start, length and position of the turn), media, media_tokens."""
         turns = self.turns(messages)
         row = F.struct("turn", "role", "body", "head", "learn", "media")
         convs = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("t"))
         text = lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))
         convs = convs.withColumn("formatted", F.array_join(F.transform("t", text), ""))
-        # array<long> of starts: running lengths, appended turn by turn
-        lengths = F.transform("t", lambda t: F.length(text(t)).cast("long"))
-        starts = F.aggregate(lengths, F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-        convs = convs.withColumn("turn_starts", F.slice(starts, 1, F.size("t")))
-        span = F.zip_with("t", "turn_starts", lambda t, s: F.struct(t["learn"].alias("learn"), (s + F.length(t["head"])).alias("start"), F.length(t["body"]).cast("long").alias("length")))
-        loss = F.transform(F.filter(span, lambda s: s["learn"]), lambda s: F.struct(s["start"], s["length"]))
+        # a turn begins where the closing marks before it end: their places are found in one pass
+        convs = convs.withColumn("turn_starts", starts_of(F.col("formatted"), F.size("t")))
+        span = F.transform("t", lambda t, i: F.struct(t["learn"].alias("learn"), i.alias("position"), (F.get("turn_starts", i) + F.length(t["head"])).alias("start"), F.length(t["body"]).cast("long").alias("length")))
+        loss = F.transform(F.filter(span, lambda s: s["learn"]), lambda s: F.struct(s["start"], s["length"], s["position"]))
         media = F.flatten(F.transform("t", lambda t, i: F.transform(t["media"], lambda m: F.struct(i.alias("position"), t["turn"].alias("turn"), m["part"], m["kind"], m["ref"], m["tokens"]))))
         convs = convs.withColumn("loss", loss).withColumn("media", media)
         total = F.aggregate("media", F.lit(0).cast("long"), lambda acc, m: acc + m["tokens"])
         return convs.select("conv_id", "formatted", "turn_starts", "loss", "media", total.alias("media_tokens"))
 
 
+def starts_of(formatted: Column, turns: Column) -> Column:
+    """Code points before each turn.
+
+    The text is cut at its closing marks (there is none inside a turn) and sums of the lengths
+    are taken block by block, in blocks of ``BLOCK`` turns, so the cost is in proportion to the turns.
+    """
+    lengths = F.transform(F.slice(F.split(formatted, CLOSE.replace("/", "\\/"), -1), F.lit(1), turns), lambda p: (F.length(p) + len(CLOSE)).cast("long"))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((turns - 1) / BLOCK), F.lit(0)).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda acc, n: acc + n)
+    running = lambda xs, first: F.aggregate(xs, F.struct(first.alias("at"), F.array().cast("array<long>").alias("out")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    heads = running(F.transform(blocks, total), F.lit(0).cast("long"))
+    return F.flatten(F.zip_with(blocks, heads, running))
+
+
 def read_turns(formatted: Column) -> Column:
     """The turns of a formatted conversation, as array of (role, text): the inverse of the format."""
     pieces = F.split(formatted, CLOSE.replace("/", "\\/"), -1)
@@ -120,13 +137,7 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, turn_starts: Column, loss: Column) -> Column:
-    """All text under the loss mask, unescaped span by span."""
+    """All text under the loss mask, unescaped span by span; ``position`` tells in which turn a span lies."""
     pieces = F.split(formatted, CLOSE.replace("/", "\\/"), -1)
-    spans = F.zip_with(
-        turn_starts,
-        F.slice(pieces, 1, F.size(turn_starts)),
-        lambda start, p: F.struct(start.alias("start"), p.alias("piece")),
-    )
-    inside = lambda s, x: (s["start"] >= x["start"]) & (s["start"] < x["start"] + F.length(x["piece"]) + len(CLOSE))
-    texts = F.transform(spans, lambda x: F.array_join(F.transform(F.filter(loss, lambda s: inside(s, x)), lambda s: unescape(F.substring(x["piece"], (s["start"] - x["start"] + 1).cast("int"), s["length"].cast("int")))), ""))
-    return F.array_join(texts, "")
+    inside = lambda s: F.substring(F.get(pieces, s["position"]), (s["start"] - F.get(turn_starts, s["position"]) + 1).cast("int"), s["length"].cast("int"))
+    return F.array_join(F.transform(loss, lambda s: unescape(inside(s))), "")

@@ -89,7 +89,8 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import WarcWriter
 
-    return WarcWriter().write(table(spark, sf_dir, "pages")).read_all()
+    pages = table(spark, sf_dir, "pages")
+    return WarcWriter().write(pages).read(pages)
 
 
 OP6_SQL = """
@@ -121,7 +122,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import load, store
 
-    return load(store(table(spark, sf_dir, "documents")))
+    return load(store(table(spark, sf_dir, "documents")), tensors=True)
 
 
 def op10_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:

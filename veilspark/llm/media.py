@@ -12,10 +12,13 @@ conversion give the full-resolution RGB tensor.
 
 Streams with other Huffman tables are read by a bit-by-bit decoder.
 
-Scale: row by row, no shuffle; numpy works on about 4 MB of rows at once.
+Scale: row by row, no shuffle; the streams are written to the shared folder
+and read from there; numpy works on about 4 MB of rows at once.
 
-Defined results: null is an empty payload of one unit; equal payloads give
-equal bytes; row order and keys are untouched; an empty table gives no rows.
+Defined results: null is an empty payload of one unit; very long texts make wider
+images, with no bound but memory for one row; equal payloads give
+equal bytes, features and tensors; repeated rows, null doc_ids and ties are rows like others, and keys are
+untouched; other columns are never read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, joined, text_blocks
+from .common import bound_batches, joined, materialise, text_blocks
 
 #: Largest number of 16-row units in a column of blocks (heights are 16-bit).
 TALL = 4095
@@ -437,8 +440,8 @@ def _load(tensors: bool):
                 ]
                 names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
                 if tensors:
-                    cols += [pa.array(payloads, pa.binary()), pa.array([list(t.shape) for _, t in images], pa.list_(pa.int32())), pa.array([t.tobytes() for _, t in images], pa.binary())]
-                    names += ["payload", "shape", "tensor"]
+                    cols += [pa.array([list(t.shape) for _, t in images], pa.list_(pa.int32())), pa.array([t.tobytes() for _, t in images], pa.binary())]
+                    names += ["shape", "tensor"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
@@ -448,11 +451,12 @@ DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: each text as a progressive JPEG."""
-    return bound_batches(docs).select("doc_id", "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary")
+    """doc_id, n_bytes, media: each text as a progressive JPEG, as a table in the shared folder."""
+    made = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary")
+    return materialise(made, "media", "zstd")
 
 
 def load(media: DataFrame, tensors: bool = False) -> DataFrame:
-    """What the stored bytes give back; ``tensors`` adds payload, shape and tensor (RGB bytes)."""
-    schema = DIGESTS + (", payload binary, shape array<int>, tensor binary" if tensors else "")
+    """What the stored bytes give back; ``tensors`` adds shape and tensor (RGB bytes), a media column of its own."""
+    schema = DIGESTS + (", shape array<int>, tensor binary" if tensors else "")
     return media.select("doc_id", "n_bytes", F.col("media")).mapInArrow(_load(tensors), schema)

@@ -11,13 +11,15 @@ and the mix is the global order by finish time, cut where the words reach the
 total budget.  At time 1 every source has given just its target, so the cut
 falls there.
 
-Scale: only (doc_id, source, size) is shuffled, never the text.  Running sums
+Scale: the texts are read once, for their sizes; only (doc_id, source, size) is shuffled.  Running sums
 are two-level: sums of hash chunks, then rows within a chunk, so a source that
-holds a third of all rows is spread over 4096 chunks.  The global order is cut
+holds a third of all rows is spread over chunks whose number follows the rows (about
+``CHUNK_ROWS`` each).  The global order is cut
 the same way over fixed buckets of virtual time.
 
 Defined results: null text has size 0; a null source is a source of its own,
-last in order; rows equal in (doc_id, source, size) share one fate; a null
+last in order; very long texts count whole, and the one that would go over the budget is left out;
+ties in finish time go by source, hashed key, doc_id and size; repeated rows (equal in doc_id, source and size) share one fate; a null
 doc_id takes part; an empty table gives an empty mix.  Other columns are never
 read.
 """
@@ -31,10 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN
+from .common import WORD_PATTERN, materialise
 
 #: Buckets per unit of virtual time, and the time from which all is cut.
 TICKS, LAST = 4096, 2
+#: Rows in a chunk of a source that holds all rows.
+CHUNK_ROWS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -77,19 +81,26 @@ class SourceMixer:
 
         Columns: doc_id, source, size, rows, source_size, target, copies.
         """
+        return self.placed(self.measured(docs))
+
+    def measured(self, docs: DataFrame) -> DataFrame:
+        """doc_id, source, size of each row, as a table in the shared folder: the texts are read once."""
+        return materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+
+    def placed(self, sizes: DataFrame) -> DataFrame:
         skey = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
+        units = sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows"))
+        digits = min(8, max(2, len(f"{max(sizes.count(), 1) // CHUNK_ROWS:x}")))  # of the key, so that a chunk stays small
         units = (
-            docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-            .groupBy("doc_id", "source", "size")
-            .agg(F.count(F.lit(1)).alias("rows"))
-            .withColumn("skey", skey)
+            units.withColumn("skey", skey)
             .withColumn("tokens", F.col("size") * F.col("rows"))
             .withColumn("key", F.md5(F.concat(F.lit(self.seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-            .withColumn("chunk", F.substring("key", 1, 3))
+            .withColumn("chunk", F.substring("key", 1, digits))
         )
+        targets = materialise(self.targets(units), "targets")  # one row a source
         chunks = units.groupBy("skey", "chunk").agg(F.sum("tokens").alias("in_chunk"))
         before = W.partitionBy("skey").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-        chunks = chunks.withColumn("before", F.coalesce(F.sum("in_chunk").over(before), F.lit(0))).join(self.targets(units), "skey")
+        chunks = chunks.withColumn("before", F.coalesce(F.sum("in_chunk").over(before), F.lit(0))).join(targets, "skey")
         inside = W.partitionBy("skey", "chunk").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, 0)
         placed = units.join(chunks, ["skey", "chunk"]).withColumn("upto", F.col("before") + F.sum("tokens").over(inside))
 
@@ -101,7 +112,7 @@ class SourceMixer:
         ticks = copies.groupBy("tick").agg(F.sum("tokens").alias("in_tick"))
         upto_tick = W.partitionBy(F.lit(0)).orderBy("tick").rowsBetween(W.unboundedPreceding, -1)
         ticks = ticks.withColumn("tick_before", F.coalesce(F.sum("in_tick").over(upto_tick), F.lit(0)))
-        total = self.targets(units).agg(F.sum("target").alias("budget"))
+        total = targets.agg(F.sum("target").alias("budget"))
         ticks = ticks.crossJoin(F.broadcast(total))  # one row
         ticks = ticks.filter(F.col("tick_before") <= F.col("budget"))
         in_order = W.partitionBy("tick").orderBy("finish", "skey", "key", F.col("doc_id").asc_nulls_first(), "size", "pass").rowsBetween(W.unboundedPreceding, 0)

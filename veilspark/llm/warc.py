@@ -9,18 +9,23 @@ gives back an index line per record.
 Index: lines are put in order of their reversed-host key over all tasks,
 packed into compressed blocks of ``block_lines`` lines (level two), and each
 block leaves one entry with its first key, file, offset and length in the
-sparse directory (level one).  A lookup searches the directory by bisection,
-reads the byte range of one block (or the few that share a key), finds the
-line and reads the byte range of the record.
+sparse directory (level one).  Reading is by key: wanted keys are range-sorted, each
+task takes the part of the directory that its keys span and finds their blocks in it by
+bisection; each block is read once, by its byte range, and searched by bisection for its
+keys; the lines found say which byte ranges of the archives to read.
 
 Scale: kinds are decided on (page_id, digest), never with html in hand; a
 payload that a third of the pages share is one row after the first
-aggregation.  Files are named by task attempt and only those whose index lines
+aggregation.  A key that a third of the pages share is one key, whose many blocks are
+searched by as many tasks.  Reads are spread over a number of tasks that follows the
+number of lines.  No part of the directory comes to the driver.  Archives are
+closed at ``most_bytes``.  Files are named by task attempt and only those whose index lines
 were committed are ever read, so a repeated or lost task does no harm.
 
 Defined results: null html is an empty payload; null page_ids take part (less
-than all others); repeated rows are records each, of the same kind; null urls
-have an empty key; an empty table gives an empty archive; other columns are
+than all others); repeated rows are records each, of the same kind and with ids of their own; null urls
+have an empty key; very long payloads are records like others, one in memory at a time; of equal payloads with
+equal largest page_ids all these are responses; an empty table gives an empty archive; other columns are
 never read.
 """
 
@@ -37,6 +42,7 @@ from dataclasses import dataclass
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,27 +75,33 @@ def surt(url: str | None) -> str:
 
 
 def record_id(page_id: int | None, turn: int) -> str:
-    """An id that holds page_id and a number for repeated ones."""
+    """An id that holds page_id and a number that tells records of one page_id apart."""
     return f"<urn:uuid:{uuid.UUID(int=(turn << 64 | (LEAST if page_id is None else page_id) & (1 << 64) - 1))}>"
 
 
+def turn_of(archive: str, at: int) -> int:
+    """A number for the record that begins at a place of an archive."""
+    return int.from_bytes(hashlib.blake2b(f"{archive}:{at}".encode(), digest_size=8).digest(), "big")
+
+
 def page_of(record: str) -> int | None:
     low = uuid.UUID(record[len("<urn:uuid:") : -1]).int & (1 << 64) - 1
     page = low - (1 << 64) if low >> 63 else low
     return None if page == LEAST else page
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, turn: int = 0) -> bytes:
     named = base64.b32encode(bytes.fromhex(digest)).decode()
     uri = "".join(c for c in (url or "urn:none") if c >= " ")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     body = http if revisit else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, 0)}", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, turn)}", f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{named}", "Content-Type: application/http; msgtype=response",
     ]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, 0)}"]
+        # the record referred to is told by its page and its payload digest; its own id is made elsewhere
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"Refers-To-Page: {LEAST if refers_to is None else refers_to}"]
     head += [f"Content-Length: {len(body)}", "", ""]
     return "\r\n".join(head).encode() + body + b"\r\n\r\n"
 
@@ -112,24 +124,26 @@ def parse_record(raw: bytes) -> dict:
         "payload_digest": base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex() if revisit else hashlib.sha1(payload).hexdigest(),
         "told_digest": base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex(),
         "record_type": fields["WARC-Type"],
-        "refers_to": page_of(fields["WARC-Refers-To"]) if revisit else None,
+        "refers_to": None if not revisit or int(fields["Refers-To-Page"]) == LEAST else int(fields["Refers-To-Page"]),
     }
 
 
-def _write(base: str, level: int):
+def _write(base: str, level: int, most_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _store(base)
-        name = f"pages-{uuid.uuid4().hex}.warc.gz"
-        out, at = None, 0
+        name, out, at = "", None, 0
         try:
             for batch in batches:
                 for block in text_blocks(batch, "payload"):
                     rows = []
                     for page, url, payload, digest, kind, refers in zip(*(block.column(k).to_pylist() for k in ("page_id", "url", "payload", "digest", "kind", "refers_to")), strict=True):
                         payload = payload or b""
-                        raw = gzip.compress(_record(page, url, payload, digest, refers, kind == "revisit"), level, mtime=0)
-                        if out is None:
+                        if out is None or at >= most_bytes:
+                            if out is not None:
+                                out.close()
+                            name, at = f"pages-{uuid.uuid4().hex}.warc.gz", 0
                             out = files.open_output_stream(f"{root}/{name}", compression=None)
+                        raw = gzip.compress(_record(page, url, payload, digest, refers, kind == "revisit", turn_of(name, at)), level, mtime=0)
                         out.write(raw)
                         rows.append((surt(url), url, page, kind, digest, len(payload), refers, name, at, len(raw)))
                         at += len(raw)
@@ -151,9 +165,12 @@ def _line(row: tuple) -> str:
     return "\t".join(map(clean, row))
 
 
+def _back(v: str) -> str | None:
+    return None if v == "-" else "" if v == "%" else v.replace("%0D", "\r").replace("%0A", "\n").replace("%09", "\t").replace("%25", "%")
+
+
 def read_line(line: str) -> dict:
-    back = lambda v: None if v == "-" else "" if v == "%" else v.replace("%0D", "\r").replace("%0A", "\n").replace("%09", "\t").replace("%25", "%")
-    row = dict(zip(_FIELDS, map(back, line.split("\t")), strict=True))
+    row = dict(zip(_FIELDS, map(_back, line.split("\t")), strict=True))
     return row | {k: None if row[k] is None else int(row[k]) for k in ("page_id", "size", "refers_to", "offset", "length")}
 
 
@@ -192,15 +209,62 @@ def _pack_index(base: str, block_lines: int):
     return run
 
 
-def _read_blocks(base: str):
+PLACE = "file string, offset long, length long"
+_PLACE_TYPES = (pa.string(), pa.int64(), pa.int64())
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(set(map(surt, batch.column("url").to_pylist()))), pa.string())], ["key"])
+
+
+def _search(base: str):
+    """Sorted keys to the blocks that may hold them, by bisection in the part of the directory that they span."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = _store(base)
+        for batch in batches:
+            keys = batch.column("key").to_pylist()
+            if not keys:
+                continue
+            part = pq.read_table(f"{root}/directory", filesystem=files, columns=["key", "last", *_PLACE], filters=[("last", ">=", keys[0]), ("key", "<=", keys[-1])])
+            part = part.sort_by([("key", "ascending"), ("last", "ascending")])
+            first, last = part.column("key").to_pylist(), part.column("last").to_pylist()
+            spans = [(bisect_left(last, k), bisect_right(first, k)) for k in keys]
+            at = pa.array([i for a, b in spans for i in range(a, b)], pa.int64())
+            wanted = [k for k, (a, b) in zip(keys, spans, strict=True) for _ in range(a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array(wanted, pa.string()), *(part.column(c).combine_chunks().take(at) for c in _PLACE)], ["key", *_PLACE])
+
+    return run
+
+
+_PLACE = ("file", "offset", "length")
+
+
+def find(lines: list[str], key: str) -> Iterator[dict]:
+    """The lines of a key in a sorted block."""
+    for line in lines[bisect_left(lines, key, key=lambda x: _back(x.split("\t", 1)[0]) or "") :]:
+        row = read_line(line)
+        if row["key"] != key:
+            return
+        yield row
+
+
+def _find_lines(base: str):
+    """Blocks, each with its wanted keys in a row, to the places of records."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _store(base)
+        block, lines = None, []
         for batch in batches:
-            for name, offset, length in zip(*(batch.column(k).to_pylist() for k in ("file", "offset", "length")), strict=True):
-                with files.open_input_file(f"{root}/{name}") as f:
-                    lines = gzip.decompress(f.read_at(length, offset)).decode().split("\n")
-                rows = [read_line(x) for x in lines]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string() if k == "file" else pa.int64()) for k in ("file", "offset", "length")], ["file", "offset", "length"])
+            rows: list[dict] = []
+            for key, *own in zip(*(batch.column(k).to_pylist() for k in ("key", *_PLACE)), strict=True):
+                if own != block:
+                    block = own
+                    with files.open_input_file(f"{root}/{own[0]}") as f:
+                        lines = gzip.decompress(f.read_at(own[2], own[1])).decode().split("\n")
+                rows += find(lines, key)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in zip(_PLACE, _PLACE_TYPES, strict=True)], _PLACE)
 
     return run
 
@@ -244,28 +308,25 @@ class Archive:
     def directory(self) -> DataFrame:
         return self.spark.read.schema(ENTRY).parquet(f"{self.base}/directory")
 
-    def read_all(self) -> DataFrame:
-        """Every record, found through the index and read from the archives file by file."""
-        lines = self.directory.select("file", "offset", "length").repartition("file", "offset").mapInArrow(_read_blocks(self.base), "file string, offset long, length long")
-        return lines.repartition("file").sortWithinPartitions("file", "offset").mapInArrow(_read_records(self.base), READ)
+    def read(self, urls: DataFrame) -> DataFrame:
+        """The records of all captures of the given URLs (column url), found by their keys through both levels of the index."""
+        n = self.directory.agg(F.sum("lines")).first()[0] or 0
+        tasks = max(1, min(-(-n // 2000), max(64, -(-n // 50_000))))
+        keys = urls.select("url").distinct().mapInArrow(_keys, "key string").distinct()
+        blocks = keys.repartitionByRange(tasks, "key").sortWithinPartitions("key").mapInArrow(_search(self.base), f"key string, {PLACE}")
+        places = blocks.repartition(tasks, "file", "offset").sortWithinPartitions("file", "offset", "key").mapInArrow(_find_lines(self.base), PLACE)
+        return places.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(_read_records(self.base), READ)
 
     def lookup(self, url: str) -> list[dict]:
-        """The records of one URL: bisection in the directory, then range reads."""
-        entries = getattr(self, "_entries", None)
-        if entries is None:  # sparse: one entry for each block of lines
-            entries = self._entries = [tuple(r) for r in self.directory.orderBy("key", "last").collect()]
+        """The records of one URL: bisection in the part of the directory that holds its key, then range reads."""
         key = surt(url)
-        a = bisect_left([e[1] for e in entries], key)
-        b = bisect_right([e[0] for e in entries], key)
+        entries = sorted(map(tuple, self.directory.filter((F.col("key") <= key) & (F.col("last") >= key)).select("key", "last", *_PLACE).collect()))
         files, root = _store(self.base)
         found = []
-        for _, _, name, offset, length, _ in entries[a:b]:
+        for _, _, name, offset, length in entries:
             with files.open_input_file(f"{root}/{name}") as f:
                 lines = gzip.decompress(f.read_at(length, offset)).decode().split("\n")
-            for line in lines[bisect_left(lines, _line((key,)), key=lambda x: x.split("\t", 1)[0]) :]:
-                row = read_line(line)
-                if row["key"] != key:
-                    break
+            for row in find(lines, key):
                 with files.open_input_file(f"{root}/{row['file']}") as f:
                     found.append(row | parse_record(zlib.decompress(f.read_at(row["length"], row["offset"]), 31)))
         return found
@@ -276,6 +337,7 @@ class WarcWriter:
     least_revisit: int = 1000
     block_lines: int = 2000
     level: int = 3
+    most_bytes: int = 1 << 30
 
     def write(self, pages: DataFrame) -> Archive:
         spark = pages.sparkSession
@@ -293,7 +355,7 @@ class WarcWriter:
         rows = named.join(kinds, (rank == F.col("page")) & (F.col("digest") == F.col("its digest")), "left")
         refers = F.when(F.col("original") != LEAST, F.col("original"))
         written = rows.select("page_id", "url", "payload", "digest", F.when(F.col("page").isNotNull(), "revisit").otherwise("response").alias("kind"), refers.alias("refers_to"))
-        written.mapInArrow(_write(base, self.level), LINE).write.parquet(f"{base}/lines")
+        written.mapInArrow(_write(base, self.level, self.most_bytes), LINE).write.parquet(f"{base}/lines")
         lines = spark.read.schema(LINE).parquet(f"{base}/lines")
         ordered = lines.orderBy("key", "url", "page_id", "file", "offset")
         ordered.mapInArrow(_pack_index(base, self.block_lines), ENTRY).write.parquet(f"{base}/directory")
