@@ -119,3 +119,31 @@ def test_depth():
     assert not too_deep("[" * 5 + "]" * 5, 5) and too_deep("[" * 6 + "]" * 6, 5)
     assert not too_deep('["[[[[[[", "\\"[[[["]', 2) and too_deep('{"a": "x\\\\", "b": [[[1]]]}', 3)
     assert not too_deep("[]" * 50, 1) and not too_deep('"' + "[" * 90, 3)
+
+
+def test_values_are_counted_by_the_action(spark):
+    g = session(spark, SF)
+    frame, seen = g.counted("SELECT c_custkey, c_name, c_acctbal FROM demo.customer")
+    n = len(frame.collect())
+    assert g.count_values(seen) == 2 * n == g.metrics.as_dict()["values_masked"]
+
+
+def test_tables_of_a_catalog(spark, tmp_path):
+    from veilspark.operators.session import GuardedSession
+    from veilspark.sources.config import Config
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS shopdb")
+    spark.createDataFrame([(1, "ann")], "id int, who string").write.mode("overwrite").saveAsTable("shopdb.people")
+    g = GuardedSession(spark, Config.build({"pseudonym_key": "0123456789abcdef", "columns": {"shopdb.people": {"id": {"mask": "none"}, "who": {"mask": "redact"}}}}))
+    assert g.add_catalog("shopdb") == ["shopdb.people"]
+    assert [tuple(r) for r in g.sql("SELECT id, who FROM shopdb.people").collect()] == [(1, "***")]
+    spark.sql("DROP DATABASE shopdb CASCADE")
+
+
+def test_keys_stand_in_no_plan_and_both_ways_agree(spark):
+    text = "SELECT c_custkey, c_name FROM demo.customer"
+    one, two = session(spark, SF), session(spark, SF, digests="native")
+    pads = [p.hex().upper() for p in one.policy.config.key.pads()]
+    shown = one.sql(text)._jdf.queryExecution().toString().upper()
+    assert not any(p[:32] in shown for p in pads) and "DEMO-KEY" not in shown
+    assert sorted(map(tuple, one.sql(text).collect())) == sorted(map(tuple, two.sql(text).collect()))

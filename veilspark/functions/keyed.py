@@ -1,16 +1,22 @@
-"""Keyed digests as native expressions: HMAC-SHA256 from sha2 and two padded keys.
+"""Keyed digests, in two ways that give the same digits.
 
-The padded keys are literals of the plan, so they stand for the key itself:
+As native expressions (:func:`mac_hex`): HMAC-SHA256 from sha2 and two padded keys.  The padded
+keys are literals of the plan, so they stand for the key itself:
 :func:`redaction_conf` hides them from explain output, and guarded sessions do
 not hand out plans.
+
+In Arrow batches (:func:`in_batches`): the key stays in a Python closure, so no plan holds it, its
+two padded blocks are hashed once a batch and not once a value, and a value that repeats in a batch is hashed once.
 """
 
 from __future__ import annotations
 
 import hmac
+from collections.abc import Callable
 from dataclasses import dataclass
 from hashlib import sha256
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,6 +57,34 @@ def _prefix(domain: str | None) -> bytes:
     return b"" if domain is None else domain.encode() + b"\0"
 
 
+def hasher(key: Key, domain: str | None, salt: bytes = b"", digits: int = 64) -> Callable[[bytes], str]:
+    """Hex digits of the digest of a value, from states that have taken in the key already."""
+    inner, outer = key.pads()
+    first, second = sha256(inner + _prefix(domain) + salt), sha256(outer)
+
+    def run(value: bytes) -> str:
+        a, b = first.copy(), second.copy()
+        a.update(value)
+        b.update(a.digest())
+        return b.hexdigest()[:digits]
+
+    return run
+
+
+def in_batches(c: Column, make: Callable[[], Callable[[bytes], str]]) -> Column:
+    """A text function over each distinct value of an Arrow batch; ``make`` gives it, once a batch."""
+
+    @F.arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:
+        if not len(values):
+            return pa.array([], pa.string())
+        coded = values.cast(pa.binary()).dictionary_encode()
+        one = make()
+        return pa.array([one(v) for v in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
+    return run(c.cast("string"))
+
+
 def mac_hex(key: Key, value: Column, domain: str | None, salt: bytes = b"") -> Column:
     """64 hex digits of the digest of domain, 0x00, salt and the value's bytes."""
     inner, outer = key.pads()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 from ..errors import MaskError
 from ..spec import Mask, MaskSpec, logical_type, supports
 from .jsonmask import mask_documents
-from .keyed import Key, mac_hex
+from .keyed import Key, hasher, in_batches, mac_hex
 from .scrub import let, scrub
 
 
@@ -45,11 +47,30 @@ def span(c: Column, start: int, end: int) -> Column:
     return F.when(n <= start, _stars(n)).otherwise(F.concat(F.left(c, F.lit(start)), _stars(last - start), F.substring(c, last + 1, n)))
 
 
-def digest(c: Column, key: Key, domain: str | None) -> Column:
+def digest(c: Column, key: Key, domain: str | None, batches: bool = False) -> Column:
+    if batches:
+        return in_batches(c, lambda: hasher(key, domain, digits=32))
     return F.left(mac_hex(key, c, domain), F.lit(32))
 
 
-def pseudonym(c: Column, key: Key, domain: str | None, keep_domain: bool = False) -> Column:
+def pseudonym_of(key: Key, domain: str | None, keep_domain: bool) -> Callable[[bytes], str]:
+    """The pseudonym of one value, an address or any other text."""
+    local, short = hasher(key, domain, digits=16), hasher(key, domain, b"domain" + bytes(1), 8)
+
+    def run(value: bytes) -> str:
+        if b"@" not in value:
+            return local(value)
+        name, _, host = value.partition(b"@")
+        if not name or not host:
+            return local(value)
+        return f"{local(value)}@{host.decode()}" if keep_domain else f"{local(value)}@{short(host)}.invalid"
+
+    return run
+
+
+def pseudonym(c: Column, key: Key, domain: str | None, keep_domain: bool = False, batches: bool = False) -> Column:
+    if batches:
+        return in_batches(c, lambda: pseudonym_of(key, domain, keep_domain))
     local = F.left(mac_hex(key, c, domain), F.lit(16))
     at = F.locate("@", c)
     host = F.substring(c, at + 1, F.length(c))
@@ -137,8 +158,11 @@ def ip_prefix(c: Column) -> Column:
     return let(bare, cut)
 
 
-def mask(c: Column, spec: MaskSpec, f: T.StructField, key: Key, lenient: bool = False, projection: tuple[str, ...] = ()) -> Column:
-    """``c`` under ``spec``.  A mask that does not support the type is an error, never a pass."""
+def mask(c: Column, spec: MaskSpec, f: T.StructField, key: Key, lenient: bool = False, projection: tuple[str, ...] = (), batches: bool = False) -> Column:
+    """``c`` under ``spec``.  A mask that does not support the type is an error, never a pass.
+
+    ``batches``: keyed digests of texts in Arrow batches, with the key in no plan.
+    """
     kind, logical, dt = spec.mask, logical_type(f), f.dataType
     if not supports(kind, dt, logical):
         raise MaskError(f"{kind.value} cannot mask {dt.simpleString()}")
@@ -158,11 +182,11 @@ def mask(c: Column, spec: MaskSpec, f: T.StructField, key: Key, lenient: bool =
         case Mask.RANGE:
             return span(c, spec.start, spec.end)
         case Mask.HASH:
-            return digest(c, key, spec.domain)
+            return digest(c, key, spec.domain, batches)
         case Mask.PSEUDONYM if logical == "uuid":
             return pseudonym_uuid(c, key, spec.domain, lenient)
         case Mask.PSEUDONYM:
-            return pseudonym(c, key, spec.domain, spec.keep_domain)
+            return pseudonym(c, key, spec.domain, spec.keep_domain, batches)
         case Mask.DATE_YEAR:
             return coarse_date(c, "year", dt)
         case Mask.DATE_MONTH:

@@ -6,7 +6,7 @@ from collections import Counter
 
 from ..errors import Cause
 
-COUNTERS = ("statements", "served", "rejected", "fields", "fields_masked", "fields_nulled", "rescued", "metadata", "reloads")
+COUNTERS = ("statements", "served", "rejected", "fields", "fields_masked", "fields_nulled", "values_masked", "rescued", "metadata", "reloads")
 
 
 class Metrics:

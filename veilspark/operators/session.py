@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +61,18 @@ class GuardedSession:
     def read_table(self, name: str, path: str, format: str = "parquet", **options: str) -> None:
         self.add_table(name, read(self.spark, path, format, **options))
 
+    def add_catalog(self, database: str) -> list[str]:
+        """Register every table of a database of the session's catalog as database.table; columns that may not be null are remembered."""
+        found = sorted(t.name for t in self.spark.catalog.listTables(database) if not t.isTemporary)
+        for name in found:
+            self.add_table(f"{database}.{name}", self.spark.table(f"`{database}`.`{name}`"))
+        return [f"{database}.{name}".lower() for name in found]
+
+    def not_null(self, config: Config) -> frozenset[tuple[str, str]]:
+        """Columns that may not be null: those declared, and those whose tables say so."""
+        told = {(t.name, f.name.lower()) for t in self.tables.values() for f in t.frame.schema if not f.nullable}
+        return config.not_null | told
+
     def check_rules(self) -> None:
         """Every rule must name a column of a registered table."""
         known = {(t.name, c) for t in self.tables.values() for c in t.columns}
@@ -139,6 +151,19 @@ class GuardedSession:
                 raise PolicyRejection(Cause.MASK_TYPE_MISMATCH, f"the mask of {p.name!r} cannot be applied to its type")
         return apply_plans(frame, plans, policy.config, typed)
 
+    def counted(self, statement: str, principal: str | None = None) -> tuple[DataFrame, Observation]:
+        """The masked result, and how many values of each masked field an action on it gives out (no job of its own)."""
+        frame, plans = self.sql(statement, principal), self.decisions(statement, principal)
+        seen = Observation()
+        counts = [F.count(F.col(f"`{p.name}`")).alias(p.name) for p in plans if not p.spec.passes]
+        return MaskedFrame.over(frame.observe(seen, F.count(F.lit(1)).alias("rows of result"), *counts)), seen
+
+    def count_values(self, seen: Observation) -> int:
+        """Add what a finished action gave out to the metrics."""
+        n = sum(v for k, v in seen.get.items() if k != "rows of result")
+        self.metrics.add("values_masked", n)
+        return n
+
     def _masked(self, frame: DataFrame, policy: Policy, roles: frozenset[str], words: set[str], own_rows: bool = False) -> DataFrame:
         plans = Planner(policy.config, self.tables).plan(frame, roles, words, self.metrics.add, own_rows)
         self.metrics.add("fields", len(plans))
@@ -169,7 +194,7 @@ def apply_plans(frame: DataFrame, plans: list[FieldPlan], config: Config, fields
         c = F.col(f"`{place}`")
         bare = T.StructField(f.name, f.dataType, metadata=f.metadata)
         try:
-            cols.append(c.alias(p.name) if p.spec.passes and place != p.name else c if p.spec.passes else mask(c, p.spec, bare, config.key, p.lenient, p.projection).alias(p.name, metadata={}))
+            cols.append(c.alias(p.name) if p.spec.passes and place != p.name else c if p.spec.passes else mask(c, p.spec, bare, config.key, p.lenient, p.projection, config.digests == "batches").alias(p.name, metadata={}))
         except MaskError as e:
             raise PolicyRejection(Cause.MASK_TYPE_MISMATCH, str(e)) from None
     return named.select(*cols)
