@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; run() writes it
 as Parquet in the shared folder and reads it again as the next stage's docs.
+
+Defined results of all stages: null and empty texts are texts without words; a null doc_id is less
+than all others; very long texts are worked on whole; an empty table gives an empty
+table with the same columns; columns other than doc_id, text and source pass through unread,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -19,19 +24,31 @@ from veilspark.llm.substrings import SubstringDedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    A document at the limit (a score of one half, as all have without labels) stays; repeated rows share
+    one fate; null and empty texts are scored as texts without words.
+    """
     classifier = QualityClassifier()
     labels = training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return classifier.keep(docs, classifier.train(docs, labels))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: the one with the least doc_id."""
+    """One document of each class of near copies stays: the one with the least doc_id.
+
+    Documents without words are no copies of each other and stay; of rows equal in doc_id and
+    text one stays, any of them.
+    """
     return NearCopies().keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has go from the text; a text without any stays as it is."""
+    """Passages that an earlier document has go from the text; a text without any stays as it is.
+
+    Earlier is by doc_id, then by text; a text that is all repeats becomes empty; n_chars follows the text
+    where it changed.
+    """
     out = SubstringDedup().run(docs.withColumn("text as it was", F.col("text")), carry=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.`text as it was`"))
     new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": text}
@@ -39,13 +56,21 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once or twice."""
+    """Documents as often as the mix takes them: not at all, once or twice.
+
+    A null source is a source of its own; documents without words take no room and come as often as their place
+    in the order says; repeated rows share one fate.
+    """
     return SourceMixer().mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences of 2048."""
-    return Packer(word_tokenizer()).pack(docs)
+    """Token pieces with their ids and their places in sequences of 2048.
+
+    A text without words is its end id alone; only longer texts than a sequence are cut; a document
+    that comes twice is packed twice.
+    """
+    return Packer(word_tokenizer()).pack(docs, with_ids=True)
 
 
 STAGES = [
