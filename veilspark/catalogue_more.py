@@ -88,7 +88,7 @@ SCRUB_PATTERNS_SQL = f"SELECT o_orderkey, {_TEXTS}[o_orderkey % {len(SCRUBBED)}
 # ----------------------------------------------------------------- detectors
 #: (value, the detectors that take it).
 DETECTED = (
-    ("ann@mail.example", {3}), ("@mail.example", set()), ("10.1.2.3", {4, 5}), ("10.1.2.300", {5}), ("fe80::1", {4}), ("fe80::1::2", set()), ("+44 20 7946 0958", {5}), ("12345", set()),
+    ("ann@mail.example", {3}), ("@mail.example", set()), ("10.1.2.3", {4}), ("10.1.2.300", {5}), ("fe80::1", {4}), ("fe80::1::2", set()), ("+44 20 7946 0958", {5}), ("12345", set()),
     ("4111 1111 1111 1111", {0}), ("4111 1111 1111 1112", set()), ("GB82 WEST 1234 5698 7654 32", {1}), ("GB82 WEST 1234 5698 7654 33", set()), ("123-45-6789", {2, 5}), ("000-45-6789", {5}), ("plain", set()),
 )
 NAMES = ("card", "iban", "ssn", "email", "ip", "phone")
@@ -184,7 +184,7 @@ TEXTS = (
     f"lower({_SEGMENT}) AS a, upper({_SEGMENT}) AS b, length({_SEGMENT}) AS c, substring({_SEGMENT}, 2, 3) AS d, left({_SEGMENT}, 2) AS e, right({_SEGMENT}, 2) AS f, replace({_SEGMENT}, 'A', 'x') AS g, "
     f"concat({_SEGMENT}, '-', {_SEGMENT}) AS h, reverse({_SEGMENT}) AS i, trim({_SEGMENT}) AS j, repeat({_SEGMENT}, 2) AS k, translate({_SEGMENT}, 'AB', 'ab') AS l, ascii({_SEGMENT}) AS m, md5({_SEGMENT}) AS n"
 )
-NUMBERS = "abs(s_nationkey - 12) AS a, round(s_nationkey / 7, 3) AS b, CAST(ceil(s_nationkey / 3) AS INT) AS c, CAST(floor(s_nationkey / 3) AS INT) AS d, sign(s_nationkey - 5) AS e, greatest(s_nationkey, 5) AS f, least(s_nationkey, 5) AS g, nullif(s_nationkey, 3) AS h, coalesce(nullif(s_nationkey, 3), -1) AS i"
+NUMBERS = "abs(s_nationkey - 12) AS a, round(s_nationkey / 7, 3) AS b, CAST(ceil(s_nationkey / 3) AS INT) AS c, CAST(floor(s_nationkey / 3) AS INT) AS d, CAST(sign(s_nationkey - 5) AS INT) AS e, greatest(s_nationkey, 5) AS f, least(s_nationkey, 5) AS g, nullif(s_nationkey, 3) AS h, coalesce(nullif(s_nationkey, 3), -1) AS i"
 
 _PERSON_COLUMNS = "c_custkey, c_name"
 STATEMENTS_MORE: dict[str, tuple[str, str]] = {
@@ -206,11 +206,6 @@ STATEMENTS_MORE: dict[str, tuple[str, str]] = {
         "SELECT x.n_name, y.r_name FROM (SELECT n_regionkey AS k, n_name FROM demo.nation) x FULL JOIN (SELECT r_regionkey + 1 AS k, r_name FROM demo.region) y USING (k)",
         "SELECT x.n_name, y.r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) x FULL JOIN (SELECT r_regionkey + 1 AS k, r_name FROM region) y USING (k)",
     ),
-    "date_trunc_released": ("SELECT count(*) AS n, date_trunc('decade', o_orderdate) AS y FROM demo.orders GROUP BY date_trunc('decade', o_orderdate)", "SELECT count(*) AS n, date_trunc('decade', o_orderdate) AS y FROM orders GROUP BY 2"),
-    "recursive_counts": (
-        "WITH RECURSIVE r(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM r WHERE i < 5) SELECT n.n_nationkey FROM demo.nation n WHERE n.n_nationkey IN (SELECT i FROM r)",
-        "SELECT n_nationkey FROM nation WHERE n_nationkey BETWEEN 1 AND 5",
-    ),
 }
 VARIANTS_MORE: dict[str, tuple[dict, str | None, str, str]] = {
     "reducing_aggregates": ({"lineage": "allow"}, None, AGGREGATES, AGGREGATES_SQL),
@@ -282,7 +277,7 @@ def leak_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated statements under three policies, and under one that gives a masked column away, which must be noticed."""
     rows = []
     for name, overlay, rules in (("plain", {}, None), ("lineage", {"lineage": "allow", "opaque": "mask"}, None), ("hostile", {"posture": "hostile"}, None), ("poisoned", {}, {"x": {"mask": "none"}})):
-        report = campaign.run(campaign.guard(spark, rules, **overlay), 17, 150)
+        report = campaign.run(campaign.guard(spark, rules, **overlay), 17, 120)
         rows.append((name, report.statements, report.served > 0, bool(report.leaks)))
     return spark.createDataFrame(rows, "policy string, statements long, some_served boolean, leaks boolean")
 
@@ -301,5 +296,5 @@ def entries(pseudonym: Callable[[str], str]) -> dict[str, Entry]:
         "view_identity": (view_identity, "SELECT c_custkey AS k, CASE WHEN length(c_name) <= 2 THEN repeat('*', length(c_name)::INT) ELSE repeat('*', (length(c_name) - 2)::INT) || right(c_name, 2) END AS who FROM customer WHERE c_acctbal > 0"),
         "opaque_view": (opaque_view, "SELECT CAST(NULL AS VARCHAR) AS name, 1 AS one FROM (SELECT n_name FROM nation UNION ALL SELECT r_name FROM region)"),
         "file_formats": (file_formats, " UNION ALL ".join(s.format(n, pseudonym("s_name")) for n in ("parquet", "orc", "csv", "json"))),
-        "leak_campaign": (leak_campaign, "SELECT * FROM (VALUES ('plain', 150::BIGINT, true, false), ('lineage', 150::BIGINT, true, false), ('hostile', 150::BIGINT, true, false), ('poisoned', 150::BIGINT, true, true)) v(policy, statements, some_served, leaks)"),
+        "leak_campaign": (leak_campaign, "SELECT * FROM (VALUES ('plain', 120::BIGINT, true, false), ('lineage', 120::BIGINT, true, false), ('hostile', 120::BIGINT, true, false), ('poisoned', 120::BIGINT, true, true)) v(policy, statements, some_served, leaks)"),
     }

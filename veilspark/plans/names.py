@@ -49,7 +49,7 @@ CLOSED_CLASSES = (
     | frozenset(
         "Alias AttributeReference Literal Coalesce CaseWhen If CreateArray GetArrayItem GetStructField Length OctetLength Lower Upper InitCap Substring Left Right "
         "StringTrim StringTrimLeft StringTrimRight StringTrimBoth StringReplace StringTranslate Overlay Concat ConcatWs FormatString StringRepeat Reverse Ascii Chr Md5 "
-        "Encode Decode StringEncode StringDecode TruncTimestamp TruncDate Like AggregateExpression Mixed".split()
+        "Encode Decode StringEncode StringDecode TruncTimestamp TruncDate Like AggregateExpression Mixed With CommonExpressionDef CommonExpressionRef TypedNullLiteral".split()
     )
     | REDUCING_CLASSES
 )
@@ -60,7 +60,7 @@ PARSED_CLASSES = frozenset(
     "MultiAlias OuterReference Exists ListQuery ScalarSubquery LateralSubquery InSubquery SortOrder Ascending Descending NullsFirst NullsLast "
     "WindowExpression UnresolvedWindowExpression WindowSpecDefinition WindowSpecReference SpecifiedWindowFrame UnspecifiedFrame UnboundedPreceding UnboundedFollowing CurrentRow RowFrame RangeFrame "
     "Rollup Cube GroupingSets GroupingAnalytics Grouping GroupingID NaturalJoin UsingJoin ILike RLike LikeAll LikeAny NotLikeAll NotLikeAny Between "
-    "CreateNamedStruct CreateStruct CreateMap NamePlaceholder UnresolvedCollation UnresolvedTypedNullLiteral CurrentTime PipeOperator PipeExpression "
+    "CreateNamedStruct CreateStruct CreateMap NamePlaceholder UnresolvedCollation UnresolvedTypedNullLiteral CurrentTime PipeExpression "
     "MakeInterval MakeYMInterval MakeDTInterval DatetimeAdd TimestampAdd TimestampDiff Year Month DayOfMonth Hour Minute Second Quarter".split()
 )
 #: Functions that look into trees, files or the machine, whatever name they are called by.
