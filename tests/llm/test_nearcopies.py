@@ -53,18 +53,17 @@ def run(df, **k):
     return sorted([(r.doc_id, r.class_id, r.n_links) for r in NearCopies(**k).join(df).collect()], key=str)
 
 
-@pytest.mark.parametrize("block", [1024, 2])
-def test_documents(spark, block):
+def test_documents(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     want = brute([(r.doc_id, r.text) for r in df.collect()])
-    assert run(df, block_texts=block) == want and sum(r[2] for r in want) > 0
+    assert run(df, block_texts=2) == want and sum(r[2] for r in want) > 0
 
 
 def test_a_large_group_in_blocks(spark):
     base = [f"w{i}" for i in range(80)]
     rows = [(i, " ".join([*base, f"end{i % 40}"])) for i in range(120)] + [(1000 + i, " ".join(f"{i}_{j}" for j in range(30))) for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    assert run(df, block_texts=9) == run(df) == brute(rows)
+    assert run(df, block_texts=9) == brute(rows)
 
 
 def test_edges(spark):

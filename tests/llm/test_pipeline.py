@@ -37,5 +37,59 @@ def test_stages(spark):
 
 
 def test_run(spark):
-    out = corpus_pipeline.run(spark, SF)
-    assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert {"doc_id", "piece", "sequence_id", "offset", "ids"} <= set(out[0].asDict())
+    bins = collections.defaultdict(list)
+    for r in out:
+        assert len(r.ids) == r.length
+        bins[r.sequence_id].append((r.offset, r.length))
+    for places in bins.values():  # gapless from 0, and no longer than a sequence
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+EDGES = "doc_id long, text string, lang string, source string, n_chars long, node int, `key of class` int, size int, `row` string, cell int, chunk int, label int"
+
+
+def edge_rows():
+    long = " ".join(f"w{i}" for i in range(9000))
+    texts = [(1, None, None), (2, "", "s"), (3, " \n\t", "s"), (None, "a b c d e f g", "t"), (4, long, "t"), (5, long + " more", "t"), (6, "one two three four five six", ""), (6, "one two three four five six", ""), (7, "é" * 70_000, "u")]
+    return [(d, t, "en", s, len(t or ""), 1, 2, 3, "r", 4, 5, 6) for d, t, s in texts]
+
+
+def test_edges_of_all_stages(spark, tmp_path):
+    sf = f"file://{tmp_path}"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    docs = spark.createDataFrame(edge_rows(), EDGES)
+    docs.write.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, sf).cache()
+        assert docs.schema.names == before.schema.names
+        rows = docs.collect()
+        assert all((r.node, r.size, r["row"], r.cell, r.chunk, r.label) == (1, 3, "r", 4, 5, 6) for r in rows), name
+        if name == "quality classifier":
+            assert len(rows) == 9  # nothing is known against them
+        if name == "n-gram Jaccard join":
+            assert sorted(str(r.doc_id) for r in rows) == sorted(map(str, [1, 2, 3, None, 4, 6, 7]))
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, sf)
+        assert empty.collect() == []
+        if "text" not in empty.columns:
+            break
+
+
+def test_the_mix_keeps_to_its_targets(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    from veilspark.llm.mixing import SourceMixer
+
+    told = {(r.doc_id, r.size): r.taken for r in SourceMixer().report(docs).collect()}
+    words = collections.Counter()
+    for r in corpus_pipeline.mixed(spark, docs, SF).collect():
+        n = len((r.text or "").encode().split())
+        words[r.doc_id, n] += n
+    assert {k: v for k, v in told.items() if v} == {k: v for k, v in words.items() if v}

@@ -138,10 +138,13 @@ class SourceMixer:
     def mix(self, docs: DataFrame) -> DataFrame:
         """The documents of the mix, with all their columns, repeated where taken twice."""
         plan = self.decide(docs).filter("copies > 0").select("doc_id", "source", "size", "copies")
-        rows = docs.alias("d").withColumn("size of mix", word_count(F.col("d.text")))
-        same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("size of mix") == F.col("m.size"))
-        chosen = rows.join(plan.alias("m").hint("shuffle_hash"), same)
-        return chosen.select("d.*", F.explode(F.sequence(F.lit(1), F.col("m.copies").cast("int"))).alias("copy of mix")).drop("copy of mix")
+        # the columns travel in one struct, whatever they are called
+        own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+        rows = docs.select(own, F.col("doc_id").alias("d"), F.col("source").alias("s"), word_count(F.col("text")).alias("n"))
+        same = F.col("d").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("n") == F.col("size"))
+        chosen = rows.join(plan.hint("shuffle_hash"), same)
+        copies = chosen.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+        return copies.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 #: The same mix in DuckDB, for the registered query's default parameters.

@@ -449,9 +449,9 @@ class NearCopies:
     def keep_one(self, docs: DataFrame) -> DataFrame:
         """The documents with one left of each class: the one with the least doc_id."""
         stay = self.classes(docs).filter("doc_id = class_id and print = class_print").select(F.col("doc_id").alias("k"), F.col("print").alias("p"))
-        # rows without words all stay; of equal rows one does
-        key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)), F.xxhash64("text")]
-        rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], key[0].alias("key of class"), key[1].alias("print of class"))
-        rows = rows.join(stay.distinct().hint("shuffle_hash"), (F.col("key of class") == F.col("k")) & (F.col("print of class") == F.col("p")), "left_semi")
-        turn = F.row_number().over(W.partitionBy("key of class", "print of class").orderBy(F.lit(0)))
-        return rows.withColumn("turn of class", turn).filter(F.col("turn of class") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+        # rows without words all stay; of equal rows one does; the columns travel in one struct, whatever they are called
+        own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+        rows = docs.select(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("key"), F.xxhash64("text").alias("print"))
+        rows = rows.join(stay.distinct().hint("shuffle_hash"), (F.col("key") == F.col("k")) & (F.col("print") == F.col("p")), "left_semi")
+        turn = F.row_number().over(W.partitionBy("key", "print").orderBy(F.lit(0)))
+        return rows.withColumn("turn", turn).filter(F.col("turn") == 1).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -13,7 +13,9 @@ Scale: tokenising is one pass with no shuffle of text.  Ranks within a length
 are two-level (hash chunks, then rows in a chunk), so a length that a third of
 the pieces share is spread.
 
-Defined results: null text is an empty text, packed as its end id alone;
+Defined results: null text is an empty text, packed as its end id alone; texts
+longer than a window, and only these, are cut into whole windows and a rest;
+ties within a length go by doc_id, piece and checksum;
 repeated rows are packed each; null doc_ids are kept; an empty table gives no
 rows; other columns are never read.
 """

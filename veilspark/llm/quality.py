@@ -11,7 +11,8 @@ Scale: the model is fitted on the driver from at most ``max_train`` labelled
 rows, chosen by a hash of doc_id (a bounded sample, so the broadcast of their
 ids is bounded too); scoring is one pass over the documents without a shuffle.
 
-Defined results: null text is an empty text; several labels of a document are
+Defined results: null text is an empty text; very long texts are measured whole; a score right at a
+limit counts as above it; an empty table gives no rows; several labels of a document are
 averaged (a half counts as 1); null labels are left out; without rows to learn
 from, or with one class only, every score is the share of label 1 (one half if
 there is none); repeated rows score alike; other columns are never read, and

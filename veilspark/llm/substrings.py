@@ -25,8 +25,8 @@ shuffled once (one exchange by cell, reused by the three passes).  Words and
 windows are compared by 64-bit hashes.
 
 Defined results: null text has no words; a null doc_id is less than all
-others; rows with the same doc_id are taken one after the other in order of
-text; an empty table gives no rows; extra columns never reach the passes but
+others; ties (rows with the same doc_id) are taken one after the other in order of
+text, and of repeated rows the first stays; very long texts are one row of a cell and pass whole; an empty table gives no rows; extra columns never reach the passes but
 packed in one struct.
 """
 
