@@ -341,7 +341,7 @@ class ProjectionSearch:
         if any(n > each for n in sizes.values()):
             sample = rows if total <= self.sample_rows else rows.filter(F.pmod(F.xxhash64("row", "vec_id"), F.lit(1 << 30)) < int((1 << 30) * self.sample_rows / total)).limit(self.sample_rows)
             got: dict[tuple[int, int], list] = {}
-            for batch in sample.mapInArrow(self._project(), "width int, scale int, low array<double>").toLocalIterator():
+            for batch in sample.mapInArrow(self._project(), "width int, scale int, low array<double>").collect():
                 got.setdefault((batch["width"], batch["scale"]), []).append(batch["low"])
             points = {g: np.array(p) for g, p in got.items()}
         for g in sorted(sizes):
