@@ -57,30 +57,35 @@ def _prefix(domain: str | None) -> bytes:
     return b"" if domain is None else domain.encode() + b"\0"
 
 
-def hasher(key: Key, domain: str | None, salt: bytes = b"", digits: int = 64) -> Callable[[bytes], str]:
-    """Hex digits of the digest of a value, from states that have taken in the key already."""
+Texts = Callable[[list[bytes]], list[str]]
+
+
+def hasher(key: Key, domain: str | None, salt: bytes = b"", digits: int = 64) -> Texts:
+    """Hex digits of the digests of values, from states that have taken in the key already."""
     inner, outer = key.pads()
-    first, second = sha256(inner + _prefix(domain) + salt), sha256(outer)
+    first, second = sha256(inner + _prefix(domain) + salt).copy, sha256(outer).copy
 
-    def run(value: bytes) -> str:
-        a, b = first.copy(), second.copy()
-        a.update(value)
-        b.update(a.digest())
-        return b.hexdigest()[:digits]
+    def run(values: list[bytes]) -> list[str]:
+        out = []
+        for value in values:
+            a, b = first(), second()
+            a.update(value)
+            b.update(a.digest())
+            out.append(b.hexdigest()[:digits])
+        return out
 
     return run
 
 
-def in_batches(c: Column, make: Callable[[], Callable[[bytes], str]]) -> Column:
-    """A text function over each distinct value of an Arrow batch; ``make`` gives it, once a batch."""
+def in_batches(c: Column, make: Callable[[], Texts]) -> Column:
+    """A function over the distinct values of an Arrow batch; ``make`` gives it, once a batch."""
 
     @F.arrow_udf("string")
     def run(values: pa.Array) -> pa.Array:
         if not len(values):
             return pa.array([], pa.string())
         coded = values.cast(pa.binary()).dictionary_encode()
-        one = make()
-        return pa.array([one(v) for v in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+        return pa.array(make()(coded.dictionary.to_pylist()), pa.string()).take(coded.indices)
 
     return run(c.cast("string"))
 

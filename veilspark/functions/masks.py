@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +9,7 @@ from pyspark.sql import types as T
 from ..errors import MaskError
 from ..spec import Mask, MaskSpec, logical_type, supports
 from .jsonmask import mask_documents
-from .keyed import Key, hasher, in_batches, mac_hex
+from .keyed import Key, Texts, hasher, in_batches, mac_hex
 from .scrub import let, scrub
 
 
@@ -53,24 +51,24 @@ def digest(c: Column, key: Key, domain: str | None, batches: bool = False) -> Co
     return F.left(mac_hex(key, c, domain), F.lit(32))
 
 
-def pseudonym_of(key: Key, domain: str | None, keep_domain: bool) -> Callable[[bytes], str]:
-    """The pseudonym of one value, an address or any other text."""
+def pseudonyms(key: Key, domain: str | None, keep_domain: bool) -> Texts:
+    """The pseudonyms of values, addresses or any other texts."""
     local, short = hasher(key, domain, digits=16), hasher(key, domain, b"domain" + bytes(1), 8)
 
-    def run(value: bytes) -> str:
-        if b"@" not in value:
-            return local(value)
-        name, _, host = value.partition(b"@")
-        if not name or not host:
-            return local(value)
-        return f"{local(value)}@{host.decode()}" if keep_domain else f"{local(value)}@{short(host)}.invalid"
+    def run(values: list[bytes]) -> list[str]:
+        out = local(values)
+        for i in [i for i, v in enumerate(values) if b"@" in v]:
+            name, _, host = values[i].partition(b"@")
+            if name and host:
+                out[i] += f"@{host.decode()}" if keep_domain else f"@{short([host])[0]}.invalid"
+        return out
 
     return run
 
 
 def pseudonym(c: Column, key: Key, domain: str | None, keep_domain: bool = False, batches: bool = False) -> Column:
     if batches:
-        return in_batches(c, lambda: pseudonym_of(key, domain, keep_domain))
+        return in_batches(c, lambda: pseudonyms(key, domain, keep_domain))
     local = F.left(mac_hex(key, c, domain), F.lit(16))
     at = F.locate("@", c)
     host = F.substring(c, at + 1, F.length(c))
