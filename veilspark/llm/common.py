@@ -96,6 +96,23 @@ def cell_of(column, cells: int):
     return F.pmod(F.xxhash64(column), F.lit(cells)).cast("int")
 
 
+def one_thread() -> None:
+    """Keep numpy's OpenBLAS in this worker to one thread: tasks share the cores already, and small products wait for each other.
+
+    The library is asked by its own setting function; where there is none, nothing changes.
+    """
+    import ctypes
+    import glob
+    import os
+
+    for path in glob.glob(os.path.join(os.path.dirname(os.path.dirname(np.__file__)), "numpy.libs", "*openblas*")):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 # -------------------------------------------------------------------- blocks
 def text_blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES):
     """Slices of ``batch`` with about ``limit`` bytes of ``column`` each."""
