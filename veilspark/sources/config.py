@@ -20,7 +20,7 @@ CHOICES = {
     "posture": ("default", "hostile"),
     "system_catalogs": ("refuse", "allow"),
     "lineage": ("refuse", "allow"),
-    "digests": ("batches", "native"),
+    "digests": ("native", "batches"),
 }
 _PARAMS = {"keep", "start", "end", "bucket", "keep_domain", "domain", "json_unlisted", "json_max_bytes", "json_max_depth", "json", "json_keys"}
 _TYPE_KEYS = {"name", "mask", "by_role"} | _PARAMS
@@ -99,7 +99,7 @@ class Config:
     posture: str = "default"
     system_catalogs: str = "refuse"
     lineage: str = "refuse"
-    digests: str = "batches"  #: where keyed digests are made: Arrow batches, or native expressions whose plans hold the key
+    digests: str = "native"  #: where keyed digests are made: native expressions, whose plans hold the key, or Arrow batches
     rate_limit_per_minute: int = 0
     rate_limit_burst: int = 0
     unique_keys: tuple[frozenset[str], ...] = ()  #: bare column names of each declared key
