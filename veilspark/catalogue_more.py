@@ -223,7 +223,7 @@ VARIANTS_MORE: dict[str, tuple[dict, str | None, str, str]] = {
         "SELECT v FROM (SELECT c_mktsegment, c_name FROM demo.customer) UNPIVOT (v FOR k IN (c_mktsegment, c_name))",
         "SELECT CAST(NULL AS VARCHAR) AS v FROM customer, range(2)",
     ),
-    "hostile_order_by": ({"posture": "hostile"}, None, "SELECT p_partkey, p_name FROM demo.part ORDER BY p_name LIMIT 1000000", "SELECT p_partkey, CASE WHEN length(p_name) <= 4 THEN repeat('*', length(p_name)::INT) ELSE repeat('*', (length(p_name) - 4)::INT) || right(p_name, 4) END AS p_name FROM part"),
+    "hostile_order_by": ({"posture": "hostile"}, None, "SELECT p_partkey, p_name FROM demo.part ORDER BY p_name", "SELECT p_partkey, CASE WHEN length(p_name) <= 4 THEN repeat('*', length(p_name)::INT) ELSE repeat('*', (length(p_name) - 4)::INT) || right(p_name, 4) END AS p_name FROM part"),
 }
 
 
