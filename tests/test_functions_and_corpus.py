@@ -58,3 +58,12 @@ def test_streams_take_the_policy_of_their_moment(spark, tmp_path):
 
     assert stream_masked(spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
     assert stream_rebinding(spark, SF).agg(F.sum("n")).first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_masked_streams_stay_out_of_the_driver(spark):
+    from veilspark.catalogue import stream_masked
+
+    once, again = stream_masked(spark, SF), stream_masked(spark, SF)
+    assert once.schema["event_id"].dataType == again.schema["event_id"].dataType and sorted(once.columns) == sorted(spark.read.parquet(f"{SF}/events.parquet").columns)
+    assert once.inputFiles() and not set(once.inputFiles()) & set(again.inputFiles())
+    assert once.exceptAll(again).count() == again.exceptAll(once).count() == 0

@@ -530,14 +530,21 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
 
 
+def _own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and the executors share."""
+    root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stream-')}").rstrip("/")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def stream_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events read as a stream, masked, and gathered in a memory table."""
+    """Events read as a stream, masked, and written to files by the tasks: no row goes through the driver."""
     guard = session(spark, sf_dir)
     name = f"masked_events_{abs(hash(sf_dir))}"
+    path = _own_folder(spark, name)
     out = masked_stream(guard, "demo.events", _stream(spark, sf_dir))
-    query = out.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+    query = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-progress").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def stream_rebinding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -546,8 +553,7 @@ def stream_rebinding(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = {**POLICY["columns"], "demo.events": {**POLICY["columns"]["demo.events"], "user_id": _NONE}}
     guard.reload(Config.build({**POLICY, "columns": columns}))
     name = f"rebound_events_{abs(hash(sf_dir))}"
-    root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='rebound-')}").rstrip("/")
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    path = _own_folder(spark, name)
 
     def sink(batch: DataFrame, number: int) -> None:  # a batch that is run again replaces its own rows
         batch.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/batch={number}")
