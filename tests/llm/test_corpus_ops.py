@@ -158,6 +158,17 @@ def test_language_model_is_normalised_and_uses_all_positions(spark, monkeypatch,
     assert score(far) > score(near) + (0 if held else 5)
 
 
+def test_training_does_not_depend_on_a_number_of_pairs(spark, monkeypatch):
+    from veilspark.llm import language
+
+    df = spark.createDataFrame([(t, True) for t in third_after(40)], "text string, learn boolean").repartition(2)
+    model = LanguageModel(positions=1, steps=40)
+    few, _ = model.fit(df)
+    monkeypatch.setattr(language, "SHARD_PAIRS", 100)  # once the most pairs that were learned from in one sequence of steps
+    many, _ = model.fit(df)
+    assert np.array_equal(few.models[0].reach, many.models[0].reach) and np.array_equal(few.models[0].bias, many.models[0].bias)
+
+
 # --------------------------------------------------------------------- mixing
 def test_mixing_edges(spark):
     rows = [(1, "a b", None), (1, "a b", None), (2, None, "s"), (3, "x " * 50, "s"), (None, "y " * 7, "t"), (4, "z " * 400, "u"), (5, "q", ""), (5, "q r s", "")]

@@ -25,10 +25,10 @@ bytes.  So the classes squared, the cost of the constants, grow as T does.
 
 Scale: counts of all words live in hash buckets and are never gathered; a
 cell of documents asks the buckets for the counts of its distinct words and
-gets them back aligned.  Class pairs are counted in parts and stored; each position is trained on in
-tasks of its own, which read their parts one after the other in each pass.
-Where a position has more than ``SHARD_PAIRS`` its parts are dealt to several tasks, and a pass starts from the mean of their models
-(iterative parameter mixing).  Only the classes, the bins' totals and the models come to
+gets them back aligned.  Class pairs are counted in parts and stored; each position is trained in
+one task, which reads the parts one after the other in each pass, so its memory is a part and the model, and its
+time grows with the distinct pairs: training uses as many cores as there are positions, at every size.
+Only the classes, the bins' totals and the models come to
 the driver.  The constants are a task for each block of classes.  Tasks combine before they
 shuffle, so a word that all documents hold is sent once a task.
 
@@ -194,8 +194,10 @@ class Vocabulary:
         return [np.where(at - j >= begin, cls[np.maximum(at - j, 0)], self.end) for j in range(1, positions + 1)]
 
 
-#: Distinct pairs that a task holds before it sends them on, and about those that a shard has.
-HELD_PAIRS, SHARD_PAIRS = 2_000_000, 12_000_000
+#: Distinct pairs that a task holds before it sends them on.
+HELD_PAIRS = 2_000_000
+#: Not read any more (older tests set it): training was once dealt out above so many pairs, with other results.
+SHARD_PAIRS = 12_000_000
 
 
 def _pairs(vocabulary: Vocabulary, parts: int, positions: int):
@@ -335,11 +337,8 @@ def constants(spark: SparkSession, models: list[Scorer]) -> list[np.ndarray]:
 
 
 def _totals(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of the rows from each of ``first`` up to the next: differences of running sums."""
-    run = np.cumsum(rows, axis=0, dtype=np.float64)
-    out = run[np.append(first[1:], len(rows)) - 1]
-    out[1:] -= run[first[1:] - 1]
-    return out.astype(rows.dtype)
+    """Sums of the rows from each of ``first`` up to the next."""
+    return np.add.reduceat(rows, first, axis=0)
 
 
 def _move(values: np.ndarray, sums: np.ndarray, at: np.ndarray, rows: np.ndarray, rate: float) -> None:
@@ -432,29 +431,24 @@ def learn(m: LogBilinear, sums: dict[str, np.ndarray], chunks: Iterable[tuple[np
     return m
 
 
-State = dict[str, np.ndarray]
 PIECES = "position int, name string, row int, numbers binary"
 
 
-def _fresh(share: np.ndarray, dims: int, position: int) -> State:
-    m = vars(start(share, dims, 2 + position))
-    return m | {f"{k} squared": np.full_like(v, LEAST_SQUARE) for k, v in m.items()}
+def _learn(base: str, groups: int, share: np.ndarray, dims: int, steps: int, passes: int):
+    """The models of positions, each in rows of ``ROW`` numbers.
 
-
-def _learn(base: str, groups: int, shards: int, positions: list[int], states: list[State] | None, last: bool, share: np.ndarray, dims: int, options: dict):
-    """The models of the shards of ``positions``, each in rows of ``ROW`` numbers."""
+    A position is one sequence of steps over all its pairs, however many they are: the mean of models that each
+    saw a part of the pairs is a far worse one.  The nearest position takes one pass more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
-        for task in (i for batch in batches for i in batch.column(0).to_pylist()):
-            j, shard = positions[task // shards], task % shards
-            state = {k: v.copy() for k, v in states[j].items()} if states else _fresh(share, dims, j)
-            model = LogBilinear(*(state[k] for k in ("context", "turn", "target", "bias")))
-            own = np.random.default_rng(j).permutation(np.arange(shard, groups, shards)).tolist()
-            learn(model, {k: state[f"{k} squared"] for k in vars(model)}, StoredPairs(base, j, own), share, seed=2 + j, **({"passes": 1 if j else 2} | options))
-            for k, v in state.items():
-                if last and k.endswith("squared"):
-                    continue  # nothing goes on from here
+        for j in (i for batch in batches for i in batch.column(0).to_pylist()):
+            model = start(share, dims, 2 + j)
+            sums = {k: np.full_like(v, LEAST_SQUARE) for k, v in vars(model).items()}
+            places = np.random.default_rng(j).permutation(groups).tolist()
+            learn(model, sums, StoredPairs(base, j, places), share, seed=2 + j, steps=steps, passes=passes + (j == 0))
+            for k, v in vars(model).items():
                 for i, a in enumerate(range(0, v.size, ROW)):
                     yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([k]), pa.array([i], pa.int32()), pa.array([pack(v.ravel()[a : a + ROW])], pa.binary())], ["position", "name", "row", "numbers"])
 
@@ -462,16 +456,7 @@ def _learn(base: str, groups: int, shards: int, positions: list[int], states: li
 
 
 def _shaped(name: str, flat: np.ndarray, classes: int, dims: int) -> np.ndarray:
-    kind = name.split()[0]
-    return flat if kind == "bias" else flat.reshape(dims if kind == "turn" else classes, dims)
-
-
-def _mean(table: pa.Table) -> pa.Table:
-    numbers = table.column("numbers").to_pylist()
-    total = np.zeros(len(numbers[0]) // 4)
-    for b in numbers:
-        total += np.frombuffer(b, np.float32)
-    return table.slice(0, 1).set_column(3, "numbers", pa.array([pack((total / len(numbers)).astype(np.float32))], pa.binary()))
+    return flat if name == "bias" else flat.reshape(dims if name == "turn" else classes, dims)
 
 
 # ------------------------------------------------------------------- mixture
@@ -608,7 +593,10 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """At least ``words`` tokens have a class of their own, and up to ``per_root`` times the root of the number of distinct words."""
+    """At least ``words`` tokens have a class of their own, and up to ``per_root`` times the root of the number of distinct words.
+
+    A position is trained in at least ``passes`` passes (the nearest: one more) and ``steps`` steps.
+    """
 
     words: int = 767
     per_root: int = 32
@@ -655,27 +643,17 @@ class LanguageModel:
         """A model for each position, from the class pairs stored at ``pairs`` in ``groups`` places."""
         share = shares(v.counts)
         base = qualified(spark, pairs)
-        most = max((r["n"] for r in spark.read.schema(PAIRS).parquet(pairs).groupBy("position").agg(F.sum("n").alias("n")).collect()), default=0)
-        shards = max(1, min(groups, -(-most // SHARD_PAIRS)))
-        states: list[State] | None = None
-        rounds = 1 if shards == 1 else self.passes
-        options = {"passes": 1, "steps": 0} if shards > 1 else {"steps": self.steps}
-        for turn in range(rounds):
-            n = self.positions * shards
-            learn_ = _learn(base, groups, shards, list(range(self.positions)), states, turn == rounds - 1, share, self.dims, options)
-            pieces = spark.range(0, n, 1, n).mapInArrow(learn_, PIECES)
-            if shards > 1:
-                pieces = pieces.groupBy("position", "name", "row").applyInArrow(_mean, PIECES)
-            got: dict[tuple[int, str], dict[int, bytes]] = {}
-            rows = pieces.collect()  # the models, which the driver holds in any case
-            while rows:
-                r = rows.pop()
-                got.setdefault((r["position"], r["name"]), {})[r["row"]] = bytes(r["numbers"])
-            states = [{} for _ in range(self.positions)]
-            for j, name in list(got):
-                parts = got.pop((j, name))
-                states[j][name] = _shaped(name, np.frombuffer(b"".join(parts[i] for i in sorted(parts)), np.float32), v.classes, self.dims)
-        return [Scorer(m["context"] @ m["turn"], m["target"], m["bias"]) for m in states or []]
+        learn_ = _learn(base, groups, share, self.dims, self.steps, self.passes)
+        rows = spark.range(0, self.positions, 1, self.positions).mapInArrow(learn_, PIECES).collect()  # the models, which the driver holds in any case
+        got: dict[tuple[int, str], dict[int, bytes]] = {}
+        while rows:
+            r = rows.pop()
+            got.setdefault((r["position"], r["name"]), {})[r["row"]] = bytes(r["numbers"])
+        models: list[dict[str, np.ndarray]] = [{} for _ in range(self.positions)]
+        for j, name in list(got):
+            parts = got.pop((j, name))
+            models[j][name] = _shaped(name, np.frombuffer(b"".join(parts[i] for i in sorted(parts)), np.float32), v.classes, self.dims)
+        return [Scorer(m["context"] @ m["turn"], m["target"], m["bias"]) for m in models]
 
     def fit(self, docs: DataFrame) -> tuple[Mixture, Vocabulary]:
         """docs: text, learn (boolean)."""
