@@ -131,6 +131,33 @@ def op10_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ProjectionSearch().search(table(spark, sf_dir, "embeddings"), every=20)
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import Decontaminator
+
+    found = Decontaminator().report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS number, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), g AS (
+  SELECT DISTINCT item_id, w[s + 1 : s + least(len(w), 10)] AS gram FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 9, 1))) AS s FROM i WHERE len(w) > 0)
+), k AS (SELECT DISTINCT len(gram) AS k FROM g),
+h AS (
+  SELECT number, s, k, item_id
+  FROM (SELECT number, s, k, w[s + 1 : s + k] AS said FROM (SELECT number, w, k, unnest(range(len(w) - k + 1)) AS s FROM d, k)) JOIN g ON said = gram
+), c AS (SELECT number, count(DISTINCT p) AS n_hit FROM (SELECT number, unnest(range(s, s + k)) AS p FROM h) GROUP BY number),
+n AS (SELECT number, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT number, CAST(item_id AS VARCHAR) AS name FROM h WHERE item_id IS NOT NULL) GROUP BY number)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (number) LEFT JOIN n USING (number)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -138,4 +165,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from . import mixing
 
-    return {"op3_mix_sources": mixing.SQL, "op4_chat_format": OP4_SQL, "op6_warc_index": OP6_SQL}
+    return {"op3_mix_sources": mixing.SQL, "op4_chat_format": OP4_SQL, "op6_warc_index": OP6_SQL, "op11_decontaminate": OP11_SQL}
