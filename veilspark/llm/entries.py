@@ -158,6 +158,12 @@ FROM d LEFT JOIN c USING (number) LEFT JOIN n USING (number)
 """
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periods import PeriodicRuns, planted, report
+
+    return report(PeriodicRuns().run(table(spark, sf_dir, "documents"), planted))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
