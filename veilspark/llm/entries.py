@@ -158,6 +158,14 @@ FROM d LEFT JOIN c USING (number) LEFT JOIN n USING (number)
 """
 
 
+def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import Aligner
+
+    return Aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")).report(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .periods import PeriodicRuns, planted, report
 
