@@ -83,6 +83,26 @@ def test_edges_of_all_stages(spark, tmp_path):
             break
 
 
+def test_columns_of_any_name_pass_through(spark, tmp_path):
+    """Names that any stage gives to its own columns, as columns of the input."""
+    import re
+    from pathlib import Path
+
+    from veilspark import llm
+
+    sources = [Path(corpus_pipeline.__file__), *(Path(llm.__file__).parent / f"{m}.py" for m in ("common", "graphs", "nearcopies", "substrings", "mixing", "quality"))]
+    used = {n for p in sources for n in re.findall(r'"([A-Za-z_][A-Za-z_ ]{0,24})"', p.read_text())} | {"text as it was", "key of class", "kept"}
+    names = sorted({n.lower() for n in used} - {"doc_id", "text", "source", "n_chars"})
+    sf = f"file://{tmp_path}"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    rows = [(1, "a b c d e f g h i j k l m n o p q r s t u v", "s", 43), (2, "a b c d e f g h i j k l m n o p q r s t u v w x y z and more of it", "t", 60), (3, None, None, None)]
+    docs = spark.createDataFrame([(*r, *[f"mine {n}" for n in names]) for r in rows], "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf).cache()
+        got = docs.collect()
+        assert got and all(r[n] == f"mine {n}" for r in got for n in names), name
+
+
 def test_the_mix_keeps_to_its_targets(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     from veilspark.llm.mixing import SourceMixer

@@ -52,7 +52,7 @@ def test_edges(spark):
 
 
 def test_clashing_columns_are_carried(spark):
-    df = spark.createDataFrame([(1, "a " * 30, 5, "x", 1)], "doc_id long, text string, n_words int, cell string, `row` int")
+    df = spark.createDataFrame([(1, "a " * 30, 5, "x", 1, "mine", "k")], "doc_id long, text string, n_words int, cell string, `row` int, `text as it was` string, kept string")
     r = SubstringDedup().run(df, carry=True).first()
-    assert r.row.asDict() == {"doc_id": 1, "n_words": 5, "cell": "x", "row": 1} and r.n_words == 30
+    assert r.row.asDict() == {"doc_id": 1, "n_words": 5, "cell": "x", "row": 1, "text as it was": "mine", "kept": "k"} and r.n_words == 30 and r.text == "a " * 30
     assert r.kept == " ".join(["a"] * (30 - r.n_removed))

@@ -283,7 +283,7 @@ def _drop_repeats(span: int):
             kept.append(b" ".join(own))
         out = {"doc_id": docs.column("doc_id"), "n_words": pa.array(words.counts), "n_removed": pa.array(removed), "kept": pa.array(kept, pa.binary()).cast(pa.string())}
         if "row" in docs.column_names:
-            out["row"] = docs.column("row")
+            out |= {"text": docs.column("text"), "row": docs.column("row")}
         return pa.table(out)
 
     return run
@@ -295,14 +295,14 @@ class SubstringDedup:
     hot: int = 256
 
     def run(self, docs: DataFrame, carry: bool = False) -> DataFrame:
-        """doc_id, n_words, n_removed, kept (text); with ``carry`` also ``row``, a struct of all input columns but text."""
+        """doc_id, n_words, n_removed, kept (text); with ``carry`` also ``text`` as it was, and ``row``, a struct of all other input columns."""
         rows = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] if carry else []
         cells = cells_for(docs)
         cell = cell_of(F.coalesce(F.col("doc_id"), F.lit(LEAST)), cells).alias("cell")
         keyed = bound_batches(docs).select(cell, F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *rows)
         fields = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string")
         if carry:
-            fields = fields.add("row", keyed.schema["row"].dataType)
+            fields = fields.add("text", T.StringType()).add("row", keyed.schema["row"].dataType)
         by_cell = keyed.groupBy("cell")
         anchors = by_cell.applyInArrow(_count_anchors(self.span, power_of_two(cells / 8)), "bucket long, cell int, keys binary, counts binary")
         answers = anchors.groupBy("bucket").applyInArrow(_find_recurring(self.hot), "cell int, keys binary, flags binary")
