@@ -6,8 +6,6 @@ mask out again in another dialect; keyed digests share only the padded keys.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -25,6 +23,7 @@ from .operators.corpus import survey
 from .operators.coverage import coverage_diff, snapshot
 from .operators.session import GuardedSession
 from .sources.config import Config
+from .sources.folders import new_folder
 from .spec import Mask, MaskSpec
 from .streaming.guard import masked_stream, rebinding
 
@@ -530,19 +529,12 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
 
 
-def _own_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and the executors share."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stream-')}").rstrip("/")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 def stream_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events read as a stream, masked, and written to files by the tasks: no row goes through the driver."""
     guard = session(spark, sf_dir)
-    name = f"masked_events_{abs(hash(sf_dir))}"
-    path = _own_folder(spark, name)
+    path = new_folder(spark, "masked_events")
     out = masked_stream(guard, "demo.events", _stream(spark, sf_dir))
-    query = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-progress").queryName(name).trigger(availableNow=True).start()
+    query = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(out.schema).parquet(path)
 
@@ -552,14 +544,13 @@ def stream_rebinding(spark: SparkSession, sf_dir: str) -> DataFrame:
     guard = session(spark, sf_dir)
     columns = {**POLICY["columns"], "demo.events": {**POLICY["columns"]["demo.events"], "user_id": _NONE}}
     guard.reload(Config.build({**POLICY, "columns": columns}))
-    name = f"rebound_events_{abs(hash(sf_dir))}"
-    path = _own_folder(spark, name)
+    path = new_folder(spark, "rebound_events")
 
     def sink(batch: DataFrame, number: int) -> None:  # a batch that is run again replaces its own rows
         batch.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     frame = _stream(spark, sf_dir).select("event_id", "user_id")
-    frame.writeStream.foreachBatch(rebinding(guard, "demo.events", sink)).queryName(name).trigger(availableNow=True).start().awaitTermination()
+    frame.writeStream.foreachBatch(rebinding(guard, "demo.events", sink)).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path).groupBy("user_id").agg(F.sum("n").alias("n"))
 
 

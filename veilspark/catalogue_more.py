@@ -14,6 +14,7 @@ from .functions.keyed import Key
 from .functions.scrub import IBAN_LENGTH, PATTERNS, scrub
 from .operators import campaign
 from .operators.classify import DETECTORS
+from .sources.folders import new_folder
 from .spec import Mask, MaskSpec
 
 _KEY = Key(b"demo-key-not-for-production")
@@ -39,8 +40,9 @@ def _sql_valid(kind: str, m: str) -> str:
         return f"(list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {d}[i]::INT WHEN {d}[i]::INT > 4 THEN {d}[i]::INT * 2 - 9 ELSE {d}[i]::INT * 2 END)) % 10 = 0)"
     if kind == "iban":
         known = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in IBAN_LENGTH.items()) + "}"
-        numbers = f"list_transform(range(1, length({m}) + 1), lambda i: CASE WHEN (substr({m}, 5) || left({m}, 4))[i] BETWEEN '0' AND '9' THEN (substr({m}, 5) || left({m}, 4))[i]::INT ELSE ascii((substr({m}, 5) || left({m}, 4))[i]) - 55 END)"
-        return f"coalesce({known}[left({m}, 2)] = length({m}) AND list_reduce({numbers}, lambda a, d: (a * (CASE WHEN d < 10 THEN 10 ELSE 100 END) + d) % 97) = 1, false)"
+        digits = f"list_aggregate(list_transform(string_split({m}[5:] || {m}[:4], ''), lambda x: CASE WHEN x >= 'A' THEN (ascii(x) - 55)::VARCHAR ELSE x END), 'string_agg', '')"
+        rest = lambda before, a: f"(({before} || {digits}[{a}:{a + 34}])::HUGEINT % 97)::VARCHAR"
+        return f"coalesce({known}[left({m}, 2)] = length({m}) AND {rest(rest("''", 1), 36)} = '1', false)"
     d = _DIGITS.format(m=m)
     if kind == "nhs":
         total = f"list_sum(list_transform(range(1, 10), lambda i: {d}[i]::INT * (11 - i)))"
@@ -251,19 +253,17 @@ def opaque_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same table by way of each file format, masked alike."""
-    import tempfile
-
     from .catalogue import POLICY
     from .operators.session import GuardedSession
     from .sources.config import Config
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='formats-')}").rstrip("/")
+    root = new_folder(spark, "formats")
     names = ("parquet", "orc", "csv", "json")
     out = None
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name")
     for name in names:
-        path, options = f"{root}/formats-{abs(hash(sf_dir))}-{name}", {"header": "true"} if name == "csv" else {}
-        rows.write.mode("overwrite").format(name).options(**options).save(path)
+        path, options = f"{root}/{name}", {"header": "true"} if name == "csv" else {}
+        rows.write.format(name).options(**options).save(path)
         guard = GuardedSession(spark, Config.build({**POLICY, "columns": {f"files.{name}_supplier": POLICY["columns"]["demo.supplier"]}}))
         guard.read_table(f"files.{name}_supplier", path, name, **options)
         part = guard.sql(f"SELECT s_suppkey, s_name FROM files.{name}_supplier")

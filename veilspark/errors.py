@@ -29,13 +29,20 @@ class PolicyRejection(Exception):
     """A statement that the policy does not let through.
 
     The message never holds row data.  ``sqlstate`` is 42501, or 54000 where a
-    rate limit refused.
+    rate limit refused, or that of the error in whose place it stands; ``condition`` is
+    the name of that error's class.
     """
 
-    def __init__(self, cause: Cause, message: str, hint: str = "") -> None:
+    def __init__(self, cause: Cause, message: str, hint: str = "", sqlstate: str | None = None, condition: str | None = None) -> None:
         super().__init__(message)
-        self.cause, self.message, self.hint = cause, message, hint
-        self.sqlstate = "54000" if cause is Cause.RATE_LIMITED else "42501"
+        self.cause, self.message, self.hint, self.condition = cause, message, hint, condition
+        self.sqlstate = sqlstate or ("54000" if cause is Cause.RATE_LIMITED else "42501")
+
+
+def withheld(error: Exception, message: str) -> PolicyRejection:
+    """A refusal in place of one of Spark's errors: its class and SQLSTATE, which are fixed words, and none of its text."""
+    told = lambda name: getattr(error, name, lambda: None)()
+    return PolicyRejection(Cause.MALFORMED, f"{message}; details are withheld", sqlstate=told("getSqlState"), condition=told("getCondition"))
 
 
 class ConfigError(ValueError):

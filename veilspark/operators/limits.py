@@ -10,6 +10,10 @@ from threading import Lock
 from ..errors import Cause, PolicyRejection
 
 
+#: Principals remembered before those with full buckets are forgotten.
+MOST_PRINCIPALS = 10_000
+
+
 @dataclass
 class RateLimiter:
     """``per_minute`` statements, ``burst`` at once; off where ``per_minute`` is 0."""
@@ -25,6 +29,9 @@ class RateLimiter:
             return
         with self.lock:
             now = self.clock()
+            if len(self.left) > MOST_PRINCIPALS:  # whoever has a full bucket again is as good as new
+                whole = 60 * self.burst / self.per_minute
+                self.left = {p: (n, t) for p, (n, t) in self.left.items() if now - t < whole}
             tokens, then = self.left.get(principal, (float(self.burst), now))
             tokens = min(float(self.burst), tokens + (now - then) * self.per_minute / 60)
             if tokens < 1:

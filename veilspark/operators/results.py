@@ -1,8 +1,10 @@
 """Masked results as DataFrames whose actions never quote values.
 
 An error that Spark raises while a masked result runs may name a value that the policy
-masks.  The actions of a :class:`MaskedFrame` raise a refusal without it; so do those of the
-frames made from it.  Its plans hold key material, so ``explain`` is refused.
+masks.  Every public method of a :class:`MaskedFrame` raises a refusal without the text in
+its place, and so does all that is made from it: frames, groupings, writers, running
+streams.  Its plans hold key material, so ``explain`` is refused; so are ways out to where
+errors cannot be kept quiet (RDDs, local checkpoints, the pandas API, plots).
 """
 
 from __future__ import annotations
@@ -10,93 +12,130 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql.classic.dataframe import DataFrame as ClassicFrame
+from pyspark.sql.classic.dataframe import DataFrameNaFunctions, DataFrameStatFunctions
+from pyspark.sql.group import GroupedData
+from pyspark.sql.merge import MergeIntoWriter
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+from pyspark.sql.readwriter import DataFrameWriter, DataFrameWriterV2
+from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from ..errors import Cause, PolicyRejection
+from ..errors import Cause, PolicyRejection, withheld
 
-_ACTIONS = (
-    "collect", "count", "first", "foreach", "foreachPartition", "head", "isEmpty", "show", "tail", "take", "toArrow", "toJSON", "toPandas",
-    "checkpoint", "localCheckpoint", "createOrReplaceTempView",
-)
-_FRAMES = (
-    "alias", "coalesce", "crossJoin", "distinct", "drop", "dropDuplicates", "exceptAll", "fillna", "filter", "intersect", "join", "limit", "offset", "orderBy", "repartition",
-    "select", "selectExpr", "sort", "sortWithinPartitions", "subtract", "toDF", "transform", "union", "unionAll", "unionByName", "where", "withColumn", "withColumnRenamed",
-)
+#: What tells of the frame and never runs it.
+_TELLING = frozenset("columns dtypes schema isStreaming isLocal storageLevel sparkSession sql_ctx printSchema colRegex sameSemantics semanticHash inputFiles __getitem__ __getattr__".split())
+#: Ways to where errors are not this module's.
+REFUSED = frozenset("explain rdd toJSON localCheckpoint pandas_api plot executionInfo".split())
+#: What makes something that fails by itself later on.
+_MADE = (GroupedData, PandasCogroupedOps, DataFrameNaFunctions, DataFrameStatFunctions, DataFrameWriter, DataFrameWriterV2, MergeIntoWriter, DataStreamWriter, StreamingQuery)
 
 
 def quietly(act: Callable) -> Callable:
-    """``act`` with Spark's errors replaced by a refusal."""
+    """``act`` with Spark's errors replaced by a refusal, and its results kept quiet too."""
 
     @wraps(act)
     def run(*args, **named):
         try:
-            return act(*args, **named)
-        except (PySparkException, Py4JError):
-            raise PolicyRejection(Cause.MALFORMED, "the statement failed while it ran; details are withheld") from None
+            return kept(act(*args, **named))
+        except (PySparkException, Py4JError, pa.ArrowException) as e:
+            raise withheld(e, "the statement failed while it ran") from None
 
     return run
 
 
-class _Writer:
-    """A writer whose saves raise no values."""
+def kept(made):
+    """What a quiet method gives, kept quiet."""
+    if isinstance(made, ClassicFrame):
+        return MaskedFrame.over(made)
+    if isinstance(made, list) and made and all(isinstance(m, ClassicFrame) for m in made):
+        return [MaskedFrame.over(m) for m in made]
+    return Quiet(made) if isinstance(made, _MADE) else made
 
-    def __init__(self, writer) -> None:
-        self._writer = writer
+
+class Quiet:
+    """A grouping, writer or running stream whose methods raise no values."""
+
+    def __init__(self, inner) -> None:
+        self._inner = inner
 
     def __getattr__(self, name: str):
-        found = getattr(self._writer, name)
+        if name.startswith("_"):
+            raise AttributeError(name)
+        try:
+            found = getattr(self._inner, name)
+        except (PySparkException, Py4JError) as e:
+            raise withheld(e, "the statement failed while it ran") from None
         if not callable(found):
-            return found
+            return kept(found)
+        if name == "exception":
+            return lambda: None if found() is None else withheld(found(), "the stream failed while it ran")
 
         def run(*args, **named):
-            out = quietly(found)(*args, **named)
-            return self if out is self._writer else out
+            if name == "foreachBatch":  # what the sink gets is kept quiet as well
+                sink = args[0] if args else named["func"]
+                args, named = (lambda batch, number: sink(MaskedFrame.over(batch), number),), {}
+            out = quietly(found)(*[a._inner if isinstance(a, Quiet) else a for a in args], **named)
+            return self if isinstance(out, Quiet) and out._inner is self._inner else out
 
         return run
 
 
 class MaskedFrame(ClassicFrame):
-    """A classic DataFrame with quiet actions."""
+    """A classic DataFrame with quiet methods."""
 
     @staticmethod
     def over(frame: DataFrame) -> DataFrame:
-        if isinstance(frame, MaskedFrame) or not isinstance(frame, ClassicFrame):
+        if isinstance(frame, MaskedFrame):
             return frame
+        if not isinstance(frame, ClassicFrame):
+            raise PolicyRejection(Cause.NO_ACTIVE_PLAN, "results are served to classic sessions only")
         return MaskedFrame(frame._jdf, frame._session)
 
-    @property
-    def write(self):
-        return _Writer(super().write)
+    def transform(self, func: Callable[..., DataFrame], *args, **named) -> DataFrame:
+        return quietly(func)(self, *args, **named)
 
     def toLocalIterator(self, prefetchPartitions: bool = False):
-        rows = quietly(super().toLocalIterator)(prefetchPartitions)
+        rows = quietly(_plain_of(self).toLocalIterator)(prefetchPartitions)
         step = quietly(lambda: next(rows, None))
         while (row := step()) is not None:
             yield row
 
-    def explain(self, *args, **named) -> None:
-        raise PolicyRejection(Cause.LEAKY_CATALOG, "plans of masked results hold key material and are not shown")
 
+def _plain_of(frame: MaskedFrame) -> ClassicFrame:
+    return ClassicFrame(frame._jdf, frame._session)
+
+
+def _quiet(name: str, is_property: bool):
+    """The method over a plain frame, whose own steps need no quieting; its results are kept quiet."""
+    if is_property:
+        return property(lambda self: quietly(getattr)(_plain_of(self), name))
 
-def _quiet_action(name: str) -> None:
-    plain = getattr(ClassicFrame, name)
-    setattr(MaskedFrame, name, quietly(plain))
+    @wraps(getattr(ClassicFrame, name))
+    def run(self, *args, **named):
+        return quietly(getattr(_plain_of(self), name))(*args, **named)
+
+    return run
 
 
-def _quiet_frame(name: str) -> None:
-    plain = getattr(ClassicFrame, name)
+def public_names() -> list[str]:
+    """All public methods and properties of a classic DataFrame that this module must deal with."""
+    return sorted(n for n in dir(ClassicFrame) if not n.startswith("_") and n not in _TELLING)
 
-    @wraps(plain)
+
+def _refuse(name: str) -> Callable:
     def run(self, *args, **named):
-        return MaskedFrame.over(quietly(plain)(self, *args, **named))
+        raise PolicyRejection(Cause.LEAKY_CATALOG, "plans of masked results hold key material and are not shown" if name == "explain" else f"{name} of a masked result is not served")
 
-    setattr(MaskedFrame, name, run)
+    return run
 
 
-for _name in _ACTIONS:
-    _quiet_action(_name)
-for _name in _FRAMES:
-    _quiet_frame(_name)
+for _name in public_names():
+    if _name in REFUSED:
+        setattr(MaskedFrame, _name, _refuse(_name) if callable(getattr(ClassicFrame, _name)) else property(_refuse(_name)))
+    elif _name not in MaskedFrame.__dict__:
+        setattr(MaskedFrame, _name, _quiet(_name, not callable(getattr(ClassicFrame, _name))))

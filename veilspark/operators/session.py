@@ -7,7 +7,7 @@ it one.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from pathlib import Path
 
 from pyspark.errors import PySparkException
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import Cause, ConfigError, MaskError, PolicyRejection
+from ..errors import Cause, ConfigError, MaskError, PolicyRejection, withheld
 from ..functions.keyed import redaction_conf
 from ..functions.masks import mask
 from ..plans import gates
@@ -44,6 +44,7 @@ class GuardedSession:
     def __init__(self, spark: SparkSession, config: Config) -> None:
         self.spark = spark
         self.tables: dict[str, GuardedTable] = {}
+        self.never_null: set[tuple[str, str]] = set()  #: columns that a catalog says are not null
         self.metrics = Metrics()
         self.policy = Policy(config, 1)
         self.limiter = RateLimiter(config.rate_limit_per_minute, config.rate_limit_burst)
@@ -66,12 +67,14 @@ class GuardedSession:
         found = sorted(t.name for t in self.spark.catalog.listTables(database) if not t.isTemporary)
         for name in found:
             self.add_table(f"{database}.{name}", self.spark.table(f"`{database}`.`{name}`"))
+            told = self.spark.catalog.listColumns(f"`{database}`.`{name}`")
+            self.never_null |= {(f"{database}.{name}".lower(), c.name.lower()) for c in told if not c.nullable}
         return [f"{database}.{name}".lower() for name in found]
 
-    def not_null(self, config: Config) -> frozenset[tuple[str, str]]:
-        """Columns that may not be null: those declared, and those whose tables say so."""
+    def planner(self, config: Config) -> Planner:
+        """Plans under ``config``, with what the catalog and the tables say of NULL."""
         told = {(t.name, f.name.lower()) for t in self.tables.values() for f in t.frame.schema if not f.nullable}
-        return config.not_null | told
+        return Planner(replace(config, not_null=config.not_null | self.never_null | told), self.tables)
 
     def check_rules(self) -> None:
         """Every rule must name a column of a registered table."""
@@ -90,6 +93,9 @@ class GuardedSession:
     # -------------------------------------------------------------- queries
     def sql(self, statement: str, principal: str | None = None) -> DataFrame:
         """The masked result, planned under one generation of the policy."""
+        return self._served(statement, principal)[0]
+
+    def _served(self, statement: str, principal: str | None) -> tuple[DataFrame, list[FieldPlan]]:
         policy = self.policy
         self.metrics.add("statements")
         try:
@@ -98,22 +104,23 @@ class GuardedSession:
             tree = parsed(self.spark, text)
             if gates.is_metadata(tree):
                 self.metrics.add("metadata")
-                return self._metadata(tree)
+                return self._metadata(tree), []
             frame = self._analysed(tree, text, policy)
-            out = self._masked(frame, policy, policy.config.roles_of(principal), identifiers(statement), own_rows=True)
+            plans = self._planned(frame, policy, policy.config.roles_of(principal), identifiers(statement), own_rows=True)
+            out = MaskedFrame.over(apply_plans(frame, plans, policy.config))
         except PolicyRejection as e:
             self.metrics.reject(e.cause)
             raise
         self.metrics.add("served")
-        return out
+        return out, plans
 
     def _analysed(self, tree: Node, text: str, policy: Policy) -> DataFrame:
         """The statement's plain result, after the gates; errors tell nothing of tables or values."""
         gates.check(tree, set(self.tables), system_catalogs=policy.config.system_catalogs)
         try:
             return self.spark.sql(text)
-        except PySparkException:
-            raise PolicyRejection(Cause.MALFORMED, "the statement cannot be analysed; details are withheld") from None
+        except PySparkException as e:
+            raise withheld(e, "the statement cannot be analysed") from None
 
     def decisions(self, statement: str, principal: str | None = None) -> list[FieldPlan]:
         """What would be done with each field.  Spark's own plans hold key material and are not shown."""
@@ -121,7 +128,7 @@ class GuardedSession:
         self.limiter.take(principal or "")
         text = join_names(statement, set(self.tables))
         frame = self._analysed(parsed(self.spark, text), text, policy)
-        return Planner(policy.config, self.tables).plan(frame, policy.config.roles_of(principal), identifiers(statement), own_rows=True)
+        return self.planner(policy.config).plan(frame, policy.config.roles_of(principal), identifiers(statement), own_rows=True)
 
     def collect(self, statement: str, principal: str | None = None) -> list[Row]:
         """Rows of a statement; an error while it runs never quotes values."""
@@ -132,14 +139,15 @@ class GuardedSession:
 
     def mask_frame(self, frame: DataFrame, principal: str | None = None, words: set[str] | None = None) -> DataFrame:
         """Mask a DataFrame (batch or stream) made from registered tables' views."""
-        config = self.policy.config
+        policy = self.policy
+        config = policy.config
         named = {w.lower() for w in frame.columns} if words is None else words
-        return self._masked(frame, self.policy, config.roles_of(principal), named)
+        return MaskedFrame.over(apply_plans(frame, self._planned(frame, policy, config.roles_of(principal), named), config))
 
     def mask_rows_of(self, name: str, frame: DataFrame, principal: str | None = None) -> DataFrame:
         """Mask a batch or stream that has the columns of a registered table."""
         policy, table = self.policy, self.tables[name.lower()]
-        planner, roles = Planner(policy.config, self.tables), policy.config.roles_of(principal)
+        planner, roles = self.planner(policy.config), policy.config.roles_of(principal)
         fields = {f.name.lower(): f for f in table.frame.schema}
         if unknown := [c for c in frame.columns if c.lower() not in fields]:
             raise PolicyRejection(Cause.OPAQUE_ANONYMOUS, f"{unknown[0]!r} is no column of the table")
@@ -149,11 +157,11 @@ class GuardedSession:
         for p, f in zip(plans, typed, strict=True):
             if not p.spec.supports(f):
                 raise PolicyRejection(Cause.MASK_TYPE_MISMATCH, f"the mask of {p.name!r} cannot be applied to its type")
-        return apply_plans(frame, plans, policy.config, typed)
+        return MaskedFrame.over(apply_plans(frame, plans, policy.config, typed))
 
     def counted(self, statement: str, principal: str | None = None) -> tuple[DataFrame, Observation]:
         """The masked result, and how many values of each masked field an action on it gives out (no job of its own)."""
-        frame, plans = self.sql(statement, principal), self.decisions(statement, principal)
+        frame, plans = self._served(statement, principal)
         seen = Observation()
         counts = [F.count(F.col(f"`{p.name}`")).alias(p.name) for p in plans if not p.spec.passes]
         return MaskedFrame.over(frame.observe(seen, F.count(F.lit(1)).alias("rows of result"), *counts)), seen
@@ -164,12 +172,12 @@ class GuardedSession:
         self.metrics.add("values_masked", n)
         return n
 
-    def _masked(self, frame: DataFrame, policy: Policy, roles: frozenset[str], words: set[str], own_rows: bool = False) -> DataFrame:
-        plans = Planner(policy.config, self.tables).plan(frame, roles, words, self.metrics.add, own_rows)
+    def _planned(self, frame: DataFrame, policy: Policy, roles: frozenset[str], words: set[str], own_rows: bool = False) -> list[FieldPlan]:
+        plans = self.planner(policy.config).plan(frame, roles, words, self.metrics.add, own_rows)
         self.metrics.add("fields", len(plans))
         self.metrics.add("fields_masked", sum(not p.spec.passes for p in plans))
         self.metrics.add("fields_nulled", sum(p.spec.mask is Mask.NULL for p in plans))
-        return MaskedFrame.over(apply_plans(frame, plans, policy.config))
+        return plans
 
     def _metadata(self, tree: Node) -> DataFrame:
         """SHOW TABLES, SHOW COLUMNS and DESCRIBE tell of guarded tables only."""

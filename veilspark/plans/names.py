@@ -14,11 +14,13 @@ TEXT = frozenset(
     "overlay concat concat_ws format_string repeat reverse ascii chr md5 encode decode like_escape".split()
 )
 CONTEXT = frozenset("now current_timestamp current_date localtimestamp current_database current_catalog current_schema current_user session_user user version".split())
-JSON = frozenset("get_json_object variant_get try_variant_get parse_json".split())
+JSON = frozenset("get_json_object variant_get try_variant_get parse_json try_parse_json".split())
 DATES = frozenset({"date_trunc"})
 GROUPS = frozenset("grouping grouping_id".split())
+#: Predicates that the grammar turns into calls.
+PREDICATES = frozenset({"between"})
 
-TRUSTED = REDUCING | RANKING | PURE | TEXT | CONTEXT | JSON | DATES | GROUPS
+TRUSTED = REDUCING | RANKING | PURE | TEXT | CONTEXT | JSON | DATES | GROUPS | PREDICATES
 
 #: Aggregates that give back values of their input and are never released.
 VALUE_RETURNING = frozenset(
@@ -38,7 +40,7 @@ RANKING_CLASSES = frozenset("RowNumber Rank DenseRank PercentRank CumeDist NTile
 CONTEXT_CLASSES = frozenset("Now CurrentTimestamp CurrentDate LocalTimestamp CurrentDatabase CurrentCatalog CurrentUser SparkVersion CurrentTimeZone".split())
 OPERATOR_CLASSES = frozenset(
     "Add Subtract Multiply Divide IntegralDivide Remainder Pmod UnaryMinus UnaryPositive And Or Not EqualTo EqualNullSafe GreaterThan GreaterThanOrEqual LessThan "
-    "LessThanOrEqual IsNull IsNotNull In BitwiseAnd BitwiseOr BitwiseXor BitwiseNot".split()
+    "LessThanOrEqual IsNull IsNotNull In Between BitwiseAnd BitwiseOr BitwiseXor BitwiseNot".split()
 )
 PURE_CLASSES = frozenset("Abs Round BRound Ceil Floor RoundCeil RoundFloor Signum Pow Sqrt Cbrt Exp Log Logarithm Greatest Least NullIf ToCharacter ToNumber CheckOverflow".split())
 CAST_CLASSES = frozenset("Cast Collate UpCast AnsiCast PromotePrecision KnownNotNull NormalizeNaNAndZero".split())
@@ -63,6 +65,27 @@ PARSED_CLASSES = frozenset(
     "CreateNamedStruct CreateStruct CreateMap NamePlaceholder UnresolvedCollation UnresolvedTypedNullLiteral CurrentTime PipeExpression "
     "MakeInterval MakeYMInterval MakeDTInterval DatetimeAdd TimestampAdd TimestampDiff Year Month DayOfMonth Hour Minute Second Quarter".split()
 )
+#: Expressions over masked columns that raise no error, or one whose text holds no value.
+QUIET_CLASSES = (
+    RANKING_CLASSES | CONTEXT_CLASSES | (REDUCING_CLASSES - {"Sum"})
+    | frozenset(
+        "And Or Not EqualTo EqualNullSafe GreaterThan GreaterThanOrEqual LessThan LessThanOrEqual IsNull IsNotNull IsNaN In InSet Between Coalesce CaseWhen If NullIf Greatest Least Mixed With "
+        "CommonExpressionDef CommonExpressionRef Alias AttributeReference OuterReference Literal TypedNullLiteral Sum AggregateExpression WindowExpression WindowSpecDefinition SpecifiedWindowFrame SortOrder "
+        "ScalarSubquery LateralSubquery Exists ListQuery InSubquery Length OctetLength Lower Upper InitCap Substring Left Right StringTrim StringTrimLeft StringTrimRight StringTrimBoth StringReplace "
+        "StringTranslate Overlay Concat ConcatWs Reverse Ascii Chr Md5 StartsWith EndsWith Contains BitwiseAnd BitwiseOr BitwiseXor BitwiseNot Round BRound Ceil Floor RoundCeil RoundFloor Signum Pow Sqrt Cbrt "
+        "Exp Log Logarithm TruncTimestamp TruncDate Year Month DayOfMonth Hour Minute Second Quarter TimestampDiff GetJsonObject CreateArray CreateNamedStruct CreateStruct GetStructField NamePlaceholder "
+        "Collate KnownNotNull NormalizeNaNAndZero PromotePrecision Rollup Cube GroupingSets Grouping GroupingID StringRepeat First Last AnyValue Min Max Lag Lead NthValue Mode".split()
+    )
+)
+#: Those whose first argument alone may be masked: the others are formats, patterns or places, which errors quote.
+QUIET_FIRST_CLASSES = frozenset("Like ILike RLike LikeAll LikeAny NotLikeAll NotLikeAny Encode Decode StringEncode StringDecode ToCharacter GetArrayItem".split())
+#: Those whose arguments may be masked but for the first, a format.
+QUIET_REST_CLASSES = frozenset({"FormatString"})
+#: Arithmetic, which is quiet over types whose errors hold no value.
+ARITHMETIC_CLASSES = frozenset("Add Subtract Multiply Divide IntegralDivide Remainder Pmod UnaryMinus UnaryPositive Abs".split())
+#: Readers that are quiet where a bad value gives NULL.
+TRYING_CLASSES = frozenset({"ParseJson", "VariantGet"})
+
 #: Functions that look into trees, files or the machine, whatever name they are called by.
 FORBIDDEN_CLASSES = frozenset(
     "CallMethodViaReflection TryReflect InputFileName InputFileBlockStart InputFileBlockLength PythonUDF PythonUDAF ScalaUDF ScalaUDAF HiveSimpleUDF HiveGenericUDF HiveGenericUDTF "
