@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import catalogue_keys
 from . import catalogue_more as more
 from .errors import ConfigError, PolicyRejection
 from .functions import masks
@@ -357,6 +358,10 @@ REFUSALS = (
     ("aggregate over a name", "SELECT max(c_name) FROM demo.customer", "untrusted_function"),
     ("alias of a union", "SELECT c_name FROM demo.customer UNION ALL SELECT c_name FROM demo.customer", "opaque_named_like_column"),
     ("cast that quotes", "SELECT c_custkey FROM demo.customer WHERE CAST(c_name AS INT) = 1", "opaque_function"),
+    ("character set that quotes", "SELECT c_custkey FROM demo.customer WHERE encode('a', c_name) IS NULL", "opaque_function"),
+    ("document that quotes", "SELECT c_custkey FROM demo.customer WHERE variant_get(parse_json(c_name), '$.a', 'int') = 1", "opaque_function"),
+    ("format that quotes", "SELECT c_custkey FROM demo.customer WHERE format_string(c_name, 1) = 'x'", "opaque_function"),
+    ("pattern that quotes", "SELECT c_custkey FROM demo.customer WHERE 'a' LIKE c_name", "opaque_function"),
     ("comparison that quotes", "SELECT c_custkey FROM demo.customer WHERE c_name = 5", "opaque_function"),
     ("copy", "INSERT OVERWRITE DIRECTORY '/tmp/never' USING parquet SELECT * FROM demo.customer", "copy_stream"),
     ("create table as", "CREATE TABLE t AS SELECT * FROM demo.customer", "write_refused"),
@@ -594,7 +599,7 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         f"SELECT event_id, date_trunc('month', ts) AS ts, user_id - ((user_id % 100) + 100) % 100 AS user_id, {_EVENT_TYPE}, value, {_PROPS} FROM events",
     ),
     "stream_rebinding": (stream_rebinding, "SELECT user_id, count(*) AS n FROM events GROUP BY 1"),
-} | more.entries(lambda column: _mac(column, "supplier", 32))
+} | more.entries(lambda column: _mac(column, "supplier", 32)) | catalogue_keys.entries()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -26,6 +26,7 @@ from ..plans.trees import Node, analyzed, identifiers, join_names, parsed
 from ..sources.config import Config
 from ..sources.tables import GuardedTable, read, register
 from ..spec import Mask
+from .keys import Keys, discover_keys
 from .limits import RateLimiter
 from .metrics import Metrics
 
@@ -45,6 +46,7 @@ class GuardedSession:
         self.spark = spark
         self.tables: dict[str, GuardedTable] = {}
         self.never_null: set[tuple[str, str]] = set()  #: columns that a catalog says are not null
+        self.found_keys: dict[str, Keys] = {}  #: unique keys that were found in the tables' rows
         self.metrics = Metrics()
         self.policy = Policy(config, 1)
         self.limiter = RateLimiter(config.rate_limit_per_minute, config.rate_limit_burst)
@@ -74,7 +76,13 @@ class GuardedSession:
     def planner(self, config: Config) -> Planner:
         """Plans under ``config``, with what the catalog and the tables say of NULL."""
         told = {(t.name, f.name.lower()) for t in self.tables.values() for f in t.frame.schema if not f.nullable}
-        return Planner(replace(config, not_null=config.not_null | self.never_null | told), self.tables)
+        keys = {t: tuple(dict.fromkeys((*config.table_keys.get(t, ()), *self.found_keys.get(t, ())))) for t in self.tables}
+        return Planner(replace(config, not_null=config.not_null | self.never_null | told), self.tables, {t: k for t, k in keys.items() if k})
+
+    def discover_keys(self, most_columns: int = 2) -> dict[str, Keys]:
+        """Find the keys of all registered tables in their rows; from now on no grouping that pins a row down by them gives a summary of it."""
+        self.found_keys = {name: discover_keys(t.frame, most_columns) for name, t in self.tables.items()}
+        return self.found_keys
 
     def check_rules(self) -> None:
         """Every rule must name a column of a registered table."""

@@ -103,6 +103,7 @@ class Config:
     rate_limit_per_minute: int = 0
     rate_limit_burst: int = 0
     unique_keys: tuple[frozenset[str], ...] = ()  #: bare column names of each declared key
+    table_keys: dict[str, tuple[frozenset[str], ...]] = field(default_factory=dict)  #: the same, by table
     not_null: frozenset[tuple[str, str]] = frozenset()
 
     def roles_of(self, principal: str | None) -> frozenset[str]:
@@ -168,6 +169,7 @@ class Config:
         return Config(
             Key(str(given["pseudonym_key"]).encode()), found, {m: frozenset(r) for m, r in members.items()}, rate_limit_per_minute=rate, rate_limit_burst=burst or rate,
             unique_keys=tuple(frozenset(c.lower() for c in k) for keys in given.get("unique_keys", {}).values() for k in keys),
+            table_keys={t.lower(): tuple(frozenset(c.lower() for c in k) for k in keys) for t, keys in given.get("unique_keys", {}).items()},
             not_null=frozenset((t.lower(), c.lower()) for t, cs in given.get("not_null", {}).items() for c in cs), **options,
         )
 
