@@ -62,7 +62,7 @@ POLICY = {
         },
         "demo.events": {
             "event_id": _NONE, "ts": {"mask": "date-month"}, "user_id": {"mask": "numeric-bucket", "bucket": 100}, "event_type": {"mask": "inner", "keep": 2}, "value": _NONE,
-            "props": {"mask": "json", "json": {"/k": {"mask": "numeric-bucket", "bucket": 10}}},
+            "props": {"mask": "json", "json_schema": {"k": "integer"}, "json": {"/k": {"mask": "numeric-bucket", "bucket": 10}}},
         },
         "demo.documents": {"doc_id": _NONE, "text": {"mask": "scrub"}, "lang": _NONE, "source": {"mask": "pseudonym", "domain": "source"}, "n_chars": _NONE},
     },

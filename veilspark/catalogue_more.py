@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import partial
 
@@ -146,14 +147,18 @@ _SPECS = (
 )
 
 
-def json_unlisted(spark: SparkSession, sf_dir: str, unlisted: str) -> DataFrame:
-    """Wildcards, an index that beats one, a key rule at any depth, and each treatment of unlisted leaves."""
+#: What the documents of json_unlisted look like.
+_SHAPE = {"id": "integer", "name": "string", "tags": [{"t": "string", "n": "number"}], "deep": {"mail": "string", "name": "string", "ok": "boolean", "none": "string"}}
+
+
+def json_unlisted(spark: SparkSession, sf_dir: str, unlisted: str, declared: bool = False) -> DataFrame:
+    """Wildcards, an index that beats one, a key rule at any depth, and each treatment of unlisted leaves; ``declared``: by expressions."""
     k = F.col("o_orderkey").cast("string")
     document = F.concat(
         F.lit('{"id":'), k, F.lit(',"name":"n'), k, F.lit('","tags":[{"t":"a'), k, F.lit('","n":'), (F.col("o_orderkey") % 100).cast("string"), F.lit('},{"t":"b","n":7.5}],"deep":{"mail":"u'), k,
         F.lit('@x.example","name":"in","ok":true,"none":null}}'),
     )
-    spec = MaskSpec(Mask.JSON, json_unlisted=unlisted, json=_SPECS, json_keys=(("name", MaskSpec(Mask.PARTIAL, keep=1)),))
+    spec = MaskSpec(Mask.JSON, json_schema=json.dumps(_SHAPE) if declared else None, json_unlisted=unlisted, json=_SPECS, json_keys=(("name", MaskSpec(Mask.PARTIAL, keep=1)),))
     field = T.StructField("doc", T.StringType(), metadata={"logical_type": "json"})
     return _orders(spark, sf_dir).select("o_orderkey", masks.mask(document, spec, field, _KEY).alias("doc"))
 
@@ -292,6 +297,9 @@ def entries(pseudonym: Callable[[str], str]) -> dict[str, Entry]:
         "json_unlisted_null": (partial(json_unlisted, unlisted="null"), _json_sql("null", "'null'", "'null'")),
         "json_unlisted_shape": (partial(json_unlisted, unlisted="shape-only"), _json_sql("false", "'0'", "'\"\"'")),
         "json_unlisted_pass": (partial(json_unlisted, unlisted="pass-through"), _json_sql("true", "o_orderkey", "'\"a' || o_orderkey || '\"'")),
+        "json_declared_null": (partial(json_unlisted, unlisted="null", declared=True), _json_sql("null", "'null'", "'null'")),
+        "json_declared_shape": (partial(json_unlisted, unlisted="shape-only", declared=True), _json_sql("false", "'0'", "'\"\"'")),
+        "json_declared_pass": (partial(json_unlisted, unlisted="pass-through", declared=True), _json_sql("true", "o_orderkey", "'\"a' || o_orderkey || '\"'")),
         "json_projection": (json_projection, "SELECT event_id, CAST(CAST(floor(CAST(json_extract_string(props, '$.k') AS DOUBLE) / 10) * 10 AS BIGINT) AS VARCHAR) AS k FROM events"),
         "view_identity": (view_identity, "SELECT c_custkey AS k, CASE WHEN length(c_name) <= 2 THEN repeat('*', length(c_name)::INT) ELSE repeat('*', (length(c_name) - 2)::INT) || right(c_name, 2) END AS who FROM customer WHERE c_acctbal > 0"),
         "opaque_view": (opaque_view, "SELECT CAST(NULL AS VARCHAR) AS name, 1 AS one FROM (SELECT n_name FROM nation UNION ALL SELECT r_name FROM region)"),

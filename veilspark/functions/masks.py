@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..errors import MaskError
 from ..spec import Mask, MaskSpec, logical_type, supports
 from .jsonmask import mask_documents
+from .jsonshape import mask_shaped
 from .keyed import Key, Texts, hasher, in_batches, mac_hex
 from .scrub import let, scrub
 
@@ -196,5 +197,5 @@ def mask(c: Column, spec: MaskSpec, f: T.StructField, key: Key, lenient: bool =
         case Mask.SCRUB:
             return scrub(c)
         case Mask.JSON:
-            return mask_documents(c, spec, key, dt, projection)
+            return mask_shaped(c, spec, key, dt, projection, batches) if spec.json_schema else mask_documents(c, spec, key, dt, projection)
     raise MaskError(kind.value)

@@ -8,7 +8,9 @@ it one.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from hashlib import sha256
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
@@ -19,7 +21,8 @@ from ..errors import Cause, ConfigError, MaskError, PolicyRejection, withheld
 from ..functions.keyed import redaction_conf
 from ..functions.masks import mask
 from ..plans import gates
-from .results import MaskedFrame
+from ..plans.cache import Shapes, shape_of
+from .results import RUNNING, MaskedFrame
 from ..plans.flow import SET_OPERATIONS
 from ..plans.planner import FieldPlan, Planner
 from ..plans.trees import Node, analyzed, identifiers, join_names, parsed
@@ -28,7 +31,21 @@ from ..sources.tables import GuardedTable, read, register
 from ..spec import Mask
 from .keys import Keys, discover_keys
 from .limits import RateLimiter
-from .metrics import Metrics
+from .metrics import ROWS, Metrics, StreamCounter
+
+
+@dataclass(frozen=True)
+class Decided:
+    """Decisions on the fields of one shape of statement, and the plain result of the text that they were made on."""
+
+    plans: tuple[FieldPlan, ...]
+    types: tuple[str, ...]
+    text: str
+    frame: DataFrame
+
+    def named(self, frame: DataFrame) -> list[FieldPlan]:
+        """The same decisions for a result whose fields have other names."""
+        return [p if p.name == f.name else replace(p, name=f.name) for p, f in zip(self.plans, frame.schema.fields, strict=True)]
 
 
 @dataclass(frozen=True)
@@ -46,6 +63,8 @@ class GuardedSession:
         self.spark = spark
         self.tables: dict[str, GuardedTable] = {}
         self.never_null: set[tuple[str, str]] = set()  #: columns that a catalog says are not null
+        self.shapes: Shapes[Decided] = Shapes()
+        self._counter: StreamCounter | None = None
         self.found_keys: dict[str, Keys] = {}  #: unique keys that were found in the tables' rows
         self.metrics = Metrics()
         self.policy = Policy(config, 1)
@@ -60,6 +79,7 @@ class GuardedSession:
         opaque = opaque or any(n.kind in SET_OPERATIONS for n in analyzed(frame).walk())
         table = register(frame, name, opaque)
         self.tables[table.name] = table
+        self.shapes.clear()
 
     def read_table(self, name: str, path: str, format: str = "parquet", **options: str) -> None:
         self.add_table(name, read(self.spark, path, format, **options))
@@ -82,6 +102,7 @@ class GuardedSession:
     def discover_keys(self, most_columns: int = 2) -> dict[str, Keys]:
         """Find the keys of all registered tables in their rows; from now on no grouping that pins a row down by them gives a summary of it."""
         self.found_keys = {name: discover_keys(t.frame, most_columns) for name, t in self.tables.items()}
+        self.shapes.clear()
         return self.found_keys
 
     def check_rules(self) -> None:
@@ -94,6 +115,7 @@ class GuardedSession:
         """Swap the policy; where the new one is wrong the old one stays."""
         config = source if isinstance(source, Config) else Config.load(source)
         self.policy = Policy(config, self.policy.generation + 1)
+        self.shapes.clear()
         self.limiter = RateLimiter(config.rate_limit_per_minute, config.rate_limit_burst, self.limiter.clock)
         self.metrics.add("reloads")
         return self.policy.generation
@@ -108,23 +130,57 @@ class GuardedSession:
         self.metrics.add("statements")
         try:
             self.limiter.take(principal or "")
-            text = join_names(statement, set(self.tables))
-            tree = parsed(self.spark, text)
-            if gates.is_metadata(tree):
-                self.metrics.add("metadata")
-                return self._metadata(tree), []
-            frame = self._analysed(tree, text, policy)
-            plans = self._planned(frame, policy, policy.config.roles_of(principal), identifiers(statement), own_rows=True)
-            out = MaskedFrame.over(apply_plans(frame, plans, policy.config))
+            found = self._decide(statement, policy, principal)
+            if isinstance(found, DataFrame):
+                return found, []
+            frame, plans = found
+            self.metrics.add("fields", len(plans))
+            self.metrics.add("fields_masked", sum(not p.spec.passes for p in plans))
+            self.metrics.add("fields_nulled", sum(p.spec.mask is Mask.NULL for p in plans))
+            self.metrics.add("rescued", sum(p.why in ("releasable", "lineage") for p in plans))
+            out = MaskedFrame.over(apply_plans(frame, plans, policy.config), tags_of(principal))
         except PolicyRejection as e:
             self.metrics.reject(e.cause)
             raise
         self.metrics.add("served")
         return out, plans
 
-    def _analysed(self, tree: Node, text: str, policy: Policy) -> DataFrame:
-        """The statement's plain result, after the gates; errors tell nothing of tables or values."""
+    def cancel(self, principal: str | None, frame: DataFrame | None = None) -> int:
+        """End the principal's running statements, or only the one that gave ``frame``; the number of actions that were running.
+
+        A statement of somebody else is left alone, whoever holds its frame.
+        """
+        own = tags_of(principal)[0]
+        tags = getattr(frame, "_tags", ()) if frame is not None else (own,)
+        if own not in tags:
+            return 0
+        running = RUNNING[tags[-1]]
+        self.spark.sparkContext.cancelJobsWithTag(tags[-1])
+        return running
+
+    def _decide(self, statement: str, policy: Policy, principal: str | None, metadata: bool = True) -> tuple[DataFrame, list[FieldPlan]] | DataFrame:
+        """A statement's plain result and what to do with its fields; for SHOW and DESCRIBE what they tell."""
+        roles = policy.config.roles_of(principal)
+        text = join_names(statement, set(self.tables))
+        key = (shape_of(text), roles, policy.generation)
+        known = self.shapes.get(key)
+        if known is not None:
+            frame = known.frame if known.text == text else self._analysed(text)
+            if known.frame is frame or known.types == _types(frame):
+                return frame, known.named(frame)
+        tree = parsed(self.spark, text)
+        if metadata and gates.is_metadata(tree):
+            self.metrics.add("metadata")
+            return self._metadata(tree)
         gates.check(tree, set(self.tables), system_catalogs=policy.config.system_catalogs)
+        frame = self._analysed(text)
+        plans = self.planner(policy.config).plan(frame, roles, identifiers(statement), own_rows=True)
+        if policy.generation == self.policy.generation:
+            self.shapes.put(key, Decided(tuple(plans), _types(frame), text, frame))
+        return frame, plans
+
+    def _analysed(self, text: str) -> DataFrame:
+        """The statement's plain result; errors tell nothing of tables or values."""
         try:
             return self.spark.sql(text)
         except PySparkException as e:
@@ -134,9 +190,7 @@ class GuardedSession:
         """What would be done with each field.  Spark's own plans hold key material and are not shown."""
         policy = self.policy
         self.limiter.take(principal or "")
-        text = join_names(statement, set(self.tables))
-        frame = self._analysed(parsed(self.spark, text), text, policy)
-        return self.planner(policy.config).plan(frame, policy.config.roles_of(principal), identifiers(statement), own_rows=True)
+        return self._decide(statement, policy, principal, metadata=False)[1]
 
     def collect(self, statement: str, principal: str | None = None) -> list[Row]:
         """Rows of a statement; an error while it runs never quotes values."""
@@ -152,8 +206,11 @@ class GuardedSession:
         named = {w.lower() for w in frame.columns} if words is None else words
         return MaskedFrame.over(apply_plans(frame, self._planned(frame, policy, config.roles_of(principal), named), config))
 
-    def mask_rows_of(self, name: str, frame: DataFrame, principal: str | None = None) -> DataFrame:
-        """Mask a batch or stream that has the columns of a registered table."""
+    def mask_rows_of(self, name: str, frame: DataFrame, principal: str | None = None, count: bool = False) -> DataFrame:
+        """Mask a batch or stream that has the columns of a registered table.
+
+        ``count``: of a stream, add the masked values of each micro-batch to the metrics once it is done.
+        """
         policy, table = self.policy, self.tables[name.lower()]
         planner, roles = self.planner(policy.config), policy.config.roles_of(principal)
         fields = {f.name.lower(): f for f in table.frame.schema}
@@ -165,18 +222,26 @@ class GuardedSession:
         for p, f in zip(plans, typed, strict=True):
             if not p.spec.supports(f):
                 raise PolicyRejection(Cause.MASK_TYPE_MISMATCH, f"the mask of {p.name!r} cannot be applied to its type")
-        return MaskedFrame.over(apply_plans(frame, plans, policy.config, typed))
+        out = apply_plans(frame, plans, policy.config, typed)
+        if count and frame.isStreaming:
+            out = self._observed(out, plans)
+        return MaskedFrame.over(out, tags_of(principal))
+
+    def _observed(self, stream: DataFrame, plans: list[FieldPlan]) -> DataFrame:
+        if self._counter is None:
+            self._counter = StreamCounter(self.metrics)
+            self.spark.streams.addListener(self._counter)
+        return stream.observe(f"{StreamCounter.PREFIX}{uuid4().hex}", F.count(F.lit(1)).alias(ROWS), *_masked_counts(plans))
 
     def counted(self, statement: str, principal: str | None = None) -> tuple[DataFrame, Observation]:
         """The masked result, and how many values of each masked field an action on it gives out (no job of its own)."""
         frame, plans = self._served(statement, principal)
         seen = Observation()
-        counts = [F.count(F.col(f"`{p.name}`")).alias(p.name) for p in plans if not p.spec.passes]
-        return MaskedFrame.over(frame.observe(seen, F.count(F.lit(1)).alias("rows of result"), *counts)), seen
+        return frame.observe(seen, F.count(F.lit(1)).alias(ROWS), *_masked_counts(plans)), seen
 
     def count_values(self, seen: Observation) -> int:
         """Add what a finished action gave out to the metrics."""
-        n = sum(v for k, v in seen.get.items() if k != "rows of result")
+        n = sum(v for k, v in seen.get.items() if k != ROWS)
         self.metrics.add("values_masked", n)
         return n
 
@@ -200,6 +265,20 @@ class GuardedSession:
         return self.spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in schema], "column string, type string")
 
 
+def _masked_counts(plans: list[FieldPlan]) -> list:
+    return [F.count(F.col(f"`{p.name}`")).alias(p.name) for p in plans if not p.spec.passes]
+
+
+def tags_of(principal: str | None) -> tuple[str, str]:
+    """Job tags of a principal and of a new statement."""
+    who = sha256((principal or "").encode()).hexdigest()[:32]
+    return f"principal-{who}", f"statement-{uuid4().hex}"
+
+
+def _types(frame: DataFrame) -> tuple[str, ...]:
+    return tuple(f"{f.dataType.simpleString()}{f.metadata or ''}" for f in frame.schema)
+
+
 def apply_plans(frame: DataFrame, plans: list[FieldPlan], config: Config, fields: list[T.StructField] | None = None) -> DataFrame:
     """One outermost projection; passed columns stay plain attributes.  ``fields``: the schema with its logical types."""
     places = [f"_{i}" for i in range(len(plans))]  # names may repeat in a result

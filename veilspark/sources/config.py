@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
 
 from ..errors import ConfigError
 from ..functions.jsonmask import validate_rules
+from ..functions.jsonshape import check_shape
 from ..functions.keyed import Key
 from ..spec import Mask, MaskSpec, most_restrictive
 
@@ -22,7 +24,7 @@ CHOICES = {
     "lineage": ("refuse", "allow"),
     "digests": ("native", "batches"),
 }
-_PARAMS = {"keep", "start", "end", "bucket", "keep_domain", "domain", "json_unlisted", "json_max_bytes", "json_max_depth", "json", "json_keys"}
+_PARAMS = {"keep", "start", "end", "bucket", "keep_domain", "domain", "json_unlisted", "json_max_bytes", "json_max_depth", "json_schema", "json", "json_keys"}
 _TYPE_KEYS = {"name", "mask", "by_role"} | _PARAMS
 _RULE_KEYS = {"type", "mask", "by_role"} | _PARAMS
 #: Settings of the wire protocol, accepted so that a policy file can be shared, and not used here.
@@ -64,10 +66,13 @@ def _spec(own: dict, base: dict, domain: str | None, where: str) -> MaskSpec:
         if k in got:
             got[k] = _rules(got[k], where)
     got.setdefault("domain", domain)
-    spec = MaskSpec(mask=kind, **got)
+    shape = got.pop("json_schema", None)
+    spec = MaskSpec(mask=kind, json_schema=None if shape is None else json.dumps(shape), **got).validate(where)
     if kind is Mask.JSON:
         validate_rules(spec, where)
-    return spec.validate(where)
+        if shape is not None:
+            check_shape(shape, where, spec.json_max_depth)
+    return spec
 
 
 @dataclass(frozen=True)

@@ -97,6 +97,7 @@ class MaskSpec:
     json_unlisted: str = "null"
     json_max_bytes: int = 1 << 20
     json_max_depth: int = 64
+    json_schema: str | None = None  #: the declared shape of the documents, as JSON
     json: tuple[tuple[str, MaskSpec], ...] = field(default=())
     json_keys: tuple[tuple[str, MaskSpec], ...] = field(default=())
 
@@ -123,7 +124,7 @@ class MaskSpec:
             raise ConfigError(f"{where}: JSON limits are out of range")
         if self.json_unlisted not in ("null", "shape-only", "pass-through"):
             raise ConfigError(f"{where}: json_unlisted is null, shape-only or pass-through")
-        if self.mask is not Mask.JSON and (self.json or self.json_keys):
+        if self.mask is not Mask.JSON and (self.json or self.json_keys or self.json_schema):
             raise ConfigError(f"{where}: json rules need the json mask")
         return self
 
