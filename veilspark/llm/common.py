@@ -7,6 +7,7 @@ Python loop runs per word.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import tempfile
 import uuid
@@ -113,6 +114,19 @@ def one_thread() -> None:
                 break
 
 
+@functools.cache
+def _trim():
+    import ctypes
+
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Give the memory that this worker has freed back to the machine: workers are kept for other tasks, and what they hold on to adds up."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 # -------------------------------------------------------------------- blocks
 def text_blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES):
     """Slices of ``batch`` with about ``limit`` bytes of ``column`` each."""
@@ -125,6 +139,7 @@ def text_blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_
     cuts = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip([0, *cuts], [*cuts, n], strict=True):
         yield batch.slice(int(a), int(b - a))
+        give_back()
 
 
 @dataclass
