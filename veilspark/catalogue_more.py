@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from .functions import masks
 from .functions.keyed import Key
 from .functions.scrub import IBAN_LENGTH, PATTERNS, scrub
-from .operators import campaign
+from .operators import campaign, differential, roles
 from .operators.classify import DETECTORS
 from .sources.folders import new_folder
 from .spec import Mask, MaskSpec
@@ -277,16 +277,43 @@ def file_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-# ------------------------------------------------------------------ campaign
+# ----------------------------------------------------------------- campaigns
 def leak_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated statements under three policies, and under one that gives a masked column away, which must be noticed."""
+    """Generated statements over copies of given tables with canaries, under three policies, and under one that gives a masked column away, which must be noticed."""
     rows = []
     for name, overlay, rules in (("plain", {}, None), ("lineage", {"lineage": "allow", "opaque": "mask"}, None), ("hostile", {"posture": "hostile"}, None), ("poisoned", {}, {"x": {"mask": "none"}})):
-        report = campaign.run(campaign.guard(spark, rules, **overlay), 17, 120)
+        report = campaign.run(campaign.guard(spark, sf_dir, rules, **overlay), 17, 120)
         rows.append((name, report.statements, report.served > 0, bool(report.leaks)))
     return spark.createDataFrame(rows, "policy string, statements long, some_served boolean, leaks boolean")
 
 
+def differential_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated statements over given tables, run by a second engine too and masked afterwards; a mask done wrong must be noticed."""
+    from .catalogue import session
+
+    rows = []
+    for name, principal, tamper in (("nobody", None, None), ("ann", "ann", None), ("sam", "sam", None), ("tampered", None, _tampered)):
+        found = differential.compare(session(spark, sf_dir), sf_dir, 29, 60, principal, tamper)
+        rows.append((name, found.statements, found.served > 30, bool(found.different)))
+    return spark.createDataFrame(rows, "principal string, statements long, most_served boolean, differences boolean")
+
+
+def _tampered(frame: DataFrame) -> DataFrame:
+    """One more star on every text."""
+    kinds = dict(frame.dtypes)
+    return frame.select(*[F.concat(F.col(f"`{c}`"), F.lit("*")).alias(c) if kinds[c] == "string" else F.col(f"`{c}`") for c in frame.columns]) if len(kinds) == len(frame.columns) else frame
+
+
+def roles_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Principals in threads while the policy is swapped: no row of anybody else's view, and a session that shares plans is noticed."""
+    people = roles.names_of(spark.read.parquet(f"{sf_dir}/supplier.parquet"), "s_suppkey")
+    rows = []
+    for name, kind in (("guarded", roles.GuardedSession), ("shared plans", roles.SharedPlans)):
+        found = roles.campaign(spark, people, 120, session=kind)
+        rows.append((name, found.statements, bool(found.mixed)))
+    return spark.createDataFrame(rows, "kind string, statements long, mixed boolean")
+
+
 def entries(pseudonym: Callable[[str], str]) -> dict[str, Entry]:
     """``pseudonym``: SQL of the hash mask of a column in the supplier domain."""
     s = "SELECT '{0}' AS format, s_suppkey::BIGINT AS s_suppkey, {1} AS s_name FROM supplier"
@@ -304,5 +331,7 @@ def entries(pseudonym: Callable[[str], str]) -> dict[str, Entry]:
         "view_identity": (view_identity, "SELECT c_custkey AS k, CASE WHEN length(c_name) <= 2 THEN repeat('*', length(c_name)::INT) ELSE repeat('*', (length(c_name) - 2)::INT) || right(c_name, 2) END AS who FROM customer WHERE c_acctbal > 0"),
         "opaque_view": (opaque_view, "SELECT CAST(NULL AS VARCHAR) AS name, 1 AS one FROM (SELECT n_name FROM nation UNION ALL SELECT r_name FROM region)"),
         "file_formats": (file_formats, " UNION ALL ".join(s.format(n, pseudonym("s_name")) for n in ("parquet", "orc", "csv", "json"))),
+        "differential_campaign": (differential_campaign, "SELECT p AS principal, 60::BIGINT AS statements, true AS most_served, d AS differences FROM (VALUES ('nobody', false), ('ann', false), ('sam', false), ('tampered', true)) v(p, d)"),
+        "roles_campaign": (roles_campaign, "SELECT k AS kind, 120::BIGINT AS statements, m AS mixed FROM (VALUES ('guarded', false), ('shared plans', true)) v(k, m)"),
         "leak_campaign": (leak_campaign, "SELECT * FROM (VALUES ('plain', 120::BIGINT, true, false), ('lineage', 120::BIGINT, true, false), ('hostile', 120::BIGINT, true, false), ('poisoned', 120::BIGINT, true, true)) v(policy, statements, some_served, leaks)"),
     }

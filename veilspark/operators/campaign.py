@@ -29,16 +29,22 @@ _NONE, _STAR = {"mask": "none"}, {"mask": "redact"}
 RULES = {"id": _NONE, "r": _NONE, "m": _NONE, "x": _STAR, "y": _STAR, "d": {"mask": "date-year"}, "n": {"mask": "numeric-bucket", "bucket": 1000}}
 
 
-def guard(spark: SparkSession, rules: dict | None = None, **overlay: object) -> GuardedSession:
-    """A session over tables full of canaries."""
+#: Given tables of which fz.t and fz.u are copies: key and name.
+COPIED = {"fz.t": ("supplier", "s_suppkey", "s_name"), "fz.u": ("nation", "n_nationkey", "n_name")}
+
+
+def guard(spark: SparkSession, sf_dir: str, rules: dict | None = None, **overlay: object) -> GuardedSession:
+    """A session over copies of given tables, with canaries planted in every row."""
     given = {"pseudonym_key": "0123456789abcdef", "unique_keys": {t: [["id"]] for t in TABLES}, "columns": {t: RULES | (rules or {}) for t in TABLES}}
     g = GuardedSession(spark, Config.build(given | overlay))
-    i = F.col("id")
-    canary = lambda k: F.concat(F.lit("CANARY"), (i + k).cast("string"))
     for k, t in enumerate(TABLES):
-        day = F.expr(f"timestampadd(DAY, CAST(id % 20 AS INT), TIMESTAMP '2033-05-0{2 + k} 00:00:00')")
-        rows = spark.range(30).select(i, F.concat(F.lit("r"), i % 3).alias("r"), (i % 5).alias("m"), canary(100 * k).alias("x"), canary(100 * k + 50).alias("y"), day.alias("d"), (7_000_123 + 1000 * i).alias("n"))
-        g.add_table(t, rows)
+        table, key, name = COPIED[t]
+        i = F.col(key).cast("long")
+        canary = lambda n, i=i, name=name: F.concat(F.col(name), F.lit(" CANARY"), (i + n).cast("string"))
+        day = F.expr(f"timestampadd(DAY, CAST({key} % 20 AS INT), TIMESTAMP '2033-05-0{2 + k} 00:00:00')")
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        planted = rows.select(i.alias("id"), F.concat(F.lit("r"), i % 3).alias("r"), (i % 5).alias("m"), canary(100 * k).alias("x"), canary(100 * k + 50).alias("y"), day.alias("d"), (7_000_123 + 1000 * (i % 1000)).alias("n"))
+        g.add_table(t, planted)
     return g
 
 
@@ -173,14 +179,15 @@ class Generator:
             f"if(true, {a}, {b})", f"CAST({a} AS STRING)", f"CAST({a} AS INT)", f"try_cast({a} AS INT)", f"substring({a}, 1, 50)", f"{a} = {b}", f"{a} IS NULL", f"date_trunc('{unit}', {d})", f"trunc({d}, 'MM')",
             f"date_trunc('{unit}', {d}) = TIMESTAMP '2033-05-07 00:00:00'", f"length({a})", f"{a} + 0", f"abs({a})", f"round({a})", f"greatest({a}, {b})", f"struct({a}).col1", f"array({a})[0]", f"map('k', {a})['k']",
             f"(SELECT max({a}))", f"(SELECT x FROM {r.choice(TABLES)} LIMIT 1)", f"EXISTS (SELECT 1 FROM fz.t WHERE id = 1)", f"{a} IN (SELECT id FROM fz.u)", f"count(*) OVER (ORDER BY {a})", f"max({a}) OVER ()",
-            f"to_json(struct({a}))", f"get_json_object({a}, '$.k')", f"md5({a})", f"reverse({a})", f"IDENTIFIER('{a}')", f"IDENTIFIER('upper')({a})", f"element_at(array({a}), 1)", f"extract(DAY FROM {d})", "1", "'text'", "current_date()",
+            f"parse_json({a}) IS NOT NULL", f"try_parse_json({a}) IS NULL", f"variant_get(parse_json({a}), '$.k', 'string')", f"variant_get(parse_json({a}), '$.k', 'int')", f"format_string({a}, {b})", f"format_string('%s', {a})", f"encode('v', {a})",
+            f"'v' LIKE {a}", f"{a} BETWEEN {b} AND {a}", f"to_json(struct({a}))", f"get_json_object({a}, '$.k')", f"md5({a})", f"reverse({a})", f"IDENTIFIER('{a}')", f"IDENTIFIER('upper')({a})", f"element_at(array({a}), 1)", f"extract(DAY FROM {d})", "1", "'text'", "current_date()",
         ))
 
     def where(self, columns: list[tuple[str, str]]) -> str:
         if self.rng.random() < 0.6:
             return ""
         a = self.rng.choice(columns)[0]
-        return self.rng.choice((f" WHERE {a} IS NOT NULL", f" WHERE {a} = {a}", f" WHERE {a} IN (SELECT {a} FROM fz.t)", f" WHERE CAST({a} AS INT) = 1", f" WHERE IDENTIFIER('{a}') IS NOT NULL", " WHERE 1 = 1"))
+        return self.rng.choice((f" WHERE {a} IS NOT NULL", f" WHERE {a} = {a}", f" WHERE {a} IN (SELECT {a} FROM fz.t)", f" WHERE CAST({a} AS INT) = 1", f" WHERE IDENTIFIER('{a}') IS NOT NULL", f" WHERE parse_json({a}) IS NOT NULL", f" WHERE variant_get(parse_json({a}), '$.k', 'int') = 1", f" WHERE 'v' LIKE {a}", " WHERE 1 = 1"))
 
 
 @dataclass
@@ -191,9 +198,17 @@ class Report:
     causes: Counter[str] = field(default_factory=Counter)
 
 
-def run(g: GuardedSession, seed: int, n: int, batch: int = 40) -> Report:
-    """``n`` statements of one seed; served results are run ``batch`` at a time."""
+#: What a caller may make of a result before running it; the last two fail by naming a value where there is one.
+CHAINS = (
+    lambda f: f, lambda f: f, lambda f: f.distinct(), lambda f: f.limit(3), lambda f: f.sample(0.5), lambda f: f.groupBy(f"`{f.columns[0]}`").count(), lambda f: f.agg(F.count("*").alias("n")), lambda f: f.dropna(), lambda f: f.describe(),
+    lambda f: f.withColumns({"more": F.lit(1)}), lambda f: f.select(F.col(f"`{f.columns[0]}`").cast("string").cast("date").alias("v")), lambda f: f.groupBy(F.col(f"`{f.columns[-1]}`").cast("string").cast("int").alias("v")).count(),
+)
+
+
+def run(g: GuardedSession, seed: int, n: int, batch: int = 40, chained: float = 0.2) -> Report:
+    """``n`` statements of one seed; served results are run ``batch`` at a time, some of them after more steps, one by one."""
     made, report, held = Generator(seed), Report(), []
+    after = random.Random(seed + 1)
 
     def flush() -> None:
         found = _canaries([f for _, f in held]) if held else False
@@ -212,6 +227,14 @@ def run(g: GuardedSession, seed: int, n: int, batch: int = 40) -> Report:
                 report.leaks.append(text)
             continue
         report.served += 1
+        if frame.columns and len(set(frame.columns)) == len(frame.columns) and after.random() < chained:
+            try:
+                leaked = _canaries([after.choice(CHAINS)(frame)])
+            except PolicyRejection as e:
+                leaked = bool(CANARY.search(f"{e} {e.hint}"))
+            if leaked:
+                report.leaks.append(text)
+            continue
         held.append((text, frame))
         if len(held) == batch:
             flush()
@@ -226,6 +249,8 @@ def _canaries(frames: list[DataFrame]) -> bool | None:
         places = f.toDF(*[f"c{i}" for i in range(len(f.columns))])
         one = places.select(F.concat_ws("|", *[F.col(c).cast("string") for c in places.columns]).alias("v"))
         printed = one if printed is None else printed.unionAll(one)
+    if printed is None:
+        return False
     try:
         return any(CANARY.search(r.v or "") for r in printed.distinct().collect())
     except PolicyRejection as e:
