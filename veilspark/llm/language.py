@@ -196,8 +196,6 @@ class Vocabulary:
 
 #: Distinct pairs that a task holds before it sends them on.
 HELD_PAIRS = 2_000_000
-#: Not read any more (older tests set it): training was once dealt out above so many pairs, with other results.
-SHARD_PAIRS = 12_000_000
 
 
 def _pairs(vocabulary: Vocabulary, parts: int, positions: int):
