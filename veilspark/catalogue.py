@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from . import catalogue_keys
 from . import catalogue_more as more
+from . import catalogue_workload
 from .errors import ConfigError, PolicyRejection
 from .functions import masks
 from .functions.keyed import Key, mac_sql
@@ -599,7 +600,7 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         f"SELECT event_id, date_trunc('month', ts) AS ts, user_id - ((user_id % 100) + 100) % 100 AS user_id, {_EVENT_TYPE}, value, {_PROPS} FROM events",
     ),
     "stream_rebinding": (stream_rebinding, "SELECT user_id, count(*) AS n FROM events GROUP BY 1"),
-} | more.entries(lambda column: _mac(column, "supplier", 32)) | catalogue_keys.entries()
+} | more.entries(lambda column: _mac(column, "supplier", 32)) | catalogue_keys.entries() | catalogue_workload.entries()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
