@@ -33,6 +33,7 @@ columns are never read.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, pairwise
@@ -88,6 +89,7 @@ class Encoders:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True  # their strings in a text are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
