@@ -365,6 +365,8 @@ def test_archive_edges(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS digest", "2 AS page", "3 AS kind")
     got = sorted([(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in WarcWriter(block_lines=2, most_bytes=3000).write(df).read(df).collect()], key=str)
     assert got == [(1, 2000, "revisit", 2), (2, 2000, "response", None), (3, 0, "response", None), (4, 1, "response", None), (4, 1, "response", None), (5, 1200, "revisit", 6), (6, 1200, "response", None), (None, 2000, "revisit", 2)]
+    told = {(x["page_id"], x["record_type"], x["refers_to_uri"]) for u in ("http://a.b/\tc", "-", "%") for x in WarcWriter(block_lines=2).write(df).lookup(u)}
+    assert told == {(1, "revisit", "urn:none"), (5, "revisit", "%"), (6, "response", None)}
     assert WarcWriter().write(df.limit(0)).read(df).collect() == []
     assert surt("http://www.Example.com:80/A?b=C") == "com,example)/a?b=C" and surt(None) == ""
     assert [page_of(record_id(p, 0)) for p in (0, -7, None, 1 << 62)] == [0, -7, None, 1 << 62]

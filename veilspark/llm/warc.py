@@ -90,9 +90,14 @@ def page_of(record: str) -> int | None:
     return None if page == LEAST else page
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, turn: int = 0) -> bytes:
+def _uri(url: str | None) -> str:
+    """A URL as a header has it."""
+    return "".join(c for c in (url or "urn:none") if c >= " ")
+
+
+def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, turn: int = 0, refers_uri: str | None = None) -> bytes:
     named = base64.b32encode(bytes.fromhex(digest)).decode()
-    uri = "".join(c for c in (url or "urn:none") if c >= " ")
+    uri = _uri(url)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     body = http if revisit else http + payload
     head = [
@@ -100,8 +105,11 @@ def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, r
         f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{named}", "Content-Type: application/http; msgtype=response",
     ]
     if revisit:
-        # the record referred to is told by its page and its payload digest; its own id is made elsewhere
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"Refers-To-Page: {LEAST if refers_to is None else refers_to}"]
+        # the record referred to is told by its URI and date, and by its page; its own id is made elsewhere
+        head += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {_uri(refers_uri)}", f"WARC-Refers-To-Date: {DATE}",
+            f"Refers-To-Page: {LEAST if refers_to is None else refers_to}",
+        ]
     head += [f"Content-Length: {len(body)}", "", ""]
     return "\r\n".join(head).encode() + body + b"\r\n\r\n"
 
@@ -124,6 +132,7 @@ def parse_record(raw: bytes) -> dict:
         "payload_digest": base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex() if revisit else hashlib.sha1(payload).hexdigest(),
         "told_digest": base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex(),
         "record_type": fields["WARC-Type"],
+        "refers_to_uri": fields.get("WARC-Refers-To-Target-URI"),
         "refers_to": None if not revisit or int(fields["Refers-To-Page"]) == LEAST else int(fields["Refers-To-Page"]),
     }
 
@@ -136,14 +145,14 @@ def _write(base: str, level: int, most_bytes: int):
             for batch in batches:
                 for block in text_blocks(batch, "payload"):
                     rows = []
-                    for page, url, payload, digest, kind, refers in zip(*(block.column(k).to_pylist() for k in ("page_id", "url", "payload", "digest", "kind", "refers_to")), strict=True):
+                    for page, url, payload, digest, kind, refers, uri in zip(*(block.column(k).to_pylist() for k in ("page_id", "url", "payload", "digest", "kind", "refers_to", "refers_uri")), strict=True):
                         payload = payload or b""
                         if out is None or at >= most_bytes:
                             if out is not None:
                                 out.close()
                             name, at = f"pages-{uuid.uuid4().hex}.warc.gz", 0
                             out = files.open_output_stream(f"{root}/{name}", compression=None)
-                        raw = gzip.compress(_record(page, url, payload, digest, refers, kind == "revisit", turn_of(name, at)), level, mtime=0)
+                        raw = gzip.compress(_record(page, url, payload, digest, refers, kind == "revisit", turn_of(name, at), uri), level, mtime=0)
                         out.write(raw)
                         rows.append((surt(url), url, page, kind, digest, len(payload), refers, name, at, len(raw)))
                         at += len(raw)
@@ -348,13 +357,13 @@ class WarcWriter:
         named = bound_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
         rank = F.coalesce(F.col("page_id"), F.lit(LEAST))
         # kinds by (page, digest): no html here
-        keys = named.filter(F.length("payload") >= self.least_revisit).select(rank.alias("page"), "digest").groupBy("page", "digest").agg(F.count(F.lit(1)).alias("n"))
-        last = keys.groupBy("digest").agg(F.max("page").alias("original"), F.count(F.lit(1)).alias("pages")).filter("pages > 1").select("digest", "original")
-        revisits = keys.join(last, "digest").filter("page <> original").select("page", "digest", "original")
+        keys = named.filter(F.length("payload") >= self.least_revisit).select(rank.alias("page"), "digest", F.coalesce("url", F.lit("")).alias("uri")).groupBy("page", "digest").agg(F.min("uri").alias("uri"))
+        last = keys.groupBy("digest").agg(F.max(F.struct("page", "uri")).alias("last"), F.count(F.lit(1)).alias("pages")).filter("pages > 1").select("digest", F.col("last.page").alias("original"), F.col("last.uri").alias("refers_uri"))
+        revisits = keys.join(last, "digest").filter("page <> original").select("page", "digest", "original", "refers_uri")
         kinds = revisits.withColumnRenamed("digest", "its digest")
         rows = named.join(kinds, (rank == F.col("page")) & (F.col("digest") == F.col("its digest")), "left")
         refers = F.when(F.col("original") != LEAST, F.col("original"))
-        written = rows.select("page_id", "url", "payload", "digest", F.when(F.col("page").isNotNull(), "revisit").otherwise("response").alias("kind"), refers.alias("refers_to"))
+        written = rows.select("page_id", "url", "payload", "digest", F.when(F.col("page").isNotNull(), "revisit").otherwise("response").alias("kind"), refers.alias("refers_to"), "refers_uri")
         written.mapInArrow(_write(base, self.level, self.most_bytes), LINE).write.parquet(f"{base}/lines")
         lines = spark.read.schema(LINE).parquet(f"{base}/lines")
         ordered = lines.orderBy("key", "url", "page_id", "file", "offset")
