@@ -17,8 +17,9 @@ from threading import Lock
 
 import pyarrow as pa
 from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.classic.dataframe import DataFrame as ClassicFrame
 from pyspark.sql.classic.dataframe import DataFrameNaFunctions, DataFrameStatFunctions
 from pyspark.sql.group import GroupedData
@@ -44,9 +45,8 @@ _COUNTING = Lock()
 
 
 @contextmanager
-def tagged(session, tags: tuple[str, ...]) -> Iterator[None]:
+def tagged(context: SparkContext, tags: tuple[str, ...]) -> Iterator[None]:
     """Jobs of this thread carry ``tags``, by which they can be cancelled."""
-    context = session.sparkContext
     new = [t for t in tags if t not in context.getJobTags()]
     for t in new:
         context.addJobTag(t)
@@ -108,7 +108,7 @@ class Quiet:
             if name == "foreachBatch":  # what the sink gets is kept quiet as well
                 sink = args[0] if args else named["func"]
                 args, named = (lambda batch, number: sink(MaskedFrame.over(batch, self._tags), number),), {}
-            with tagged(SparkSession.getActiveSession(), self._tags):
+            with tagged(SparkContext.getOrCreate(), self._tags):
                 out = quietly(found, self._tags)(*[a._inner if isinstance(a, Quiet) else a for a in args], **named)
             return self if isinstance(out, Quiet) and out._inner is self._inner else out
 
@@ -137,7 +137,7 @@ class MaskedFrame(ClassicFrame):
         return quietly(func, self._tags)(self, *args, **named)
 
     def toLocalIterator(self, prefetchPartitions: bool = False):
-        with tagged(self._session, self._tags):
+        with tagged(self._session.sparkContext, self._tags):
             rows = quietly(_plain_of(self).toLocalIterator)(prefetchPartitions)
         step = quietly(lambda: next(rows, None))
         while (row := step()) is not None:
@@ -155,7 +155,7 @@ def _quiet(name: str, is_property: bool):
 
     @wraps(getattr(ClassicFrame, name))
     def run(self, *args, **named):
-        with tagged(self._session, self._tags):
+        with tagged(self._session.sparkContext, self._tags):
             return quietly(getattr(_plain_of(self), name), self._tags)(*args, **named)
 
     return run
