@@ -31,7 +31,7 @@ def docs_of(spark):
 @pytest.mark.parametrize("name", list(entries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "pages"):
+    for t in ("documents", "conversations", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     result = con.execute(entries.oracle_sql()[name])
     columns = [c[0] for c in result.description]
