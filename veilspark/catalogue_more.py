@@ -293,8 +293,8 @@ def differential_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = []
     for name, principal, tamper in (("nobody", None, None), ("ann", "ann", None), ("sam", "sam", None), ("tampered", None, _tampered)):
-        found = differential.compare(session(spark, sf_dir), sf_dir, 29, 60, principal, tamper)
-        rows.append((name, found.statements, found.served > 30, bool(found.different)))
+        found = differential.compare(session(spark, sf_dir), sf_dir, 29, 40, principal, tamper)
+        rows.append((name, found.statements, found.served > 20, bool(found.different)))
     return spark.createDataFrame(rows, "principal string, statements long, most_served boolean, differences boolean")
 
 
@@ -331,7 +331,7 @@ def entries(pseudonym: Callable[[str], str]) -> dict[str, Entry]:
         "view_identity": (view_identity, "SELECT c_custkey AS k, CASE WHEN length(c_name) <= 2 THEN repeat('*', length(c_name)::INT) ELSE repeat('*', (length(c_name) - 2)::INT) || right(c_name, 2) END AS who FROM customer WHERE c_acctbal > 0"),
         "opaque_view": (opaque_view, "SELECT CAST(NULL AS VARCHAR) AS name, 1 AS one FROM (SELECT n_name FROM nation UNION ALL SELECT r_name FROM region)"),
         "file_formats": (file_formats, " UNION ALL ".join(s.format(n, pseudonym("s_name")) for n in ("parquet", "orc", "csv", "json"))),
-        "differential_campaign": (differential_campaign, "SELECT p AS principal, 60::BIGINT AS statements, true AS most_served, d AS differences FROM (VALUES ('nobody', false), ('ann', false), ('sam', false), ('tampered', true)) v(p, d)"),
+        "differential_campaign": (differential_campaign, "SELECT p AS principal, 40::BIGINT AS statements, true AS most_served, d AS differences FROM (VALUES ('nobody', false), ('ann', false), ('sam', false), ('tampered', true)) v(p, d)"),
         "roles_campaign": (roles_campaign, "SELECT k AS kind, 120::BIGINT AS statements, m AS mixed FROM (VALUES ('guarded', false), ('shared plans', true)) v(k, m)"),
         "leak_campaign": (leak_campaign, "SELECT * FROM (VALUES ('plain', 120::BIGINT, true, false), ('lineage', 120::BIGINT, true, false), ('hostile', 120::BIGINT, true, false), ('poisoned', 120::BIGINT, true, true)) v(policy, statements, some_served, leaks)"),
     }

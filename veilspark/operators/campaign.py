@@ -43,7 +43,7 @@ def guard(spark: SparkSession, sf_dir: str, rules: dict | None = None, **overlay
         canary = lambda n, i=i, name=name: F.concat(F.col(name), F.lit(" CANARY"), (i + n).cast("string"))
         day = F.expr(f"timestampadd(DAY, CAST({key} % 20 AS INT), TIMESTAMP '2033-05-0{2 + k} 00:00:00')")
         rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-        planted = rows.select(i.alias("id"), F.concat(F.lit("r"), i % 3).alias("r"), (i % 5).alias("m"), canary(100 * k).alias("x"), canary(100 * k + 50).alias("y"), day.alias("d"), (7_000_123 + 1000 * (i % 1000)).alias("n"))
+        planted = rows.select(i.alias("id"), F.concat(F.lit("r"), F.floor(i / 3)).alias("r"), F.floor(i / 5).alias("m"), canary(100 * k).alias("x"), canary(100 * k + 50).alias("y"), day.alias("d"), (7_000_123 + 1000 * (i % 1000)).alias("n"))
         g.add_table(t, planted)
     return g
 
@@ -94,6 +94,8 @@ class Generator:
         if pick < 0.64:
             (a, left), (b, right) = self.aliased(depth - 1), self.aliased(0)
             kind = self.rng.choice(("JOIN", "LEFT JOIN", "RIGHT JOIN", "FULL JOIN", "LEFT SEMI JOIN", "LEFT ANTI JOIN", "CROSS JOIN"))
+            if kind == "CROSS JOIN":  # all pairs with a few rows, however large the copies are
+                b, right = f"(SELECT id AS {right[0][0]}, x AS {right[1][0]} FROM {self.rng.choice(TABLES)} WHERE id < 12) {self.name()}", right[:2]
             on = "" if kind == "CROSS JOIN" else f" ON {self.rng.choice(left)[0]} = {self.rng.choice(right)[0]}"
             out = left if "SEMI" in kind or "ANTI" in kind else left + right
             return f"{a} {kind} {b}{on}", out
