@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from veilspark.catalogue import session
-from veilspark.operators import differential
+from veilspark.operators import differential, roles
 from veilspark.operators.results import MaskedFrame
 
 from .conftest import SF
@@ -29,3 +30,13 @@ def test_a_comparison_gives_the_driver_fingerprints_only(spark, collected):
     found = differential.compare(session(spark, SF), SF, 1, 10)
     assert found.different == [] and found.rows > 100
     assert sum(collected) <= 2 * found.served
+
+
+def test_views_of_roles_are_held_against_fingerprints(spark, collected):
+    names = roles.names_of(spark.range(300), "id")
+    for role in roles.MASKS:
+        for g in (0, 7, 22):
+            assert all(r.e == roles.expected(r.name, role, g) for r in names.limit(5).select("name", roles.expected_column(F.col("name"), role, g).alias("e")).collect())
+    found = roles.campaign(spark, names, 30)
+    assert found.mixed == [] and found.statements == 30
+    assert max(collected) <= 3
