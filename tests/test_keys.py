@@ -105,3 +105,16 @@ def test_a_session_finds_the_keys_of_its_tables(spark):
     assert g.discover_keys() == {"s.t": (f({"k"}),)}
     with pytest.raises(PolicyRejection):
         g.sql("SELECT k, sum(v) FROM s.t GROUP BY k")
+
+
+def test_hashes_settle_what_grouping_would(spark, monkeypatch):
+    """Non-keys are told by two equal rows and keys by hashes that all differ: no row's values are shuffled."""
+    from veilspark.operators import keys
+
+    grouped = []
+    unique = keys._unique
+    monkeypatch.setattr(keys, "_unique", lambda data, sets: grouped.extend(sets) or unique(data, sets))
+    df = spark.range(3000).select("id", (F.col("id") - F.when(F.col("id") % 100 == 7, 1).otherwise(0)).alias("near"), F.when(F.col("id") == 5, F.lit("")).when(F.col("id") > 5, F.col("id").cast("string")).alias("text"), F.when(F.col("id") == 0, F.lit(-0.0)).when(F.col("id") == 1, F.lit(0.0)).otherwise(F.col("id") / 7).alias("x"))
+    assert discover_keys(df, 1) == (f({"id"}),) and grouped == []
+    monkeypatch.setattr(keys, "_together", lambda columns: F.lit(64).cast("long") + 0 * sum(F.coalesce(F.hash(c), F.lit(0)) for c in columns))  # all hashes collide
+    assert keys._keys_of(df.select(F.col("id").alias("c0"), F.col("near").alias("c1")), [(0,), (1,)]) == [(0,)] and grouped == [(0,)]
