@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.catalogue import session
-from veilspark.operators import differential, roles
+from veilspark.operators import campaign, differential, roles
 from veilspark.operators.results import MaskedFrame
 
 from .conftest import SF
@@ -40,3 +40,12 @@ def test_views_of_roles_are_held_against_fingerprints(spark, collected):
     found = roles.campaign(spark, names, 30)
     assert found.mixed == [] and found.statements == 30
     assert max(collected) <= 3
+
+
+def test_canaries_are_searched_where_they_stand(spark, monkeypatch):
+    g = campaign.guard(spark, SF)
+    poisoned = campaign.guard(spark, SF, {"n": {"mask": "none"}})
+    monkeypatch.setattr(MaskedFrame, "collect", lambda self: pytest.fail("rows reached the driver"))
+    assert campaign._canaries([g.sql("SELECT id, n FROM fz.t"), g.sql("SELECT x FROM fz.u")]) is False
+    assert campaign._canaries([g.sql("SELECT id FROM fz.t"), poisoned.sql("SELECT n FROM fz.t")]) is True
+    assert campaign._canaries([g.sql("SELECT id FROM fz.t WHERE id < 0")]) is False

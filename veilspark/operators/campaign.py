@@ -254,6 +254,7 @@ def _canaries(frames: list[DataFrame]) -> bool | None:
     if printed is None:
         return False
     try:
-        return any(CANARY.search(r.v or "") for r in printed.distinct().collect())
+        # every value is printed and searched where it stands; the driver gets one flag
+        return bool(printed.agg(F.max(F.col("v").rlike(CANARY.pattern)).alias("leaked")).first()["leaked"])
     except PolicyRejection as e:
         return True if CANARY.search(str(e)) else None
