@@ -168,6 +168,77 @@ def test_training_does_not_depend_on_partitions_or_on_what_tasks_hold(spark, mon
         assert np.array_equal(models[0].reach, m.reach) and np.array_equal(models[0].bias, m.bias)
 
 
+def test_counting_merges_in_proportion_to_the_words(monkeypatch):
+    """What a task has merged is merged again only with as much that is new."""
+    from veilspark.llm import language
+
+    merged, merge = [], language._merge
+    monkeypatch.setattr(language, "_merge", lambda parts: (merged.append(sum(len(k) for k, _ in parts)), merge(parts))[1])
+    monkeypatch.setattr(language, "text_blocks", lambda batch: [batch])
+    batches = [pa.record_batch({"text": [" ".join(f"w{b}-{i}" for i in range(50))]}) for b in range(400)]
+    (got,) = language._count(1)(iter(batches))
+    assert sum(np.frombuffer(c, np.int64).sum() for c in got.column("counts").to_pylist()) == 400 * 51
+    assert sum(merged) < 4 * 400 * 51
+
+
+def test_steps_over_blocks_hold_little_at_once():
+    import tracemalloc
+
+    from veilspark.llm import language
+
+    def peak(f):
+        f()
+        tracemalloc.start()
+        try:
+            f()
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    texts = pa.array(["word " * 4000] * 100)
+    assert peak(lambda: language.tokens_of(texts)) < 8 * texts.nbytes
+    rng = np.random.default_rng(0)
+    reach, target, bias = (rng.normal(size=s).astype(np.float32) for s in ((200, 8), (30_000, 8), 30_000))
+    assert peak(lambda: language.log_sums(reach, target, bias)) < 4 << 20
+    s = reach.astype(float) @ target.T.astype(float) + bias
+    assert np.allclose(language.log_sums(reach, target, bias), np.log(np.exp(s - s.max(1, keepdims=True)).sum(1)) + s.max(1), atol=1e-4)
+
+
+def test_tokens_do_not_depend_on_pieces(monkeypatch):
+    from veilspark.llm import language
+
+    texts = pa.array([None, "", "A a \x1c É", "x" * 500, "Z @[`{ \t\x0b\x0d\x08\x0e a", None, "The end " * 60, "the END"])
+    keys, starts = language.tokens_of(texts)
+    assert np.diff(starts).tolist() == [1, 1, 5, 2, 5, 1, 121, 3]
+    assert keys[2] == keys[3] and keys[starts[7] :].tolist() == [*keys[starts[6] : starts[6] + 2], language.END]
+    monkeypatch.setattr(language, "PIECE_BYTES", 7)
+    for a, b in zip((keys, starts), language.tokens_of(texts), strict=True):
+        assert np.array_equal(a, b)
+    assert [len(x) for x in language.tokens_of(texts[:0])] == [0, 1]
+
+
+def test_places_and_totals():
+    from veilspark.llm.language import END, _totals, places
+
+    rng = np.random.default_rng(1)
+    for keys in (np.array([END]), np.append(np.arange(1000, 3000, 2).astype(np.uint64), END), np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))):
+        found = np.concatenate([keys, keys - np.uint64(1), rng.integers(0, 1 << 63, 1000, dtype=np.uint64)])
+        at = {k: i for i, k in enumerate(keys.tolist())}
+        assert places(keys, found).tolist() == [at.get(k, -1) for k in found.tolist()]
+    rows = rng.normal(size=(4000, 3)).astype(np.float32)
+    for first in ([0], np.arange(4000), np.arange(0, 4000, 2), np.unique(np.append(0, rng.integers(0, 4000, 1800)))):
+        assert np.array_equal(_totals(rows, np.asarray(first)), np.add.reduceat(rows, first, axis=0))
+
+
+def test_contexts_begin_with_ends():
+    from veilspark.llm.language import Vocabulary
+
+    none = np.zeros(0, np.int64)
+    v = Vocabulary(np.arange(10, dtype=np.uint64), 0, 0, none, none, none)
+    got = v.contexts(np.array([1, 9, 9, 2, 3, 4, 5, 9]), np.array([0, 2, 3, 8]), 3)
+    assert [x.tolist() for x in got] == [[9, 1, 9, 9, 2, 3, 4, 5], [9, 9, 9, 9, 9, 2, 3, 4], [9, 9, 9, 9, 9, 9, 2, 3]]
+
+
 # --------------------------------------------------------------------- mixing
 def test_mixing_edges(spark):
     rows = [(1, "a b", None), (1, "a b", None), (2, None, "s"), (3, "x " * 50, "s"), (None, "y " * 7, "t"), (4, "z " * 400, "u"), (5, "q", ""), (5, "q r s", "")]

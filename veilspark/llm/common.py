@@ -160,10 +160,6 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-
-
 def joined(texts) -> tuple[np.ndarray, np.ndarray]:
     """One byte buffer and the offsets of the texts in it; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -185,8 +181,11 @@ def joined(texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words_of(texts) -> Words:
-    data, offsets = joined(texts)
-    ink = ~_SPACE[data]
+    return words_in(*joined(texts))
+
+
+def words_in(data: np.ndarray, offsets: np.ndarray) -> Words:
+    ink = (data != 32) & (data - np.uint8(9) > 4)
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.empty_like(ink)

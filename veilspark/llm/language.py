@@ -52,24 +52,36 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CELL_BYTES, bound_batches, bucket_cuts, cell_of, cells_for, materialise, mix, one_thread, pack, power_of_two, qualified, shared_dir, text_blocks, word_hashes, words_of
+from .common import CELL_BYTES, bound_batches, bucket_cuts, cell_of, cells_for, joined, materialise, mix, one_thread, pack, power_of_two, qualified, shared_dir, text_blocks, word_hashes, words_in
 
-_SMALL = np.arange(256, dtype=np.uint8)
-_SMALL[65:91] += 32
 LEAST_BINS, MOST_BINS = 256, 65536
 END = np.uint64((1 << 64) - 1)
 _SUFFIX = np.random.default_rng(3).integers(0, 256, 65536, dtype=np.uint64)
 _THIRD = np.random.default_rng(4).integers(0, 256, 65536, dtype=np.uint64)
 
 
+#: Text bytes whose tokens are found at once, so that the numbers kept for each byte stay in the processor's cache.
+PIECE_BYTES = 96 << 10
+
+
 def tokens_of(texts) -> tuple[np.ndarray, np.ndarray]:
     """A key for each token, ends too, and where each text's tokens begin (one more at the end).
 
     The low bits of a key, 8 to 16 of them, are the word's bin: the low byte
     stands for its last two bytes, the next for the third.
     """
-    w = words_of(texts)
-    data = _SMALL[w.data]
+    data, offsets = joined(texts)
+    cuts = [0, *(np.flatnonzero(np.diff(offsets[:-1] // PIECE_BYTES)) + 1).tolist(), len(offsets) - 1]
+    parts = [_tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in zip(cuts, cuts[1:])]
+    starts = np.zeros(len(offsets), np.int64)
+    np.cumsum(np.concatenate([n for _, n in parts]), out=starts[1:])
+    return np.concatenate([k for k, _ in parts]), starts
+
+
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of some texts' tokens and how many each text has."""
+    w = words_in(data, offsets)
+    data = data + ((data - np.uint8(65) < 26) * np.uint8(32))
     h = word_hashes(w, data)
     if len(h):
         last = data[w.end - 1].astype(np.int64)
@@ -81,7 +93,7 @@ def tokens_of(texts) -> tuple[np.ndarray, np.ndarray]:
     n = len(w.first) - 1
     out = np.full(len(h) + n, END, np.uint64)
     out[np.arange(len(h)) + w.doc()] = h
-    return out, w.first + np.arange(n + 1)
+    return out, w.counts + 1
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -90,21 +102,41 @@ def is_held_out(doc_id: Column) -> Column:
 
 # ----------------------------------------------------------------- counting
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(where, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
+    if not any(len(k) for k, _ in parts):
+        return parts[0] if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    keys = np.concatenate([k for k, _ in parts])
+    order = np.argsort(keys, kind="stable")  # which merges what is in order already
+    keys = keys.take(order)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys.take(first), np.add.reduceat(np.concatenate([c for _, c in parts]).take(order), first)
+
+
+class Tally:
+    """Sorted keys with their counts, of parts that are merged once those not yet merged outweigh the others."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray) -> bool:
+        """Whether this led to a merge."""
+        self.parts.append(np.unique(keys, return_counts=True))
+        due = len(self.parts) >= 8 and sum(len(k) for k, _ in self.parts[1:]) > len(self.parts[0][0])
+        if due:
+            self.parts = [_merge(self.parts)]
+        return due
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        parts, self.parts = self.parts, []
+        return _merge(parts)
 
 
 def _count(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        tally = Tally()
         for batch in batches:
             for block in text_blocks(batch):
-                parts.append(np.unique(tokens_of(block.column("text"))[0], return_counts=True))
-                if len(parts) >= 8:
-                    parts = [_merge(parts)]
-        keys, counts = _merge(parts)
+                tally.add(tokens_of(block.column("text"))[0])
+        keys, counts = tally.take()
         buckets, cuts = bucket_cuts(keys, bits)
         yield pa.RecordBatch.from_arrays(
             [pa.array(buckets), *(pa.array([pack(v[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()) for v in (keys, counts))], ["bucket", "keys", "counts"]
@@ -161,6 +193,29 @@ def _frequent(floor: int, words: int):
     return run
 
 
+def places(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Where each of ``found`` stands among the sorted distinct ``keys``, -1 if nowhere.
+
+    Keys are hashes: their leading bits tell the place up to a few others.
+    """
+    bits = power_of_two(4 * len(keys))
+    shift = np.uint64(64 - bits)
+    first = np.zeros((1 << bits) + 1, np.int32)
+    np.cumsum(np.bincount((keys >> shift).astype(np.int64), minlength=1 << bits), out=first[1:])
+    slot = (found >> shift).astype(np.int64)
+    at = first[slot]
+    out = np.where(keys[np.minimum(at, len(keys) - 1)] == found, at, np.int32(-1)).astype(np.int64)
+    left = np.flatnonzero((out < 0) & (first[slot + 1] - at > 1))
+    ends = first[slot[left] + 1]
+    at = at[left] + 1
+    while len(left):
+        hit = keys[at] == found[left]
+        out[left[hit]] = at[hit]
+        go = ~hit & (at + 1 < ends)
+        left, ends, at = left[go], ends[go], at[go] + 1
+    return out
+
+
 @dataclass
 class Vocabulary:
     keys: np.ndarray  #: sorted keys of the tokens with a class of their own
@@ -175,8 +230,8 @@ class Vocabulary:
         return len(self.keys) + len(self.in_bin)
 
     def class_of(self, keys: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, len(self.keys) + (keys & np.uint64(len(self.in_bin) - 1)).astype(np.int64))
+        at = places(self.keys, keys)
+        return np.where(at >= 0, at, len(self.keys) + (keys & np.uint64(len(self.in_bin) - 1)).astype(np.int64))
 
     @property
     def end(self) -> int:
@@ -189,9 +244,14 @@ class Vocabulary:
 
     def contexts(self, cls: np.ndarray, starts: np.ndarray, positions: int) -> list[np.ndarray]:
         """The classes 1, 2, ... places before each token; before a text's begin stand ends."""
-        at = np.arange(len(cls))
-        begin = np.repeat(starts[:-1], np.diff(starts))
-        return [np.where(at - j >= begin, cls[np.maximum(at - j, 0)], self.end) for j in range(1, positions + 1)]
+        out = []
+        for j in range(1, positions + 1):
+            before = np.roll(cls, j)
+            for i in range(j):
+                at = starts[:-1] + i
+                before[at[at < starts[1:]]] = self.end
+            out.append(before)
+        return out
 
 
 #: Distinct pairs that a task holds before it sends them on.
@@ -202,7 +262,7 @@ def _pairs(vocabulary: Vocabulary, parts: int, positions: int):
     """Class pairs of a task at each distance, as steps of codes and counts in ``parts``."""
 
     def send(j: int, codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        part = mix(codes.astype(np.uint64)) % np.uint64(parts)
+        part = (mix(codes.astype(np.uint64)) % np.uint64(parts)).astype(np.min_scalar_type(parts))  # the fewer bytes, the faster sorted
         order = np.argsort(part, kind="stable")
         part, codes, counts = part[order], codes[order], counts[order]
         cuts = np.append(np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1)), len(part))
@@ -218,20 +278,17 @@ def _pairs(vocabulary: Vocabulary, parts: int, positions: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(positions)]
+        found = [Tally() for _ in range(positions)]
         for batch in batches:
             for block in text_blocks(batch):
                 keys, starts = tokens_of(block.column("text"))
                 cls = vocabulary.class_of(keys)
                 for j, before in enumerate(vocabulary.contexts(cls, starts, positions)):
-                    found[j].append(np.unique(before * vocabulary.classes + cls, return_counts=True))
-                    if len(found[j]) >= 8:
-                        found[j] = [_merge(found[j])]
-                        if len(found[j][0][0]) * positions > HELD_PAIRS:
-                            yield send(j, *found[j].pop())
+                    if found[j].add(before * vocabulary.classes + cls) and len(found[j].parts[0][0]) * positions > HELD_PAIRS:
+                        yield send(j, *found[j].take())
         for j, own in enumerate(found):
-            if own:
-                yield send(j, *_merge(own))
+            if own.parts:
+                yield send(j, *own.take())
 
     return run
 
@@ -291,11 +348,21 @@ LEAST_SQUARE = 1e-6
 ROW = 65_536
 
 
-def log_sums(reach: np.ndarray, target: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    s = reach @ target.T + bias
-    top = s.max(1, keepdims=True)
-    s -= top
-    return top[:, 0] + np.log(np.exp(s, out=s).sum(1, dtype=np.float64))
+def log_sums(reach: np.ndarray, target: np.ndarray, bias: np.ndarray, rows: int = 128, columns: int = 1024) -> np.ndarray:
+    """The log-sum-exp of the scores after each row of ``reach``, by tiles that stay in the processor's cache."""
+    out = np.empty(len(reach))
+    for a in range(0, len(reach), rows):
+        part = reach[a : a + rows]
+        top, total = np.full((len(part), 1), -np.inf, np.float32), np.zeros(len(part))
+        for b in range(0, len(bias), columns):
+            s = part @ target[b : b + columns].T
+            s += bias[b : b + columns]
+            before, top = top, np.maximum(top, s.max(1, keepdims=True))
+            s -= top
+            total *= np.exp(before - top)[:, 0]
+            total += np.exp(s, out=s).sum(1, dtype=np.float64)
+        out[a : a + rows] = top[:, 0] + np.log(total)
+    return out
 
 
 @dataclass
@@ -335,15 +402,30 @@ def constants(spark: SparkSession, models: list[Scorer]) -> list[np.ndarray]:
 
 
 def _totals(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of the rows from each of ``first`` up to the next."""
-    return np.add.reduceat(rows, first, axis=0)
+    """Sums of the rows from each of ``first`` up to the next.
+
+    ``reduceat`` takes long for each sum, however few its rows: most are of one or two, and made here.
+    """
+    n = np.diff(first, append=len(rows))
+    out = rows.take(first, 0)
+    two = np.flatnonzero(n == 2)
+    out[two] += rows.take(first[two] + 1, 0)
+    more = n > 2
+    if more.any():
+        size = n[more]
+        begin = np.cumsum(size) - size
+        out[more] = np.add.reduceat(rows.take(np.repeat(first[more] - begin, size) + np.arange(begin[-1] + size[-1]), 0), begin, axis=0)
+    return out
 
 
 def _move(values: np.ndarray, sums: np.ndarray, at: np.ndarray, rows: np.ndarray, rate: float) -> None:
     """An Adagrad step of values[at] against ``rows``."""
-    grown = sums[at] + rows * rows
+    grown = sums.take(at, 0)
+    grown += rows * rows
     sums[at] = grown
-    values[at] -= rate * rows / np.sqrt(grown)
+    step = rate * rows
+    step /= np.sqrt(grown, out=grown)
+    values[at] = np.subtract(values.take(at, 0), step, out=step)
 
 
 def _batches(codes: np.ndarray, counts: np.ndarray, mean: float, batch: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -353,11 +435,11 @@ def _batches(codes: np.ndarray, counts: np.ndarray, mean: float, batch: int, rng
     that, which are spread over the batches.
     """
     times = np.ceil(counts / (2 * mean)).astype(np.int64)
-    which = rng.permutation(np.repeat(np.arange(len(codes)), times))
+    which = rng.permutation(np.repeat(np.arange(len(codes), dtype=np.int32 if len(codes) < 1 << 31 else np.int64), times))
     weight = (counts / times / mean).astype(np.float32)
     for a in range(0, len(which), batch):
         at = np.sort(which[a : a + batch])
-        yield codes[at], weight[at]
+        yield codes.take(at), weight.take(at)
 
 
 def start(share: np.ndarray, dims: int, seed: int) -> LogBilinear:
@@ -401,28 +483,28 @@ def learn(m: LogBilinear, sums: dict[str, np.ndarray], chunks: Iterable[tuple[np
             first = np.flatnonzero(np.diff(u, prepend=-1))
             own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(u))))
             u = u[first]
-            e = m.context[u]
+            e = m.context.take(u, 0)
             q = e @ m.turn
-            q_own, t_own, t_noise = q[own], m.target[w], m.target[x]
-            true = np.einsum("ij,ij->i", q_own, t_own) + (m.bias - offset)[w]
+            q_own, t_own, t_noise = q.take(own, 0), m.target.take(w, 0), m.target.take(x, 0)
+            true = np.einsum("ij,ij->i", q_own, t_own) + (m.bias[w] - offset[w])
             false = q @ t_noise.T
-            false += (m.bias - offset)[x]
+            false += m.bias[x] - offset[x]
             g = weight * (1 / (1 + np.exp(-np.clip(true, -30, 30))) - 1)
             f = np.clip(false, -30, 30, out=false)
             np.exp(np.negative(f, out=f), out=f)
             f += 1
-            np.divide(_totals(weight, first)[:, None], f, out=f)
+            np.divide(np.add.reduceat(weight, first)[:, None], f, out=f)
             t_own *= g[:, None]
             dq = _totals(t_own, first) + f @ t_noise
             q_own *= g[:, None]
             at = np.concatenate([w, x])
-            order = np.argsort(at, kind="stable")
-            at = at[order]
+            at = np.sort(at << 32 | np.arange(len(at)))
+            order, at = at & 0xFFFFFFFF, at >> 32
             begin = np.flatnonzero(np.diff(at, prepend=-1))
             at = at[begin]
             d_turn = e.T @ dq
-            _move(m.target, sums["target"], at, _totals(np.concatenate([q_own, f.T @ q])[order], begin), rate)
-            _move(m.bias, sums["bias"], at, _totals(np.concatenate([g, f.sum(0)])[order], begin), rate)
+            _move(m.target, sums["target"], at, _totals(np.concatenate([q_own, f.T @ q]).take(order, 0), begin), rate)
+            _move(m.bias, sums["bias"], at, np.add.reduceat(np.concatenate([g, f.sum(0)]).take(order), begin), rate)
             _move(m.context, sums["context"], u, dq @ m.turn.T, rate)
             sums["turn"] += d_turn * d_turn
             m.turn -= rate * d_turn / np.sqrt(sums["turn"])
@@ -488,9 +570,9 @@ class Mixture:
         out = np.empty((1 + len(self.models), len(now)))
         out[0] = self.share[now]
         for j, (m, sums) in enumerate(zip(self.models, self.sums, strict=True)):
-            for a in range(0, len(now), 1 << 16):
-                u, w = before[j][a : a + (1 << 16)], now[a : a + (1 << 16)]
-                out[1 + j, a : a + (1 << 16)] = np.einsum("ij,ij->i", m.reach[u], m.target[w]) + m.bias[w] - sums[u]
+            for a in range(0, len(now), 1 << 14):
+                u, w = before[j][a : a + (1 << 14)], now[a : a + (1 << 14)]
+                out[1 + j, a : a + (1 << 14)] = np.einsum("ij,ij->i", m.reach.take(u, 0), m.target.take(w, 0)) + m.bias[w] - sums[u]
         np.exp(out[1:], out=out[1:])
         return out
 
@@ -521,7 +603,7 @@ def _expect(mixture: Mixture, v: Vocabulary):
                 before = v.contexts(cls, starts, n)
                 p, band = mixture.chances(before, cls), mixture.band[before[0]]
                 for _ in range(3):  # steps within the block, which begin with all seen so far
-                    r = p * weights[band].T
+                    r = p * weights.T.take(band, 1)
                     r /= r.sum(0)
                     here = np.stack([np.bincount(band, x, BANDS) for x in r], 1)
                     weights = total + here + 1.0
@@ -537,9 +619,11 @@ def _ask(bits: int):
     """A cell's distinct tokens by bucket, with their counts in its training rows."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, starts = tokens_of(table.column("text"))
-        keys, where = np.unique(keys, return_inverse=True)
-        counts = np.bincount(where, np.repeat(table.column("learn").to_numpy(), np.diff(starts)), len(keys)).astype(np.int64)
+        tokens, starts = tokens_of(table.column("text"))
+        keys, _ = np.unique(tokens, return_counts=True)
+        learned, times = np.unique(tokens[np.repeat(table.column("learn").to_numpy() > 0, np.diff(starts))], return_counts=True)
+        counts = np.zeros(len(keys), np.int64)
+        counts[np.searchsorted(keys, learned)] = times
         buckets, cuts = bucket_cuts(keys, bits)
         cell = table.column("cell")[0].as_py()
         return pa.table({
@@ -567,7 +651,8 @@ def _score(mixture: Mixture, v: Vocabulary):
         blocks = answers.column("counts").to_pylist()
         counts = np.frombuffer(b"".join(blocks[i] for i in order.tolist()), np.int64)
         tokens, starts = tokens_of(docs.column("text"))
-        keys, where = np.unique(tokens, return_inverse=True)
+        keys, _ = np.unique(tokens, return_counts=True)
+        where = places(keys, tokens)
         cls = v.class_of(keys)
         own = cls < len(v.keys)
         bins = np.where(own, 0, cls - len(v.keys))
