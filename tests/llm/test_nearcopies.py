@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from veilspark.llm import graphs
 from veilspark.llm.graphs import connected_components
-from veilspark.llm.common import words_of
-from veilspark.llm.nearcopies import HALF, NearCopies, digests, forest, linked, met, recalls
+from veilspark.llm.common import materialise, words_of
+from veilspark.llm.nearcopies import HALF, NearCopies, digests, forest, linked, met, recalls, shorter
 
 from ..conftest import SF
 
@@ -178,3 +179,44 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, 9), (9, 7), (3, 3)] + [(1000, 1000 + i) for i in range(1, 50)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, 7: 7, 9: 7, **{i: 1000 for i in range(1000, 1050)}}
+
+
+def test_components_of_shorter_prefixes_go_on_from_longer_ones(spark):
+    rng = np.random.default_rng(6)
+    hi, lo = rng.integers(0, 60, (400, 3)), rng.integers(0, 3, (400, 3)) << 48 | rng.integers(0, 2, (400, 3)) << 32 | rng.integers(0, 2, (400, 3)) << 16 | rng.integers(0, 2, (400, 3))
+    hi[:, 1:] += 1000 + np.arange(400)[:, None] // 2 * 100  # two trees meet in pairs at most
+    df = spark.createDataFrame([(i, h.tolist(), v.tolist()) for i, (h, v) in enumerate(zip(hi, lo))], "id long, hi array<long>, lo array<long>")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        runs = forest(df, 8).cache()
+        runs.count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    before, sizes = None, []
+    for depth in (8, 7, 5, 4):
+        stars = connected_components(shorter(runs, depth, before))
+        got = {(r.node, r.root) for r in stars.collect()}
+        assert got == {(r.node, r.root) for r in connected_components(shorter(runs, depth, None)).collect()}
+        before = (depth, stars)
+        sizes.append(len({root for _, root in got}))
+    assert len(set(sizes)) > 2
+
+
+def test_a_round_of_components_plans_no_step_twice(spark, monkeypatch, capsys):
+    # what the driver holds follows the exchanges that it plans: no table of a round takes more than a few
+    exchanges = []
+
+    def planned(df, name):
+        capsys.readouterr()
+        df.explain()
+        exchanges.append(capsys.readouterr().out.count("Exchange"))
+        return materialise(df, name)
+
+    monkeypatch.setattr(graphs, "materialise", planned)
+    edges = [(1, i) for i in range(2, 40)] + [(i, i + 40) for i in range(2, 40)] + [(i + 40, i + 80) for i in range(2, 40)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 1 for pair in edges for i in pair}
+    assert len(exchanges) > 3 and max(exchanges) <= 5

@@ -245,6 +245,20 @@ def forest(sequences: DataFrame, most: int) -> DataFrame:
     return inside.unionByName(across.select("id", "prefix", hubs.alias("hubs")))
 
 
+def shorter(runs: DataFrame, depth: int, before: tuple[int, DataFrame] | None) -> DataFrame:
+    """The links by prefixes of ``depth`` values, as edges u, v.
+
+    ``before``: a greater length and its components (node, root).  These stand for the links that it has too: the
+    first of each of its runs is linked to the first of the longer run by a prefix below that length.
+    """
+    links = lambda rows: rows.select(F.col("id").alias("u"), F.col("hubs")[depth - HALF].alias("v"))
+    new = runs.filter(F.col("prefix") >= depth)
+    if before is None:
+        return links(new)
+    length, stars = before
+    return links(new.filter(F.col("prefix") < length)).unionByName(stars.select(F.col("node").alias("u"), F.col("root").alias("v")))
+
+
 def _sets(size: int):
     """Distinct shingles of each text, sorted, as bytes."""
 
@@ -255,7 +269,7 @@ def _sets(size: int):
                 shingles, number = shingles_of(w, size, digests(w))
                 ends = np.cumsum(number)
                 sets = [np.unique(shingles[e - k : e]) for e, k in zip(ends.tolist(), number.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([block.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([pack(s) for s in sets], pa.binary())], ["id", "shingles", "set"])
+                yield pa.RecordBatch.from_arrays([block.column("id"), block.column("copies"), pa.array([len(s) for s in sets], pa.int64()), pa.array([pack(s) for s in sets], pa.binary())], ["id", "copies", "shingles", "set"])
 
     return run
 
@@ -373,22 +387,25 @@ class NearCopies:
         runs = materialise(forest(sequences, self.most_depth), "forest")
         some = runs.select(F.explode(F.array("id", F.col("hubs")[0])).alias("id")).distinct()
         wanted = nodes.join(some, "id", "left_semi").select("id", "doc_id", "print", "copies")
-        fetched = texts.join(wanted.select("id", "doc_id", "print").hint("shuffle_hash"), ["doc_id", "print"]).select("id", "text")
-        sets = fetched.mapInArrow(_sets(self.shingle), "id long, shingles long, set binary").dropDuplicates(["id"])  # a text comes twice where rows repeat
+        fetched = texts.join(wanted.hint("shuffle_hash"), ["doc_id", "print"]).select("id", "copies", "text")
+        sets = fetched.mapInArrow(_sets(self.shingle), "id long, copies long, shingles long, set binary").dropDuplicates(["id"])  # a text comes twice where rows repeat
         sets = materialise(sets, "sets")
-        weight = sets.select("id", "shingles").join(wanted.select("id", "copies"), "id")
+        weight = sets.select("id", "copies", "shingles")
         depth, before = self.most_depth, None
         while True:
-            edges = runs.filter(F.col("prefix") >= depth).select(F.col("id").alias("u"), F.col("hubs")[depth - HALF].alias("v"))
-            member = connected_components(edges).select(F.col("node").alias("id"), F.col("root").alias("candidate")).join(weight, "id")
-            sizes = materialise(member.groupBy("candidate").agg(F.count(F.lit(1)).alias("texts"), F.sum("shingles").alias("all")), "sizes")
+            stars = connected_components(shorter(runs, depth, before[2] if before else None))
+            member = stars.select(F.col("node").alias("id"), F.col("root").alias("candidate")).join(weight, "id")
+            member = materialise(member, "members")
+            sizes = member.groupBy("candidate").agg(F.count(F.lit(1)).alias("texts"), F.sum("shingles").alias("all"))
             if before is None:
+                sizes = materialise(sizes.withColumn("same", F.lit(False)), "sizes")
                 found = materialise(self._deal(member.join(sizes, "candidate"), sets), "links")
             else:  # a group only grows, so one with as many texts as before is the same
-                same = sizes.join(before[0].select("candidate", "texts"), ["candidate", "texts"], "left_semi").select("candidate")
-                grown = sizes.join(same, "candidate", "left_anti")
-                found = before[1].join(same, "candidate", "left_semi").unionByName(self._deal(member.join(grown, "candidate"), sets))
-                found = materialise(found, "links")
+                known = before[0].select("candidate", F.col("texts").alias("its_texts"))
+                sizes = sizes.join(known, "candidate", "left").withColumn("same", F.coalesce(F.col("texts") == F.col("its_texts"), F.lit(False))).drop("its_texts")
+                sizes = materialise(sizes, "sizes")
+                found = before[1].join(sizes.filter("same").select("candidate"), "candidate", "left_semi")
+                found = materialise(found.unionByName(self._deal(member.join(sizes.filter("NOT same"), "candidate"), sets)), "links")
             told = found.filter("similar is not null").select(F.posexplode("similar").alias("step", "n")).groupBy("step").agg(F.sum("n").alias("n")).collect()
             counts = np.zeros(STEPS)
             for r in told:
@@ -397,7 +414,7 @@ class NearCopies:
             self.report.update(depth=depth, recall=reach[depth], pairs=int(counts.sum()))
             if reach[depth] >= self.recall or depth <= self.least_depth:
                 return found
-            before = (sizes, found)
+            before = (sizes, found, (depth, stars))
             depth = max((d for d in reach if d < depth and reach[d] >= self.recall), default=self.least_depth)
 
     def classes(self, docs: DataFrame) -> DataFrame:
@@ -429,6 +446,7 @@ class NearCopies:
         known = nodes.join(linked_nodes, "id", "left").select(
             "node", "copies", "first", F.coalesce("class", "first").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
         )
+        known = materialise(known, "known")
         # texts that more than a thousandth of the rows share are at most a thousand: these go by broadcast
         total = nodes.agg(F.sum("copies")).first()[0] or 0
         often = nodes.filter(F.col("copies") > total / self.hot_share).select("node", F.lit(True).alias("often"))
