@@ -49,3 +49,25 @@ def test_canaries_are_searched_where_they_stand(spark, monkeypatch):
     assert campaign._canaries([g.sql("SELECT id, n FROM fz.t"), g.sql("SELECT x FROM fz.u")]) is False
     assert campaign._canaries([g.sql("SELECT id FROM fz.t"), poisoned.sql("SELECT n FROM fz.t")]) is True
     assert campaign._canaries([g.sql("SELECT id FROM fz.t WHERE id < 0")]) is False
+
+
+def test_a_subquery_over_an_outer_value_makes_no_pairs(spark, tmp_path):
+    spark.range(600).selectExpr("id AS s_suppkey", "concat('s', id) AS s_name").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(25).selectExpr("id AS n_nationkey", "concat('n', id) AS n_name").write.parquet(f"{tmp_path}/nation.parquet")
+    g = campaign.guard(spark, str(tmp_path))
+    where = next(w for s in range(200) if " IN (SELECT" in (w := campaign.Generator(s).where([("q3", "number")])))
+    frame = g.sql(f"SELECT q1 FROM fz.t AS q0(q1, q2, q3, q4, q5, q6, q7){where}")
+    assert sorted(r.q1 for r in frame.collect()) == list(range(600))
+    assert 600 <= _joined(frame._jdf.queryExecution().executedPlan()) <= 1200
+    own = {w for s in range(200) if " IN (SELECT" in (w := campaign.Generator(s).where([("m", "number")]))}
+    assert own == {" WHERE m IN (SELECT m FROM fz.t)"}
+
+
+def _joined(node) -> int:
+    """Rows that the joins of an executed plan made."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        return _joined(node.executedPlan())
+    below, rows = node.children(), node.metrics().get("numOutputRows")
+    inner = [node.plan()] if "QueryStage" in node.nodeName() else [below.apply(i) for i in range(below.size())]
+    own = rows.get().value() if "Join" in node.nodeName() or "Cartesian" in node.nodeName() else 0
+    return own + sum(map(_joined, inner))

@@ -25,6 +25,7 @@ CANARY = re.compile(r"CANARY|2033-05|7\d{3}123(?!\d)|7\.\d{3}123E6")
 #: Columns of both tables with their kinds; x and y texts, d a date and n a number are masked.
 COLUMNS = (("id", "number"), ("r", "text"), ("m", "number"), ("x", "text"), ("y", "text"), ("d", "date"), ("n", "number"))
 TABLES = ("fz.t", "fz.u")
+OWN = {c for c, _ in COLUMNS}
 _NONE, _STAR = {"mask": "none"}, {"mask": "redact"}
 RULES = {"id": _NONE, "r": _NONE, "m": _NONE, "x": _STAR, "y": _STAR, "d": {"mask": "date-year"}, "n": {"mask": "numeric-bucket", "bucket": 1000}}
 
@@ -189,7 +190,9 @@ class Generator:
         if self.rng.random() < 0.6:
             return ""
         a = self.rng.choice(columns)[0]
-        return self.rng.choice((f" WHERE {a} IS NOT NULL", f" WHERE {a} = {a}", f" WHERE {a} IN (SELECT {a} FROM fz.t)", f" WHERE CAST({a} AS INT) = 1", f" WHERE IDENTIFIER('{a}') IS NOT NULL", f" WHERE parse_json({a}) IS NOT NULL", f" WHERE variant_get(parse_json({a}), '$.k', 'int') = 1", f" WHERE 'v' LIKE {a}", " WHERE 1 = 1"))
+        # a name that fz.t has not is the outer row's: Spark pairs its values with all rows below, so there is one row wherever fz.t has any
+        below = "fz.t" if a in OWN else "(SELECT DISTINCT 1 FROM fz.t) below"
+        return self.rng.choice((f" WHERE {a} IS NOT NULL", f" WHERE {a} = {a}", f" WHERE {a} IN (SELECT {a} FROM {below})", f" WHERE CAST({a} AS INT) = 1", f" WHERE IDENTIFIER('{a}') IS NOT NULL", f" WHERE parse_json({a}) IS NOT NULL", f" WHERE variant_get(parse_json({a}), '$.k', 'int') = 1", f" WHERE 'v' LIKE {a}", " WHERE 1 = 1"))
 
 
 @dataclass
